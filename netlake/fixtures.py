@@ -316,3 +316,26 @@ SELECT event_id, '10.' || CAST((user_id // 65536) % 256 AS VARCHAR) || '.' || CA
   || '.' || CAST(user_id % 256 AS VARCHAR) AS src_ip, epoch_us(ts) // 4000 AS ts_us, 'DoS/DDoS' AS label
 FROM events WHERE event_type = 'error'
 """
+
+
+# ---------------------------------------------------------------- scored flows
+N_CLASSES = 5
+
+
+def scored_flows(flows: DataFrame) -> DataFrame:
+    """FIXTURES table 8: fixture model outputs keyed on the flow's first packet id."""
+    h = F.col("flow_id")
+    cls = (h % N_CLASSES).cast("int")
+    p_top = F.lit(0.4) + (h % 60).cast("double") / F.lit(100.0)
+    p_oth = (F.lit(1.0) - p_top) / F.lit(4.0)
+    prob = F.array(*[F.when(cls == i, p_top).otherwise(p_oth) for i in range(N_CLASSES)])
+    return flows.select("*", prob.alias("probability"),
+                        (F.lit(-0.7) + (h % 81).cast("double") / F.lit(100.0)).alias("iso_score"),
+                        ((h % 1000).cast("double") / F.lit(1000.0)).alias("ae_error"))
+
+
+SCORED_COLS_SQL = """CAST(flow_id % 5 AS INTEGER) AS cls,
+  0.4::DOUBLE + CAST(flow_id % 60 AS DOUBLE) / 100.0::DOUBLE AS p_top,
+  (1.0::DOUBLE - (0.4::DOUBLE + CAST(flow_id % 60 AS DOUBLE) / 100.0::DOUBLE)) / 4.0::DOUBLE AS p_oth,
+  -0.7::DOUBLE + CAST(flow_id % 81 AS DOUBLE) / 100.0::DOUBLE AS iso_score,
+  CAST(flow_id % 1000 AS DOUBLE) / 1000.0::DOUBLE AS ae_error"""

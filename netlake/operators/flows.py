@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.columns import round_bin
 from ..plans.scan import keyed_scan
 
 FLOW_KEY = ["k_ip_a", "k_port_a", "k_ip_b", "k_port_b", "protocol"]
@@ -186,7 +187,7 @@ def flow_features(assigned: DataFrame) -> DataFrame:
     ds = du / F.lit(1e6)
 
     def r4(c: Column) -> Column:
-        return F.round(c, 4)
+        return round_bin(c, 4)
 
     def per_s(num: Column) -> Column:
         return r4(num.cast("double") / ds)
@@ -202,7 +203,7 @@ def flow_features(assigned: DataFrame) -> DataFrame:
     fwd_hdr, bwd_hdr = F.col("fwd_hdr"), F.col("bwd_hdr")
 
     feats = {
-        "flow_duration": F.round(du, 2),
+        "flow_duration": round_bin(du, 2),
         "total_fwd_packets": nf, "total_backward_packets": nb,
         "total_length_fwd_packets": fb, "total_length_bwd_packets": bb,
         "fwd_packet_length_max": l_max("fl"), "fwd_packet_length_min": l_min("fl"),

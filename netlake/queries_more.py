@@ -1 +1,75 @@
 """Registers the queries of phases 2 and later (imported lazily by catalog)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .catalog import flows, register
+from .config import Thresholds
+from .functions.stats import exact_percentile
+from .operators import reports as rp
+from .operators import verdict as vd
+from .twins import verdict as tvd
+
+# ------------------------------------------------------------------ phase 2: rules and verdicts
+
+
+def verdicts_no_model(spark, sf_dir):
+    return vd.classify(vd.no_model(flows(spark, sf_dir)))
+
+
+def scored(spark, sf_dir, anomaly=False):
+    return vd.ensemble_decision(fx.scored_flows(flows(spark, sf_dir)), th=Thresholds(anomaly_enabled=anomaly))
+
+
+@register("rule_hits", tvd.RULE_HITS_SQL)
+def q_rule_hits(spark, sf_dir):
+    """First matching rule per flow (null when none)."""
+    return flows(spark, sf_dir).select("flow_id", vd.rule_label().alias("rule_label"))
+
+
+@register("verdicts_no_model", tvd.VERDICTS_NO_MODEL_SQL)
+def q_verdicts_no_model(spark, sf_dir):
+    """P16 + P17 + J1/J2: verdicts when no model is loaded."""
+    return verdicts_no_model(spark, sf_dir).select(*vd.VERDICT_COLS)
+
+
+@register("verdicts", tvd.VERDICTS_SQL)
+def q_verdicts(spark, sf_dir):
+    """P15-P19 + J1-J3: verdicts from fixture model scores, anomaly override off (the default)."""
+    return vd.classify(scored(spark, sf_dir)).select(*vd.VERDICT_COLS)
+
+
+@register("ensemble_decision", tvd.ENSEMBLE_SQL)
+def q_ensemble_decision(spark, sf_dir):
+    """Ensemble decision with the isolation-forest override on."""
+    return scored(spark, sf_dir, anomaly=True).select("flow_id", "ml_label", "ml_label_id", "ml_confidence",
+                                                      "ml_is_attack")
+
+
+@register("ensemble_scores", tvd.ENSEMBLE_SCORES_SQL)
+def q_ensemble_scores(spark, sf_dir):
+    """P20: the score map, one row per (flow, score name)."""
+    return scored(spark, sf_dir, anomaly=True).select("flow_id", F.explode("scores").alias("score_name", "score"))
+
+
+@register("zero_day_override", tvd.ZERO_DAY_SQL)
+def q_zero_day_override(spark, sf_dir):
+    """A13 + F13 + P18: p95 error threshold, reconstruction score, zero-day override."""
+    s = fx.scored_flows(flows(spark, sf_dir))
+    thr = exact_percentile(s, "ae_error", 0.95)
+    v = vd.classify(vd.ensemble_decision(s))
+    return vd.zero_day_override(v, "ae_error", thr).select("flow_id", "ae_score", "is_zero_day", "label",
+                                                           "severity", "is_attack")
+
+
+@register("label_stats", tvd.LABEL_STATS_SQL)
+def q_label_stats(spark, sf_dir):
+    """A2: verdict counts per label, zero-filled, with the total."""
+    return rp.label_stats(verdicts_no_model(spark, sf_dir))
+
+
+@register("recent_events", tvd.RECENT_EVENTS_SQL)
+def q_recent_events(spark, sf_dir):
+    """O1: the latest 100 verdict events."""
+    return rp.recent_events(verdicts_no_model(spark, sf_dir).select(*vd.VERDICT_COLS), 100)
