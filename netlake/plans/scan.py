@@ -100,3 +100,31 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket_us:
     for i, (name, _) in enumerate(lasts):
         out.append(F.coalesce(F.col(f"_scan_llast{i}"), F.col(f"_c_last{i}")).alias(name))
     return j.select(*[F.col(c) for c in df.columns], *out)
+
+
+def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, reach_us: int, bucket_us: int,
+                  out: str = "recent", extra_sums: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+    """Per row: how many rows of the same key, up to and including this one in
+    ``(ts, tie)`` order, have ``ts >= this.ts - reach_us``.
+
+    Computed as ``rank - #rows with ts < this.ts - reach_us``.  The second
+    term counts "shadow" copies of the rows shifted by ``reach_us + 1``: a
+    shadow sorts before real rows of equal time, so its running count at a
+    real row is exactly the number of rows that fell out of the window.  Real
+    rows and shadows go through one ``keyed_scan`` (one exchange); nothing is
+    held per key beyond one bucket.  ``extra_sums`` are running sums over the
+    real rows only.  ``tie`` must be a non-negative integer column.
+    """
+    if BUCKET_COL in df.columns:
+        df = df.drop(BUCKET_COL)
+    real = df.select("*", F.lit(1).alias("_sc_real"))
+    shadow = df.select(*[F.col(c) for c in df.columns if c not in (ts, tie)],
+                       (F.col(ts) + F.lit(reach_us + 1)).alias(ts), (F.lit(-1) - F.col(tie)).alias(tie),
+                       F.lit(0).alias("_sc_real")).select(*real.columns)
+    both = real.unionByName(shadow)
+    sums = [("_sc_rank", F.col("_sc_real")), ("_sc_gone", F.lit(1) - F.col("_sc_real"))]
+    sums += [(n, F.when(F.col("_sc_real") == 1, e).otherwise(F.lit(0))) for n, e in extra_sums]
+    s = keyed_scan(both, keys, ts, tie, bucket_us, sums=sums)
+    return (s.filter(F.col("_sc_real") == 1)
+            .select(*[F.col(c) for c in df.columns], *[F.col(n) for n, _ in extra_sums],
+                    (F.col("_sc_rank") - F.col("_sc_gone")).alias(out)))

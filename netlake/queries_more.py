@@ -73,3 +73,50 @@ def q_label_stats(spark, sf_dir):
 def q_recent_events(spark, sf_dir):
     """O1: the latest 100 verdict events."""
     return rp.recent_events(verdicts_no_model(spark, sf_dir).select(*vd.VERDICT_COLS), 100)
+
+
+# ------------------------------------------------------------------ phase 3: DNS
+from .operators import dns as dn  # noqa: E402
+from .twins import dns as tdn  # noqa: E402
+
+
+def dns_verdicts(spark, sf_dir):
+    return dn.dns_verdicts(fx.dns_queries(spark, sf_dir))
+
+
+@register("dns_entropy", tdn.DNS_ENTROPY_SQL)
+def q_dns_entropy(spark, sf_dir):
+    """F1 + F2: domain label and Shannon entropy per query."""
+    q = fx.dns_queries(spark, sf_dir).withColumn("qname", dn.clean_qname(F.col("qname")))
+    return dn.entropy_table(q)
+
+
+@register("dns_dga", tdn.DNS_DGA_SQL)
+def q_dns_dga(spark, sf_dir):
+    """generated-domain reason per query (null = looks normal)."""
+    q = fx.dns_queries(spark, sf_dir).withColumn("qname", dn.clean_qname(F.col("qname")))
+    return q.select("packet_id", dn.dga_reason(dn.domain_label(F.col("qname"))).alias("dga_reason"))
+
+
+@register("dns_rate", tdn.DNS_RATE_SQL)
+def q_dns_rate(spark, sf_dir):
+    """Per-source query count in the trailing 60 s, capped at 1000."""
+    return dn.dns_rate(fx.dns_queries(spark, sf_dir)).select("packet_id", "src_ip", "recent")
+
+
+@register("dns_alerts", tdn.DNS_ALERTS_SQL)
+def q_dns_alerts(spark, sf_dir):
+    """F4 + D9: tunnelling / generated-domain / flood alerts."""
+    return dn.dns_alerts(fx.dns_queries(spark, sf_dir))
+
+
+@register("dns_stats", tdn.DNS_STATS_SQL)
+def q_dns_stats(spark, sf_dir):
+    """Total queries, attacks, tracked source addresses."""
+    return dn.dns_stats(dns_verdicts(spark, sf_dir))
+
+
+@register("dns_recent", tdn.DNS_RECENT_SQL)
+def q_dns_recent(spark, sf_dir):
+    """Latest 50 DNS alerts (buffer of 500)."""
+    return rp.latest(dn.dns_alerts(fx.dns_queries(spark, sf_dir)), 50, "ts_us", "packet_id", cap=500)
