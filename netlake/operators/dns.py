@@ -47,9 +47,12 @@ def domain_label(q: Column, tlds: list[str] | None = None) -> Column:
 
 
 # ---------------------------------------------------------------- F3
-def dga_reason(label: Column) -> Column:
-    """first failed check, in order, or null when the label looks normal."""
-    ent = shannon_entropy(label)
+def dga_reason(label: Column, ent: Column | None = None) -> Column:
+    """first failed check, in order, or null when the label looks normal.
+
+    Pass a precomputed entropy column to evaluate it once per row.
+    """
+    ent = shannon_entropy(label) if ent is None else ent
     n = F.length(label)
     vowels = n - F.length(F.translate(label, "aeiou", ""))
     return (F.when(label.isNull(), F.lit(None).cast("string"))
@@ -83,8 +86,11 @@ def dns_verdicts(queries: DataFrame, window_s: int = config.DNS_WINDOW_S, limit:
     q = dns_rate(q, window_s, cap, bucket_s)
     qn = F.col("qname")
     sub_len = F.length(F.substring_index(qn, ".", 1))
-    label = domain_label(qn)
-    reason = dga_reason(label)
+    # one projection per stage: the higher-order entropy runs once per row
+    q = q.withColumn("domain_label", domain_label(qn))
+    q = q.withColumn("entropy", shannon_entropy(F.coalesce(F.col("domain_label"), F.lit(""))))
+    q = q.withColumn("dga_reason", dga_reason(F.col("domain_label"), F.col("entropy")))
+    reason = F.col("dga_reason")
     flood = F.col("recent") >= limit
     tunnel = sub_len >= tunnel_len
     dga = (~tunnel) & (F.length(qn) > 4) & reason.isNotNull()

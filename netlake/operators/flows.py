@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.columns import round_bin
 from ..plans.scan import keyed_scan
+from ..plans.stage import materialize
 
 FLOW_KEY = ["k_ip_a", "k_port_a", "k_ip_b", "k_port_b", "protocol"]
 DEFAULT_BUCKET_S = 10
@@ -52,6 +53,9 @@ def decode_flags(packets: DataFrame, col: str = "tcp_flags") -> DataFrame:
 # ---------------------------------------------------------------- W1
 def canonical_key(packets: DataFrame) -> DataFrame:
     """Add the direction-free flow key and ``s_lo`` (sender is the lower endpoint)."""
+    # missing fields take the reference's defaults: address 0.0.0.0, port/protocol 0
+    packets = packets.fillna({"src_ip": "0.0.0.0", "dst_ip": "0.0.0.0", "src_port": 0, "dst_port": 0,
+                              "protocol": 0})
     s_lo = (F.col("src_ip") < F.col("dst_ip")) | (
         (F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port")))
     return packets.select(
@@ -95,6 +99,7 @@ def assign_flows(packets: DataFrame, timeout_s: float = config.FLOW_TIMEOUT_S,
     p = p.withColumn("boundary", boundary)
     act_gap = (~F.col("boundary")) & (gap > active_us)
     p = p.withColumn("_act_gap", act_gap)
+    p = materialize(p, "flows-pass1")
 
     # pass 2: flow start, first sender, previous packet per direction, segment start
     p = keyed_scan(

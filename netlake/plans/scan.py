@@ -40,7 +40,8 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket_us:
     ``sums``  — (name, expr): running sum of ``expr`` up to and including the current row.
     ``lasts`` — (name, expr): last non-null value of ``expr`` strictly before the current row.
 
-    Rows are ordered by ``(ts, tie)``; ``tie`` must be unique within a key.
+    Rows are ordered by ``(ts, tie)``; ``tie`` must be unique within a key and
+    key columns must be non-null.
     ``bucket_us`` bounds the rows one task sorts for a key; any positive
     width gives the same answer.
     """
@@ -52,6 +53,10 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket_us:
     lag_src = [f"_lg_src{i}" for i in range(len(lags))]
     sum_src = [f"_sm_src{i}" for i in range(len(sums))]
     last_src = [f"_ls_src{i}" for i in range(len(lasts))]
+    # The input is read twice: by the row window (one hash exchange on
+    # (key, bucket)) and by the bucket summary (partial aggregation before its
+    # small exchange, only the columns it needs).  Callers cut the lineage in
+    # front of a scan whose input is expensive (plans.stage.materialize).
     d = df.select("*", *[e.alias(n) for n, (_, e) in zip(lag_src, lags)],
                   *[e.alias(n) for n, (_, e) in zip(sum_src, sums)],
                   *[e.alias(n) for n, (_, e) in zip(last_src, lasts)])
@@ -65,10 +70,10 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket_us:
     local += [F.sum(F.col(c)).over(run).alias(f"_scan_lsum{i}") for i, c in enumerate(sum_src)]
     local += [F.last(F.col(c), ignorenulls=True).over(before).alias(f"_scan_llast{i}")
               for i, c in enumerate(last_src)]
-    d = d.select("*", *local)
+    rows = d.select("*", *local)
 
-    # one row per (key, bucket): partitioning from the window above is reused
-    aggs = []
+    # one row per (key, bucket)
+    aggs = [F.count(F.lit(1)).alias("_b_n")]
     if lags:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag_src]), order).alias("_b_lastrow"))
     aggs += [F.sum(F.col(c)).alias(f"_b_sum{i}") for i, c in enumerate(sum_src)]
@@ -87,8 +92,10 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket_us:
               for i in range(len(lasts))]
     carry_df = summ.select(*carry)
 
-    cond = [F.col(k).eqNullSafe(F.col(f"_ck_{k}")) for k in keys] + [F.col(BUCKET_COL) == F.col("_ck_b")]
-    j = d.join(carry_df, on=cond, how="left")
+    # plain equality keeps the (key, bucket) partitioning of the row side: only the
+    # carry table moves.  Keys must be non-null.
+    cond = [F.col(k) == F.col(f"_ck_{k}") for k in keys] + [F.col(BUCKET_COL) == F.col("_ck_b")]
+    j = rows.join(carry_df, on=cond, how="left")
 
     out = []
     if lags:
@@ -117,11 +124,13 @@ def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, reach_u
     """
     if BUCKET_COL in df.columns:
         df = df.drop(BUCKET_COL)
-    real = df.select("*", F.lit(1).alias("_sc_real"))
-    shadow = df.select(*[F.col(c) for c in df.columns if c not in (ts, tie)],
-                       (F.col(ts) + F.lit(reach_us + 1)).alias(ts), (F.lit(-1) - F.col(tie)).alias(tie),
-                       F.lit(0).alias("_sc_real")).select(*real.columns)
-    both = real.unionByName(shadow)
+    # each row and its shadow come out of one explode: the input is read once
+    both = df.select("*", F.explode(F.array(
+        F.struct(F.col(ts).alias("_sc_ts"), F.col(tie).alias("_sc_tie"), F.lit(1).alias("_sc_real")),
+        F.struct((F.col(ts) + F.lit(reach_us + 1)).alias("_sc_ts"), (F.lit(-1) - F.col(tie)).alias("_sc_tie"),
+                 F.lit(0).alias("_sc_real")))).alias("_sc"))
+    both = both.select(*[F.col(c) for c in df.columns if c not in (ts, tie)],
+                       F.col("_sc._sc_ts").alias(ts), F.col("_sc._sc_tie").alias(tie), F.col("_sc._sc_real").alias("_sc_real"))
     sums = [("_sc_rank", F.col("_sc_real")), ("_sc_gone", F.lit(1) - F.col("_sc_real"))]
     sums += [(n, F.when(F.col("_sc_real") == 1, e).otherwise(F.lit(0))) for n, e in extra_sums]
     s = keyed_scan(both, keys, ts, tie, bucket_us, sums=sums)

@@ -120,3 +120,63 @@ def q_dns_stats(spark, sf_dir):
 def q_dns_recent(spark, sf_dir):
     """Latest 50 DNS alerts (buffer of 500)."""
     return rp.latest(dn.dns_alerts(fx.dns_queries(spark, sf_dir)), 50, "ts_us", "packet_id", cap=500)
+
+
+# ------------------------------------------------------------------ phase 4: behaviour
+from .operators import behavior as bh  # noqa: E402
+from .twins import behavior as tbh  # noqa: E402
+
+
+def behavior_events(spark, sf_dir):
+    v = vd.classify(scored(spark, sf_dir))
+    return v.select("flow_id", "src_ip", "dst_port", "label", "total_length_fwd_packets",
+                    F.col("last_seen_us").alias("ts_us"))
+
+
+def profiles(spark, sf_dir):
+    return bh.ip_profiles(behavior_events(spark, sf_dir))
+
+
+@register("ip_running_score", tbh.RUNNING_SQL)
+def q_ip_running_score(spark, sf_dir):
+    """W5 + A7 + P21: threat score of the source after each event."""
+    r = bh.running_scores(behavior_events(spark, sf_dir))
+    return r.select("flow_id", "src_ip", "ts_us", "attack_count", "normal_count", "severe_count", "ports_count",
+                    "recent_events", "threat_score", "risk_level")
+
+
+@register("ip_profiles", tbh.PROFILES_SQL)
+def q_ip_profiles(spark, sf_dir):
+    """A6 + A7 + W10 + P21: final profile per source address."""
+    return profiles(spark, sf_dir)
+
+
+@register("ip_label_counts", tbh.LABEL_COUNTS_SQL)
+def q_ip_label_counts(spark, sf_dir):
+    """A6 labels map, flattened: events per (source, label)."""
+    return bh.label_counts(behavior_events(spark, sf_dir))
+
+
+@register("top_threats", tbh.TOP_THREATS_SQL)
+def q_top_threats(spark, sf_dir):
+    """O2: the 15 highest threat scores."""
+    return bh.top_threats(profiles(spark, sf_dir), 15)
+
+
+@register("risk_breakdown", tbh.RISK_SQL)
+def q_risk_breakdown(spark, sf_dir):
+    """Profiles per risk level with the total."""
+    return bh.risk_breakdown(profiles(spark, sf_dir))
+
+
+@register("active_profiles", tbh.ACTIVE_SQL)
+def q_active_profiles(spark, sf_dir):
+    """Profiles seen within the hour before the latest event, at most 1000."""
+    p = profiles(spark, sf_dir)
+    return bh.active_profiles(p, F.col("as_of_us"))
+
+
+@register("profile_lookup", tbh.PROFILE_LOOKUP_SQL)
+def q_profile_lookup(spark, sf_dir):
+    """O3: one profile by address."""
+    return bh.profile_of(profiles(spark, sf_dir), "203.0.113.5")
