@@ -180,3 +180,68 @@ def q_active_profiles(spark, sf_dir):
 def q_profile_lookup(spark, sf_dir):
     """O3: one profile by address."""
     return bh.profile_of(profiles(spark, sf_dir), "203.0.113.5")
+
+
+# ------------------------------------------------------------------ phase 5: enrichment
+from .operators import enrich as en  # noqa: E402
+from .twins import enrich as ten  # noqa: E402
+
+
+@register("ip_scope", ten.IP_SCOPE_SQL)
+def q_ip_scope(spark, sf_dir):
+    """private/reserved scope of every address seen."""
+    p = fx.packets(spark, sf_dir)
+    ips = p.select(F.col("src_ip").alias("ip")).union(p.select(F.col("dst_ip").alias("ip"))).distinct()
+    return ips.select("ip", en.ip_scope(F.col("ip")).alias("scope"))
+
+
+@register("geo_enriched", ten.GEO_ENRICHED_SQL)
+def q_geo_enriched(spark, sf_dir):
+    """J4 + J5: geo record per packet source (distinct addresses enriched once)."""
+    p = fx.packets(spark, sf_dir).select("packet_id", "src_ip")
+    return en.enrich_geo(p, fx.geo_dim(spark, sf_dir), "src_ip")
+
+
+def _rep(spark, sf_dir, ttl_s):
+    p = fx.packets(spark, sf_dir).select("packet_id", "src_ip", "ts_us")
+    return en.enrich_reputation(p, fx.reputation_dim(spark, sf_dir), id_col="packet_id", ttl_s=ttl_s)
+
+
+@register("reputation_asof", ten.REPUTATION_SQL)
+def q_reputation_asof(spark, sf_dir):
+    """J6 + P10: as-of reputation per packet source, TTL 300 s."""
+    r = _rep(spark, sf_dir, 300)
+    return r.select("packet_id", "src_ip", "rep_abuse_score", "rep_is_known_bad", "rep_total_reports",
+                    "rep_country", "rep_isp", "rep_domain", "rep_source")
+
+
+@register("host_exposure", ten.EXPOSURE_SQL)
+def q_host_exposure(spark, sf_dir):
+    """Host exposure sub-record (ports and hostnames as text)."""
+    r = _rep(spark, sf_dir, 300)
+    e = F.col("rep_exposure")
+    return r.select("packet_id", F.array_join(e.getField("ports").cast("array<string>"), ",").alias("exp_ports"),
+                    e.getField("os").alias("exp_os"), e.getField("org").alias("exp_org"),
+                    F.array_join(e.getField("hostnames"), ",").alias("exp_hostnames"),
+                    e.getField("source").alias("exp_source"))
+
+
+def detection_events(spark, sf_dir):
+    """Verdict + running profile + geo + reputation for every flow."""
+    v = vd.classify(scored(spark, sf_dir))
+    ev = v.select("flow_id", "src_ip", "dst_port", "label", "total_length_fwd_packets",
+                  F.col("last_seen_us").alias("ts_us"))
+    run = bh.running_scores(ev).select("flow_id", "threat_score", "risk_level")
+    d = v.join(run, "flow_id", "left")
+    d = en.enrich_geo(d, fx.geo_dim(spark, sf_dir), "src_ip")
+    return en.enrich_reputation(d, fx.reputation_dim(spark, sf_dir), "src_ip", "last_seen_us", "flow_id")
+
+
+@register("detection_events", ten.DETECTION_SQL)
+def q_detection_events(spark, sf_dir):
+    """J11 + S10 (flattened): the assembled detection event."""
+    d = detection_events(spark, sf_dir)
+    return d.select("flow_id", "src_ip", "dst_ip", "dst_port", "label", "severity", "confidence", "is_attack",
+                    F.coalesce("threat_score", F.lit(0.0)).alias("threat_score"),
+                    F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"),
+                    "geo_country", "geo_is_private", "rep_abuse_score", "rep_is_known_bad", "rep_source")

@@ -35,7 +35,10 @@ def _score(a, n, p, r, s) -> str:
 W = config.BEHAVIOR_WINDOW_S * 1_000_000
 CAP = config.BEHAVIOR_RECENT_CAP
 
-RUNNING_SQL = events_cte() + f""",
+def running_cte() -> str:
+    """Needs ``ev``; defines ``running``."""
+    sc = _score('attack_count', 'normal_count', 'ports_count', 'recent_events', 'severe_count')
+    return f"""
 fp AS (SELECT *, CASE WHEN dst_port IS NOT NULL AND dst_port <> 0 AND row_number() OVER (PARTITION BY src_ip, dst_port
           ORDER BY ts_us, flow_id) = 1 THEN 1 ELSE 0 END AS first_port FROM ev),
 r AS (
@@ -46,12 +49,15 @@ r AS (
     sum(first_port) OVER w AS ports_count,
     least(row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, flow_id)
       - count(*) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND {W} PRECEDING), {CAP}) AS recent_events
-  FROM fp WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT flow_id, src_ip, ts_us, CAST(attack_count AS BIGINT) AS attack_count, CAST(normal_count AS BIGINT) AS normal_count,
-  CAST(severe_count AS BIGINT) AS severe_count, CAST(ports_count AS BIGINT) AS ports_count, recent_events,
-  {_score('attack_count', 'normal_count', 'ports_count', 'recent_events', 'severe_count')} AS threat_score,
-  {risk_sql(_score('attack_count', 'normal_count', 'ports_count', 'recent_events', 'severe_count'))} AS risk_level
-FROM r"""
+  FROM fp WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+running AS (
+  SELECT flow_id, src_ip, ts_us, CAST(attack_count AS BIGINT) AS attack_count, CAST(normal_count AS BIGINT) AS normal_count,
+    CAST(severe_count AS BIGINT) AS severe_count, CAST(ports_count AS BIGINT) AS ports_count, recent_events,
+    {sc} AS threat_score, {risk_sql(sc)} AS risk_level
+  FROM r)"""
+
+
+RUNNING_SQL = events_cte() + "," + running_cte() + "\nSELECT * FROM running"
 
 PROFILES_CTE = events_cte() + f""",
 as_of_t AS (SELECT max(ts_us) AS as_of_us FROM ev),
