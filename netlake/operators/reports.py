@@ -36,3 +36,110 @@ def latest(df: DataFrame, n: int, ts: str, tie: str, cap: int | None = None) ->
 def recent_events(events: DataFrame, n: int = 100) -> DataFrame:
     """O1: latest-n log events, n capped at the 500-entry buffer."""
     return latest(events, n, "last_seen_us", "flow_id", cap=500)
+
+
+# ---------------------------------------------------------------- honeypot
+def service_of(port: "Column") -> "Column":
+    """Honeypot port -> service name, default ``Port-<n>``."""
+    m = F.create_map(*[x for k, v in config.PORT_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(m[port], F.concat(F.lit("Port-"), port.cast("string")))
+
+
+def with_service(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("service", service_of(F.col("port")))
+
+
+def honeypot_by_service(hits: DataFrame) -> DataFrame:
+    """A4: hits per service with the total."""
+    h = with_service(hits)
+    c = h.groupBy("service").agg(F.count(F.lit(1)).alias("hits"))
+    total = h.agg(F.count(F.lit(1)).alias("total_hits"))
+    return c.crossJoin(F.broadcast(total))       # one-row aggregate
+
+
+def honeypot_top_ips(hits: DataFrame, n: int = 10) -> DataFrame:
+    """A5: the ``n`` most frequent source addresses (ties by address)."""
+    return (hits.groupBy("src_ip").agg(F.count(F.lit(1)).alias("hits"))
+            .orderBy(F.col("hits").desc(), F.col("src_ip")).limit(n))
+
+
+def recent_hits(hits: DataFrame, n: int = 50) -> DataFrame:
+    """Latest hits, buffer of 1000."""
+    return latest(with_service(hits), n, "ts_us", "hit_id", cap=1000)
+
+
+def latest_packets(packets: DataFrame, n: int = 5000) -> DataFrame:
+    """The last ``n`` packets (the capture ring buffer)."""
+    return latest(packets, n, "ts_us", "packet_id", cap=5000)
+
+
+# ---------------------------------------------------------------- A17 / T8
+def throughput(packets: DataFrame, local_prefixes: list[str], interval_s: int = 2) -> DataFrame:
+    """KB/s per ``interval_s`` tumbling window and direction (1 dp).
+
+    ``out`` = sent by a local address, ``in`` = received by one; traffic
+    between two non-local addresses is not counted, as host counters would not see it.
+    """
+    def is_local(c):
+        cond = F.lit(False)
+        for p in local_prefixes:
+            cond = cond | F.col(c).startswith(p)
+        return cond
+    iv = int(interval_s * 1_000_000)
+    d = packets.select(
+        (F.floor(F.col("ts_us") / iv) * iv).cast("long").alias("window_start_us"),
+        F.when(is_local("src_ip"), F.lit("out")).when(is_local("dst_ip"), F.lit("in")).alias("direction"),
+        "length").filter(F.col("direction").isNotNull())
+    from ..functions.columns import round_bin
+    return d.groupBy("window_start_us", "direction").agg(
+        round_bin(F.sum("length") / F.lit(1024.0) / F.lit(float(interval_s)), 1).alias("kb_per_s"))
+
+
+# ---------------------------------------------------------------- A15
+def dashboard_stats(verdicts: DataFrame, block_rows: DataFrame, hits: DataFrame, dns_verdicts: DataFrame,
+                    profiles: DataFrame, now_us) -> DataFrame:
+    """One record with the dashboard totals (a cross join of one-row aggregates)."""
+    now = now_us if hasattr(now_us, "_jc") else F.lit(int(now_us))
+    v = verdicts.agg(F.count(F.lit(1)).alias("total_events"), F.count_if(F.col("is_attack")).alias("attacks"))
+    b = block_rows.agg(F.count_if((F.col("blocked_at_us") <= now) & (now < F.col("unblocked_at_us")))
+                       .alias("blocked_ips"))
+    h = hits.agg(F.count(F.lit(1)).alias("honeypot_hits"))
+    d = dns_verdicts.agg(F.count(F.lit(1)).alias("dns_queries"),
+                         F.count_if(F.col("attack_type").isNotNull()).alias("dns_attacks"))
+    p = profiles.agg(F.count(F.lit(1)).alias("tracked_ips"),
+                     F.count_if(F.col("risk_level") == "CRITICAL").alias("critical_ips"))
+    out = v
+    for x in (b, h, d, p):
+        out = out.crossJoin(F.broadcast(x))      # each side is exactly one row
+    return out
+
+
+# ---------------------------------------------------------------- P24
+POSTURE_RATINGS = [   # FIXED VALUES: (minimum score, rating), first match wins
+    (100, "A+ (EXCELLENT PROTECTION)"), (80, "A (STRONG DEFENSE)"), (60, "B (MODERATE DEFENSE)"),
+    (40, "C (WEAK PROTECTION)"), (20, "D (VULNERABLE)"), (0, "F (CRITICAL - SYSTEM VULNERABLE)"),
+]
+POSTURE_ADVICE = [    # FIXED VALUES: (flag that must be true, advice when it is not), in order
+    ("ml_ready", "- **Train Supervised Models**: Run the training job to activate the tree and isolation-forest detectors."),
+    ("ae_ready", "- **Configure Autoencoder**: Run a complete model training process to activate the Zero-day detection engine."),
+    ("auto_block", "- **Enable Intrusion Prevention (IPS)**: Turn on 'Auto IP Blocking' in Settings to automatically ban threats."),
+    ("tg_enabled", "- **Setup Telegram Notifications**: Configure Telegram Alerts to get instant mobile alerts when threats occur."),
+    ("email_enabled", "- **Setup Email Alerts**: Bind SMTP settings in the configuration manager for permanent logs."),
+    ("intel_active", "- **Register AbuseIPDB**: Add your API key to compare attacking IPs against international threat indexes."),
+]
+POSTURE_ALL_CLEAR = ("- **System Configured Correctly**: All primary defense shields are active! "
+                     "Keep monitoring system logs regularly.")
+
+
+def posture(status: DataFrame) -> DataFrame:
+    """5 checks x 20 points, rating ladder, advice for failed checks (or the all-clear line)."""
+    b = lambda c: F.coalesce(F.col(c), F.lit(False))
+    checks = [b("ml_ready"), b("ae_ready"), b("honeypot_active"), b("auto_block"), b("tg_enabled") | b("email_enabled")]
+    score = sum((F.when(c, 20).otherwise(0) for c in checks), F.lit(0))
+    rating = None
+    for lo, name in POSTURE_RATINGS:
+        rating = F.when(score >= lo, F.lit(name)) if rating is None else rating.when(score >= lo, F.lit(name))
+    advice = F.filter(F.array(*[F.when(~b(c), F.lit(t)) for c, t in POSTURE_ADVICE]), lambda x: x.isNotNull())
+    advice = F.when(F.size(advice) == 0, F.array(F.lit(POSTURE_ALL_CLEAR))).otherwise(advice)
+    return status.select("sensor_id", score.cast("int").alias("score"), rating.alias("rating"),
+                         advice.alias("recommendations"))

@@ -191,7 +191,7 @@ def zero_day_override(verdicts: DataFrame, err_col: str = "ae_error", threshold:
         F.when(fire, zl).otherwise(F.col("label")).alias("label"),
         F.when(fire, severity_of(zl)).otherwise(F.col("severity")).alias("severity"),
         F.when(fire, icon_of(zl)).otherwise(F.col("severity_icon")).alias("severity_icon"),
-        F.when(fire, recommendation_of(zl)).otherwise(F.col("recommendation")).alias("recommendation"),
+        F.when(fire, F.lit(config.ZERO_DAY_RECOMMENDATION)).otherwise(F.col("recommendation")).alias("recommendation"),
         (F.col("is_attack") | fire).alias("is_attack"))
 
 

@@ -245,3 +245,122 @@ def q_detection_events(spark, sf_dir):
                     F.coalesce("threat_score", F.lit(0.0)).alias("threat_score"),
                     F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"),
                     "geo_country", "geo_is_private", "rep_abuse_score", "rep_is_known_bad", "rep_source")
+
+
+# ------------------------------------------------------------------ phase 6: response and reports
+from .operators import response as rs  # noqa: E402
+from .sources import sinks as sk  # noqa: E402
+from .twins import response as trs  # noqa: E402
+
+
+def _throttled(alerts):
+    return rs.throttle(alerts.withColumn("source_rank", F.lit(0)), tie="alert_id")
+
+
+@register("alerts_throttled", trs.THROTTLE_GAPPY_SQL)
+def q_alerts_throttled(spark, sf_dir):
+    """Greedy 30 s cooldown per label on the gappy alert stream."""
+    t = rs.throttle(fx.alert_events(spark, sf_dir, "gappy"))
+    return t.filter("emitted").select("alert_id", "label", "ts_us")
+
+
+@register("alerts_throttled_dense", trs.THROTTLE_DENSE_SQL)
+def q_alerts_throttled_dense(spark, sf_dir):
+    """W7 on a stream with no quiet gaps (one sequential chunk per label)."""
+    t = rs.throttle(fx.alert_events(spark, sf_dir, "dense"))
+    return t.filter("emitted").select("alert_id", "label", "ts_us")
+
+
+def alerts_union(spark, sf_dir):
+    v = vd.classify(scored(spark, sf_dir))
+    d = dn.dns_alerts(fx.dns_queries(spark, sf_dir))
+    h = rp.with_service(fx.honeypot_hits(spark, sf_dir))
+    return rs.union_alerts(v, d, h)
+
+
+@register("alerts_union", trs.ALERTS_UNION_SQL)
+def q_alerts_union(spark, sf_dir):
+    """Flow attacks + DNS alerts + honeypot hits as one alert stream."""
+    return alerts_union(spark, sf_dir).select(*rs.ALERT_COLS)
+
+
+@register("alerts_union_throttled", trs.ALERTS_UNION_THROTTLED_SQL)
+def q_alerts_union_throttled(spark, sf_dir):
+    """U3 + W7: the alerts that pass the per-label cooldown."""
+    u = alerts_union(spark, sf_dir)
+    rank = F.create_map(*[x for k, v in rs.SOURCE_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("source")]
+    # arrival order at equal time: flow, dns, honeypot, then id -> one sortable tie key
+    u = u.withColumn("_tie", rank.cast("long") * F.lit(10 ** 15) + F.col("alert_id"))
+    t = rs.throttle(u, tie="_tie")
+    return t.filter("emitted").select("source", "alert_id", "label", "ts_us")
+
+
+def strikes(spark, sf_dir):
+    return rs.strikes_and_blocks(fx.strike_events(spark, sf_dir), duration_s=60)
+
+
+@register("strikes", trs.STRIKES_SQL)
+def q_strikes(spark, sf_dir):
+    """W8 + J9 + J10: strike / block / ignored status per attack event (60 s blocks)."""
+    return strikes(spark, sf_dir).select("event_id", "src_ip", "ts_us", "label", "status", "strike_no")
+
+
+@register("blocks", trs.BLOCKS_SQL)
+def q_blocks(spark, sf_dir):
+    """Block intervals."""
+    return rs.blocks(strikes(spark, sf_dir), duration_s=60)
+
+
+@register("blocked_now", trs.BLOCKED_NOW_SQL)
+def q_blocked_now(spark, sf_dir):
+    """Blocks active at the last attack time, with remaining seconds."""
+    st = strikes(spark, sf_dir)
+    now = st.agg(F.max("ts_us")).first()[0]
+    return rs.blocked_at(rs.blocks(st, duration_s=60), now, duration_s=60)
+
+
+@register("honeypot_by_service", trs.HONEYPOT_BY_SERVICE_SQL)
+def q_honeypot_by_service(spark, sf_dir):
+    """J8 + A4: honeypot hits per service with the total."""
+    return rp.honeypot_by_service(fx.honeypot_hits(spark, sf_dir))
+
+
+@register("honeypot_top_ips", trs.HONEYPOT_TOP_SQL)
+def q_honeypot_top_ips(spark, sf_dir):
+    """A5: top-10 honeypot sources."""
+    return rp.honeypot_top_ips(fx.honeypot_hits(spark, sf_dir), 10)
+
+
+@register("honeypot_recent", trs.HONEYPOT_RECENT_SQL)
+def q_honeypot_recent(spark, sf_dir):
+    """Latest 50 honeypot hits."""
+    return rp.recent_hits(fx.honeypot_hits(spark, sf_dir), 50)
+
+
+@register("latest_packets", trs.LATEST_PACKETS_SQL)
+def q_latest_packets(spark, sf_dir):
+    """The last 5000 packets of the capture buffer."""
+    return rp.latest_packets(fx.packets(spark, sf_dir), 5000)
+
+
+@register("throughput", trs.THROUGHPUT_SQL)
+def q_throughput(spark, sf_dir):
+    """KB/s per 2 s window and direction for local prefix 10."""
+    return rp.throughput(fx.packets(spark, sf_dir), ["10."], 2)
+
+
+@register("posture", trs.POSTURE_SQL)
+def q_posture(spark, sf_dir):
+    """Sensor posture score, rating and advice."""
+    p = rp.posture(fx.sensor_status(spark, sf_dir))
+    return p.withColumn("recommendations", F.array_join("recommendations", "|"))
+
+
+@register("dashboard_stats", trs.DASHBOARD_SQL)
+def q_dashboard_stats(spark, sf_dir):
+    """One-row dashboard totals."""
+    v = vd.classify(scored(spark, sf_dir))
+    st = strikes(spark, sf_dir)
+    now = st.agg(F.max("ts_us")).first()[0]
+    return rp.dashboard_stats(v, rs.blocks(st, duration_s=60), fx.honeypot_hits(spark, sf_dir),
+                              dns_verdicts(spark, sf_dir), profiles(spark, sf_dir), now)

@@ -6,11 +6,14 @@ from .flows import flows_ctes
 from .verdict import classified_cte, ensemble_cte
 
 
+EV_CTE = """
+ev AS (SELECT flow_id, src_ip, dst_port, label, total_length_fwd_packets, last_seen_us AS ts_us
+       FROM verdicts WHERE src_ip IS NOT NULL AND src_ip NOT IN ('', '?', '0.0.0.0'))"""
+
+
 def events_cte() -> str:
     """``ev``: scored verdicts as behaviour events (P11 applied)."""
-    return ("WITH " + flows_ctes() + "," + ensemble_cte(False) + "," + classified_cte("ml", True) + """,
-ev AS (SELECT flow_id, src_ip, dst_port, label, total_length_fwd_packets, last_seen_us AS ts_us
-       FROM verdicts WHERE src_ip IS NOT NULL AND src_ip NOT IN ('', '?', '0.0.0.0'))""")
+    return "WITH " + flows_ctes() + "," + ensemble_cte(False) + "," + classified_cte("ml", True) + "," + EV_CTE
 
 
 def score_sql(a: str, n: str, p: str, r: str, s: str) -> str:
@@ -59,7 +62,7 @@ running AS (
 
 RUNNING_SQL = events_cte() + "," + running_cte() + "\nSELECT * FROM running"
 
-PROFILES_CTE = events_cte() + f""",
+PROFILE_PARTS = f""",
 as_of_t AS (SELECT max(ts_us) AS as_of_us FROM ev),
 base AS (
   SELECT src_ip, count(*) FILTER (WHERE label <> 'Normal') AS attack_count,
@@ -78,6 +81,7 @@ profiles AS (
     {_score('attack_count', 'normal_count', 'ports_count', 'recent_last', 'severe_count')} AS threat_score,
     {risk_sql(_score('attack_count', 'normal_count', 'ports_count', 'recent_last', 'severe_count'))} AS risk_level
   FROM base b JOIN rec r ON b.src_ip = r.src_ip)"""
+PROFILES_CTE = events_cte() + PROFILE_PARTS
 
 PROFILES_SQL = PROFILES_CTE + "\nSELECT * FROM profiles"
 TOP_THREATS_SQL = PROFILES_CTE + "\nSELECT * FROM profiles ORDER BY threat_score DESC, src_ip LIMIT 15"
