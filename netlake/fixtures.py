@@ -339,3 +339,60 @@ SCORED_COLS_SQL = """CAST(flow_id % 5 AS INTEGER) AS cls,
   (1.0::DOUBLE - (0.4::DOUBLE + CAST(flow_id % 60 AS DOUBLE) / 100.0::DOUBLE)) / 4.0::DOUBLE AS p_oth,
   -0.7::DOUBLE + CAST(flow_id % 81 AS DOUBLE) / 100.0::DOUBLE AS iso_score,
   CAST(flow_id % 1000 AS DOUBLE) / 1000.0::DOUBLE AS ae_error"""
+
+
+# ---------------------------------------------------------------- labelled flow CSV
+CSV_LABELS = ["BENIGN", "DoS Hulk", "DDoS", "PortScan", "FTP-Patator", "Bot",
+              "Web Attack – XSS", " BENIGN ", "Web Attack � XSS"]
+
+
+def flow_csv_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIXTURES table 4: raw labelled-flow rows (text cells, dataset header quirks)."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    sel = (ok + ln) % 50
+    return li.select(
+        (ok % 2).alias("_file"),
+        (F.col("l_quantity") * 1000).cast("string").alias(" Flow Duration"),
+        ln.cast("string").alias(" Total Fwd Packets"),
+        F.when(ok % 4 == 0, F.lit("-1")).otherwise((F.col("l_partkey") % 65536).cast("string"))
+        .alias(" Init_Win_bytes_backward"),
+        F.when(ok % 5 == 0, F.lit("-1")).otherwise(F.col("l_quantity").cast("string")).alias(" Fwd IAT Min"),
+        F.when(sel == 0, F.lit("Infinity")).when(sel == 1, F.lit(""))
+        .otherwise(F.col("l_extendedprice").cast("string")).alias("Flow Bytes/s"),
+        F.col("l_discount").cast("string").alias("flow iat mean"),
+        F.element_at(F.array(*[F.lit(x) for x in CSV_LABELS]), ((ok + ln) % 9 + 1).cast("int")).alias(" Label"))
+
+
+def flow_csv_paths(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write table 4 as two CSV files (by order key parity) under the checkpoint folder."""
+    import uuid
+
+    from .session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/netlake/flowcsv-{uuid.uuid4().hex}"
+    df = flow_csv_frame(spark, sf_dir)
+    paths = []
+    for part in (0, 1):
+        p = f"{base}/part{part}"
+        (df.filter(F.col("_file") == part).drop("_file").coalesce(1).write
+         .option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(p))
+        paths.append(p)
+    return paths
+
+
+def _csv_label_case() -> str:
+    parts = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(CSV_LABELS))
+    return f"CASE CAST((l_orderkey + l_linenumber) % 9 AS INTEGER) {parts} END"
+
+
+FLOW_CSV_RAW_SQL = f"""
+SELECT l_quantity * 1000 AS flow_duration, CAST(l_linenumber AS DOUBLE) AS total_fwd_packets,
+  CASE WHEN l_orderkey % 4 = 0 THEN -1.0 ELSE CAST(l_partkey % 65536 AS DOUBLE) END AS init_win_bytes_backward,
+  CASE WHEN l_orderkey % 5 = 0 THEN -1.0 ELSE l_quantity END AS fwd_iat_min,
+  CASE WHEN (l_orderkey + l_linenumber) % 50 = 0 THEN 'inf'::DOUBLE
+       WHEN (l_orderkey + l_linenumber) % 50 = 1 THEN NULL ELSE l_extendedprice END AS flow_bytes_s,
+  l_discount AS flow_iat_mean,
+  {_csv_label_case()} AS label_raw
+FROM lineitem
+"""

@@ -364,3 +364,59 @@ def q_dashboard_stats(spark, sf_dir):
     now = st.agg(F.max("ts_us")).first()[0]
     return rp.dashboard_stats(v, rs.blocks(st, duration_s=60), fx.honeypot_hits(spark, sf_dir),
                               dns_verdicts(spark, sf_dir), profiles(spark, sf_dir), now)
+
+
+# ------------------------------------------------------------------ phase 7: labelled flow tables
+from .functions.columns import round_bin  # noqa: E402
+from .operators import dataset as ds  # noqa: E402
+from .sources.flow_csv import read_flow_csv  # noqa: E402
+from .twins import dataset as tds  # noqa: E402
+
+
+def raw_csv(spark, sf_dir):
+    return read_flow_csv(spark, fx.flow_csv_paths(spark, sf_dir))
+
+
+def cleaned(spark, sf_dir):
+    return ds.clean_flows(raw_csv(spark, sf_dir))
+
+
+@register("csv_cleaned", tds.CSV_CLEANED_SQL)
+def q_csv_cleaned(spark, sf_dir):
+    """S1 + U1 + P4-P8: two CSV files read, unioned, normalised and cleaned."""
+    return cleaned(spark, sf_dir)
+
+
+@register("clean_stats", tds.CLEAN_STATS_SQL)
+def q_clean_stats(spark, sf_dir):
+    """Rows before/after cleaning and unmapped labels."""
+    return ds.clean_stats(raw_csv(spark, sf_dir))
+
+
+@register("label_distribution", tds.LABEL_DIST_SQL)
+def q_label_distribution(spark, sf_dir):
+    """A3: label counts and percentages."""
+    return ds.label_distribution(cleaned(spark, sf_dir))
+
+
+def split(spark, sf_dir):
+    return ds.stratified_split(cleaned(spark, sf_dir))
+
+
+@register("stratified_split", tds.SPLIT_SQL)
+def q_stratified_split(spark, sf_dir):
+    """M2: stratified 80/20 split by row hash."""
+    return split(spark, sf_dir).select("h1", "h2", "label", "is_test")
+
+
+@register("class_weights", tds.CLASS_WEIGHTS_SQL)
+def q_class_weights(spark, sf_dir):
+    """A10: balanced class weights on the training split."""
+    return ds.class_weights(split(spark, sf_dir).filter(~F.col("is_test")))
+
+
+@register("scaler_moments", tds.SCALER_SQL)
+def q_scaler_moments(spark, sf_dir):
+    """M3: standard-scaler moments (population std) fitted on the training split."""
+    m = ds.scaler_moments(split(spark, sf_dir).filter(~F.col("is_test")))
+    return m.select("feature", round_bin(F.col("mean"), 6).alias("mean"), round_bin(F.col("std"), 6).alias("std"))
