@@ -164,3 +164,10 @@ def standardize(df: DataFrame, moments: list[tuple[str, float, float]]) -> DataF
 
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b)
+
+
+def stratified_folds(split_df: DataFrame, k: int = 5) -> DataFrame:
+    """M5 folds: fold = (rank within label - 1) mod k over the same row-hash order as M2."""
+    r = keyed_scan(split_df.drop("_scan_b"), [LABEL], "h1", "h2", bucket_us=max(P31 // 4096, 1),
+                   sums=[("_rank", F.lit(1))])
+    return r.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_scan_b")

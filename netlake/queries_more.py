@@ -420,3 +420,126 @@ def q_scaler_moments(spark, sf_dir):
     """M3: standard-scaler moments (population std) fitted on the training split."""
     m = ds.scaler_moments(split(spark, sf_dir).filter(~F.col("is_test")))
     return m.select("feature", round_bin(F.col("mean"), 6).alias("mean"), round_bin(F.col("std"), 6).alias("std"))
+
+
+# ------------------------------------------------------------------ phase 8: models and metrics
+from .ml import autoenc as mae  # noqa: E402
+from .ml import iforest as mif  # noqa: E402
+from .ml import metrics as mm  # noqa: E402
+from .ml import models as mdl  # noqa: E402
+from .ml import online as mon  # noqa: E402
+from .ml import trees as mtr  # noqa: E402
+from .twins import ml as tml  # noqa: E402
+
+TEST_TREES, TEST_DEPTH, TEST_ISO_TREES = 20, 8, 50
+
+
+def fixture_predictions(spark, sf_dir):
+    s = split(spark, sf_dir).filter(F.col("is_test"))
+    return s.select("h1", "h2", "label",
+                    F.when(F.col("h1") % 10 != 0, F.col("label")).otherwise((F.col("label") + 1) % 5).alias("prediction"),
+                    (F.col("h2") % 7 == 0).alias("flagged"))
+
+
+@register("classification_report", tml.CLASS_REPORT_SQL)
+def q_classification_report(spark, sf_dir):
+    """Per-class precision / recall / F1 / support (fixture predictions)."""
+    return mm.classification_report(fixture_predictions(spark, sf_dir))
+
+
+@register("classification_summary", tml.CLASS_SUMMARY_SQL)
+def q_classification_summary(spark, sf_dir):
+    """Accuracy, weighted and macro F1."""
+    p = fixture_predictions(spark, sf_dir)
+    s = mm.classification_summary(mm.classification_report(p), p)
+    return s.select("accuracy", round_bin(F.col("f1_weighted"), 10).alias("f1_weighted"),
+                    round_bin(F.col("f1_macro"), 10).alias("f1_macro"))
+
+
+@register("detector_rates", tml.DETECTOR_SQL)
+def q_detector_rates(spark, sf_dir):
+    """Detection rate and false-positive rate of a binary detector."""
+    return mm.detector_rates(fixture_predictions(spark, sf_dir))
+
+
+@register("running_accuracy", tml.RUNNING_ACC_SQL)
+def q_running_accuracy(spark, sf_dir):
+    """Cumulative accuracy over the prediction stream."""
+    r = mm.running_accuracy(fixture_predictions(spark, sf_dir), "h1", "h2", bucket=1 << 22)
+    return r.select("h1", "h2", "running_accuracy")
+
+
+def _scaled_split(spark, sf_dir):
+    sp = split(spark, sf_dir)
+    tr, te = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    mo = [(r["feature"], float(r["mean"]), float(r["std"])) for r in ds.scaler_moments(tr).collect()]
+    return ds.standardize(tr, mo), ds.standardize(te, mo), tr
+
+
+@register("rf_scores")
+def q_rf_scores(spark, sf_dir):
+    """M4 + M8: weighted random forest (20 x depth 8 here) scored on the held-out split."""
+    tr, te, _ = _scaled_split(spark, sf_dir)
+    m = mtr.train_classifier(tr, trees=TEST_TREES, depth=TEST_DEPTH)
+    p = mtr.predict(m, te)
+    return p.select("h1", "h2", "label", F.col("prediction").cast("int").alias("prediction"),
+                    F.array_max("probability").alias("confidence"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """Top-20 feature importances of the forest."""
+    tr, _, _ = _scaled_split(spark, sf_dir)
+    return mtr.feature_importance(mtr.train_classifier(tr, trees=TEST_TREES, depth=TEST_DEPTH), top=20)
+
+
+@register("iforest_scores")
+def q_iforest_scores(spark, sf_dir):
+    """M6: isolation forest on benign training rows; score and -1/1 flag on the held-out split."""
+    tr, te, _ = _scaled_split(spark, sf_dir)
+    benign = tr.filter(F.col("label") == 0)
+    nodes, psi = mif.fit_iforest(benign, mdl.config.FEATURE_NAMES, TEST_ISO_TREES, 80_000)
+    nodes = nodes.cache()
+    cut = exact_percentile(mif.score_iforest(spark, benign, nodes, psi, mdl.config.FEATURE_NAMES), "iso_score", 0.05)
+    s = mif.score_iforest(spark, te, nodes, psi, mdl.config.FEATURE_NAMES)
+    return s.select("h1", "h2", "label", "iso_score",
+                    F.when(F.col("iso_score") < F.lit(cut), -1).otherwise(1).alias("iso_flag"))
+
+
+@register("ae_scores")
+def q_ae_scores(spark, sf_dir):
+    """M7 + A13 + F13: reconstruction error, score and zero-day flag on the held-out split."""
+    sp = split(spark, sf_dir)
+    m = mae.fit_autoencoder(sp.filter(~F.col("is_test") & (F.col("label") == 0)), k=32)
+    e = mae.reconstruction_error(sp.filter(F.col("is_test")), m)
+    return e.select("h1", "h2", "label", "ae_error",
+                    vd.reconstruction_score(F.col("ae_error"), F.lit(m.threshold)).alias("ae_score"),
+                    (F.col("ae_error") > m.threshold).alias("is_zero_day"))
+
+
+@register("cv_metrics")
+def q_cv_metrics(spark, sf_dir):
+    """M5: 5-fold stratified CV accuracy / weighted F1 (10 x depth 5 forests here)."""
+    tr, _, _ = _scaled_split(spark, sf_dir)
+    folds = ds.stratified_folds(tr, 5)
+    return mtr.cross_validate(folds, k=5, trees=10, depth=5)
+
+
+@register("online_accuracy")
+def q_online_accuracy(spark, sf_dir):
+    """M9 + T10 + A14: prequential accuracy of the online model over 8 hash-ordered batches."""
+    c = cleaned(spark, sf_dir).withColumn("_b", F.pmod(ds.row_hash(mdl.config.FEATURE_NAMES + ["label"], 7), F.lit(8)))
+    model = mon.OnlineNB()
+    res = mon.prequential(model, [c.filter(F.col("_b") == i) for i in range(8)])
+    return spark.createDataFrame(res or [(0, 0, 0)], "batch int, correct long, scored long")
+
+
+@register("model_metadata")
+def q_model_metadata(spark, sf_dir):
+    """M10 + S8: train every model (small sizes), save and reload, return the metadata record."""
+    models, _ = mdl.train(cleaned(spark, sf_dir), trees_n=TEST_TREES, depth=TEST_DEPTH, iso_trees=TEST_ISO_TREES)
+    path = mdl.save(models, spark=spark)
+    back = mdl.load(spark, path)
+    meta = dict(back.metadata)
+    meta.pop("trained_at", None)
+    return mdl.metadata_frame(spark, meta)
