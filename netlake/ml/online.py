@@ -2,15 +2,18 @@
 
 State per class and feature is (n, sum x, sum x^2); a micro-batch adds one
 ``groupBy(label)`` aggregate (classes x features numbers), so updates are
-distributed and the state is tiny.  Prediction is a native Column expression
-(argmax of per-class log-likelihoods).  The reference's online learner is a
+distributed and the state is tiny.  Prediction is an Arrow-batched pandas UDF (argmax of
+per-class Gaussian log-likelihoods over a k x d parameter matrix).  The reference's online learner is a
 Hoeffding tree whose leaves use this same estimator; splits are not built.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -45,27 +48,34 @@ class OnlineNB:
                 st["q"][i] += float(r[f"q{i}"] or 0.0)
         return self
 
-    def _loglik(self, y: int) -> Column:
-        st = self.stats[y]
-        n = st["n"]
+    def params(self) -> tuple[list[int], "np.ndarray", "np.ndarray", "np.ndarray"]:
+        """classes, log priors, means (k x d), variances (k x d) — a few hundred numbers."""
+        classes = sorted(self.stats)
         total = self.n_seen
-        means = [s / n for s in st["s"]]
-        var = [max(q / n - m * m, 0.0) for q, m in zip(st["q"], means)]
-        vmax = max(var) if var else 0.0
-        var = [v + self.eps * max(vmax, 1.0) for v in var]
-        expr = F.lit(math.log(n / total))
-        for c, m, v in zip(self.features, means, var):
-            x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-            expr = expr - F.lit(0.5 * math.log(2 * math.pi * v)) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2 * v)
-        return expr
+        means = np.array([[s / self.stats[y]["n"] for s in self.stats[y]["s"]] for y in classes])
+        var = np.array([[max(q / self.stats[y]["n"] - m * m, 0.0) for q, m in zip(self.stats[y]["q"], means[i])]
+                        for i, y in enumerate(classes)])
+        var = var + self.eps * max(float(var.max()) if var.size else 0.0, 1.0)
+        prior = np.log(np.array([self.stats[y]["n"] / total for y in classes]))
+        return classes, prior, means, var
 
     def predict(self, df: DataFrame, out: str = "online_prediction") -> DataFrame:
+        """Argmax of per-class Gaussian log-likelihoods, one Arrow batch at a time."""
         if not self.stats:
             return df.withColumn(out, F.lit(None).cast("int"))
-        classes = sorted(self.stats)
-        scores = F.array(*[F.struct(self._loglik(y).alias("ll"), F.lit(-y).alias("neg")) for y in classes])
-        best = F.array_max(scores)
-        return df.withColumn(out, (-best.getField("neg")).cast("int"))
+        classes, prior, means, var = self.params()
+        cls = np.array(classes)
+        const = prior - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+
+        @F.pandas_udf("int")
+        def nb(xs: pd.Series) -> pd.Series:
+            if len(xs) == 0:
+                return pd.Series([], dtype="int32")
+            x = np.vstack(xs.to_numpy())
+            ll = const[None, :] - (((x[:, None, :] - means[None, :, :]) ** 2) / (2 * var[None, :, :])).sum(axis=2)
+            return pd.Series(cls[np.argmax(ll, axis=1)].astype("int32"))
+        vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features])
+        return df.withColumn(out, nb(vec))
 
 
 def prequential(model: OnlineNB, batches: list[DataFrame], label: str = "label") -> list[tuple[int, int, int]]:

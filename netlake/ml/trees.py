@@ -59,6 +59,8 @@ def cross_validate(df: DataFrame, folds_col: str = "fold", k: int = 5, trees: in
 
     Class weights are fitted inside each training fold.
     """
+    from ..plans.stage import materialize
+    df = materialize(df, "cv-folds")        # k trainings read one written table
     rows = []
     for f in range(k):
         tr = df.filter(F.col(folds_col) != f)

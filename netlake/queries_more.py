@@ -378,7 +378,8 @@ def raw_csv(spark, sf_dir):
 
 
 def cleaned(spark, sf_dir):
-    return ds.clean_flows(raw_csv(spark, sf_dir))
+    from .plans.stage import materialize
+    return materialize(ds.clean_flows(raw_csv(spark, sf_dir)), "flows-cleaned")
 
 
 @register("csv_cleaned", tds.CSV_CLEANED_SQL)
@@ -400,7 +401,8 @@ def q_label_distribution(spark, sf_dir):
 
 
 def split(spark, sf_dir):
-    return ds.stratified_split(cleaned(spark, sf_dir))
+    from .plans.stage import materialize
+    return materialize(ds.stratified_split(cleaned(spark, sf_dir)), "flows-split")
 
 
 @register("stratified_split", tds.SPLIT_SQL)
@@ -528,7 +530,9 @@ def q_cv_metrics(spark, sf_dir):
 @register("online_accuracy")
 def q_online_accuracy(spark, sf_dir):
     """M9 + T10 + A14: prequential accuracy of the online model over 8 hash-ordered batches."""
-    c = cleaned(spark, sf_dir).withColumn("_b", F.pmod(ds.row_hash(mdl.config.FEATURE_NAMES + ["label"], 7), F.lit(8)))
+    from .plans.stage import materialize
+    c = materialize(cleaned(spark, sf_dir).withColumn(
+        "_b", F.pmod(ds.row_hash(mdl.config.FEATURE_NAMES + ["label"], 7), F.lit(8))), "online-batches")
     model = mon.OnlineNB()
     res = mon.prequential(model, [c.filter(F.col("_b") == i) for i in range(8)])
     return spark.createDataFrame(res or [(0, 0, 0)], "batch int, correct long, scored long")
