@@ -547,3 +547,104 @@ def q_model_metadata(spark, sf_dir):
     meta = dict(back.metadata)
     meta.pop("trained_at", None)
     return mdl.metadata_frame(spark, meta)
+
+
+# ------------------------------------------------------------------ phase 9: streaming
+from .streaming import flows as sfl  # noqa: E402
+from .streaming import runner as srun  # noqa: E402
+from .streaming import state_ops as sst  # noqa: E402
+from .twins import behavior as tbh2  # noqa: E402
+from .twins import flows as tfl2  # noqa: E402
+
+FAR_US = 10 ** 12          # the end marker sits this far after the last event
+MARKER_IP = "0.0.0.250"
+
+
+def _staged(df, tag, n_files=4, marker=None):
+    hi = df.agg(F.max("ts_us")).first()[0]
+    m = dict(marker or {})
+    m.setdefault("ts_us", int(hi) + FAR_US)
+    path = srun.stage_files(df, "ts_us", n_files, tag, end_marker=m)
+    return srun.read_stream(df.sparkSession, path, df.schema)
+
+
+@register("stream_flows", tfl2.FLOW_FEATURES_SQL)
+def q_stream_flows(spark, sf_dir):
+    """T2 + T9: stateful streaming flow assembly (4 micro-batches) == batch flow_features."""
+    p = fx.packets(spark, sf_dir)
+    s = _staged(p, "packets", marker={"packet_id": -1, "src_ip": MARKER_IP, "dst_ip": MARKER_IP, "src_port": 0,
+                                      "dst_port": 0, "protocol": 0, "length": 0, "header_length": 0,
+                                      "window_size": -1, "tcp_flags": 0, "ip_version": 4})
+    return srun.run_to_table(sfl.stream_flows(s), "flows")
+
+
+@register("stream_throttle", trs.THROTTLE_GAPPY_SQL)
+def q_stream_throttle(spark, sf_dir):
+    """T4: streaming greedy cooldown == batch alerts_throttled."""
+    a = fx.alert_events(spark, sf_dir, "gappy")
+    s = _staged(a, "alerts", marker={"alert_id": -1, "label": "__end__", "src_ip": MARKER_IP})
+    out = srun.run_to_table(sst.stream_throttle(s), "throttle")
+    return out.filter(F.col("label") != "__end__").select("alert_id", "label", "ts_us")
+
+
+@register("stream_strikes", trs.STRIKES_SQL)
+def q_stream_strikes(spark, sf_dir):
+    """T5: streaming strikes / blocks with expiry == batch strikes."""
+    a = fx.strike_events(spark, sf_dir)
+    s = _staged(a, "strikes", marker={"event_id": -1, "src_ip": MARKER_IP, "label": "__end__"})
+    out = srun.run_to_table(sst.stream_strikes(s, duration_s=60), "strikes")
+    return out.filter(F.col("src_ip") != MARKER_IP).select("event_id", "src_ip", "ts_us", "label", "status",
+                                                           "strike_no")
+
+
+@register("stream_profiles", tbh2.RUNNING_SQL)
+def q_stream_profiles(spark, sf_dir):
+    """Streaming per-source profiles (1 h TTL) == batch ip_running_score."""
+    from .plans.stage import materialize
+    ev = materialize(behavior_events(spark, sf_dir), "profile-events")
+    s = _staged(ev, "profiles", marker={"flow_id": -1, "src_ip": MARKER_IP, "dst_port": 0, "label": "Normal",
+                                        "total_length_fwd_packets": 0})
+    out = srun.run_to_table(sst.stream_profiles(s), "profiles")
+    return out.filter(F.col("src_ip") != MARKER_IP).select(
+        "flow_id", "src_ip", "ts_us", "attack_count", "normal_count", "severe_count", "ports_count",
+        "recent_events", "threat_score", "risk_level")
+
+
+STREAM_DNS_WINDOWS_SQL = f"""WITH q AS ({fx.DNS_QUERIES_SQL}),
+w AS (SELECT src_ip, (ts_us // 10000000) * 10000000 - k * 10000000 AS window_start_us, ts_us
+      FROM q, (SELECT unnest(range(0, 6)) AS k) ks)
+SELECT window_start_us, src_ip, count(*) AS queries FROM w
+WHERE ts_us >= window_start_us AND ts_us < window_start_us + 60000000 GROUP BY window_start_us, src_ip"""
+
+
+@register("stream_dns_windows", STREAM_DNS_WINDOWS_SQL)
+def q_stream_dns_windows(spark, sf_dir):
+    """Per-source DNS queries in 60 s windows sliding by 10 s (watermarked, append)."""
+    q = fx.dns_queries(spark, sf_dir)
+    s = _staged(q, "dns", marker={"packet_id": -1, "src_ip": MARKER_IP, "qname": "end.marker"})
+    out = srun.run_to_table(sst.stream_rate_windows(s), "dnswin")
+    return out.filter(F.col("src_ip") != MARKER_IP)
+
+
+STREAM_LABEL_COUNTS_SQL = ("SELECT label, count(*) AS events FROM (" + fx.alert_events_sql("gappy") + ") t "
+                           "GROUP BY label")
+
+
+@register("stream_label_counts", STREAM_LABEL_COUNTS_SQL)
+def q_stream_label_counts(spark, sf_dir):
+    """Running label counts in complete mode; the last batch is the final table."""
+    a = fx.alert_events(spark, sf_dir, "gappy")
+    s = _staged(a, "labels", marker=None)
+    out = srun.run_to_table(sst.stream_label_counts(s), "labels", output_mode="complete")
+    last = out.agg(F.max("batch_id")).first()[0]
+    return out.filter((F.col("batch_id") == last) & (F.col("label").isNotNull())).select("label", "events")
+
+
+@register("stream_throughput", trs.THROUGHPUT_SQL)
+def q_stream_throughput(spark, sf_dir):
+    """Tumbling 2 s throughput on the packet stream == batch throughput."""
+    p = fx.packets(spark, sf_dir)
+    s = _staged(p, "tput", marker={"packet_id": -1, "src_ip": MARKER_IP, "dst_ip": MARKER_IP, "src_port": 0,
+                                   "dst_port": 0, "protocol": 0, "length": 0, "header_length": 0,
+                                   "window_size": -1, "tcp_flags": 0, "ip_version": 4})
+    return srun.run_to_table(sst.stream_throughput(s, ["10."]), "tput")
