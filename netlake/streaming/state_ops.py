@@ -158,11 +158,12 @@ def stream_throughput(packets: DataFrame, local_prefixes: list[str], interval: s
         for p in local_prefixes:
             cond = cond | F.col(c).startswith(p)
         return cond
-    # non-local traffic is dropped after the aggregation: a filter in front of it
-    # would be pushed below the watermark node and hide rows from the watermark
+    # non-local traffic is kept as direction "other" (callers drop it from the
+    # result): any filter here would be pushed below the watermark node
     p = _with_time(packets, watermark).withColumn(
-        "direction", F.when(is_local("src_ip"), F.lit("out")).when(is_local("dst_ip"), F.lit("in")))
+        "direction", F.when(is_local("src_ip"), F.lit("out")).when(is_local("dst_ip"), F.lit("in"))
+        .otherwise(F.lit("other")))
     secs = float(interval.split()[0])
     w = p.groupBy(F.window("event_time", interval), "direction").agg(F.sum("length").alias("_bytes"))
-    return w.filter(F.col("direction").isNotNull()).select(F.unix_micros(F.col("window.start")).alias("window_start_us"), "direction",
+    return w.select(F.unix_micros(F.col("window.start")).alias("window_start_us"), "direction",
                     round_bin(F.col("_bytes") / F.lit(1024.0) / F.lit(secs), 1).alias("kb_per_s"))
