@@ -649,3 +649,33 @@ def q_stream_throughput(spark, sf_dir):
                                    "window_size": -1, "tcp_flags": 0, "ip_version": 4})
     out = srun.run_to_table(sst.stream_throughput(s, ["10."]), "tput")
     return out.filter(F.col("direction") != "other")
+
+
+# ------------------------------------------------------------------ X3: SQL functions
+from .functions.sql import register_sql_functions  # noqa: E402
+
+SQL_FUNCTIONS_SQL = ("WITH " + tdn.dns_cte() + "\nSELECT packet_id, dga_reason, " + ten.scope_sql("src_ip")
+                     + " AS scope FROM dns")
+
+
+@register("sql_functions", SQL_FUNCTIONS_SQL)
+def q_sql_functions(spark, sf_dir):
+    """The SQL-callable functions used from SQL text over the DNS queries."""
+    register_sql_functions(spark)
+    fx.dns_queries(spark, sf_dir).createOrReplaceTempView("nl_dns_queries")
+    return spark.sql("SELECT packet_id, dga_reason(domain_label(TRIM(TRAILING '.' FROM qname))) AS dga_reason, "
+                     "ip_scope(src_ip) AS scope FROM nl_dns_queries")
+
+
+SQL_SCORE_SQL = tbh.RUNNING_SQL.replace("\nSELECT * FROM running",
+                                        "\nSELECT flow_id, threat_score, risk_level FROM running")
+
+
+@register("sql_threat_score", SQL_SCORE_SQL)
+def q_sql_threat_score(spark, sf_dir):
+    """threat_score / risk_level SQL functions over the running profile counts."""
+    register_sql_functions(spark)
+    bh.running_scores(behavior_events(spark, sf_dir)).createOrReplaceTempView("nl_running")
+    return spark.sql("SELECT flow_id, threat_score(attack_count, normal_count, ports_count, recent_events, "
+                     "severe_count) AS threat_score, risk_level(threat_score(attack_count, normal_count, ports_count, "
+                     "recent_events, severe_count)) AS risk_level FROM nl_running")
