@@ -679,3 +679,96 @@ def q_sql_threat_score(spark, sf_dir):
     return spark.sql("SELECT flow_id, threat_score(attack_count, normal_count, ports_count, recent_events, "
                      "severe_count) AS threat_score, risk_level(threat_score(attack_count, normal_count, ports_count, "
                      "recent_events, severe_count)) AS risk_level FROM nl_running")
+
+
+# ------------------------------------------------------------------ sinks: S5 / S6 / S10 / P23
+@register("export_rows", ten.EXPORT_SQL)
+def q_export_rows(spark, sf_dir):
+    """S6 pre-write frame: the log records without scores, nested cells as JSON text."""
+    return sk.export_rows(sk.log_records(detection_events(spark, sf_dir)))
+
+
+@register("event_log_roundtrip")
+def q_event_log_roundtrip(spark, sf_dir):
+    """S5 + S6: write the nested log as JSON lines and the CSV export, read both back."""
+    import uuid
+
+    from .session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/netlake/eventlog-{uuid.uuid4().hex}"
+    rec = sk.log_records(detection_events(spark, sf_dir))
+    sk.write_events(rec, base + "/jsonl", max_records_per_file=500)
+    sk.export_csv(rec, base + "/csv")
+    js = spark.read.json(base + "/jsonl")
+    cs = spark.read.option("header", True).csv(base + "/csv")
+    return js.select("timestamp", "src_ip", "label", F.col("geo.country").alias("geo_country")).join(
+        cs.select("timestamp", "src_ip", "label", F.col("threat").alias("threat_json")).dropDuplicates(
+            ["timestamp", "src_ip", "label"]), ["timestamp", "src_ip", "label"], "left")
+
+
+def detection_payload(d):
+    """The nested detection event (geo / threat / behavior structs)."""
+    return d.select(
+        F.date_format(F.timestamp_micros("last_seen_us"), "HH:mm:ss").alias("timestamp"), "src_ip", "dst_ip",
+        "dst_port", "label", "severity", "severity_icon", "confidence", "is_attack", "recommendation", "scores",
+        F.struct(*[F.col(f"geo_{c}").alias(c) for c in ("country", "country_code", "city", "lat", "lon", "flag",
+                                                        "is_proxy")]).alias("geo"),
+        F.struct(F.col("rep_abuse_score").alias("abuse_score"), F.col("rep_is_known_bad").alias("is_known_bad"),
+                 F.col("rep_total_reports").alias("total_reports"), F.col("rep_exposure").alias("exposure")).alias("threat"),
+        F.struct(F.coalesce("threat_score", F.lit(0.0)).alias("threat_score"),
+                 F.coalesce("risk_level", F.lit("LOW")).alias("risk_level")).alias("behavior"))
+
+
+@register("detection_payload")
+def q_detection_payload(spark, sf_dir):
+    """Nested detection event payload for a streaming or batch sink."""
+    return detection_payload(detection_events(spark, sf_dir))
+
+
+@register("alert_text")
+def q_alert_text(spark, sf_dir):
+    """P23 + S9: dispatch text for the throttled flow alerts, handed to a table writer."""
+    import uuid
+
+    from .session import checkpoint_dir
+    d = detection_events(spark, sf_dir).filter(F.col("is_attack"))
+    u = rs.union_alerts(d, None, None).select("alert_id", "ts_us", "label")
+    sent = rs.throttle(u).filter("emitted").select(F.col("alert_id").alias("flow_id"))
+    a = d.join(sent, "flow_id").withColumn("auto_blocked", F.lit(False)).withColumn("ts_us", F.col("last_seen_us"))
+    msg = rs.format_alerts(a).select("flow_id", "label", "severity_mark", "open_ports", "mitigation", "message")
+    out = f"{checkpoint_dir(spark).rstrip('/')}/netlake/alerts-{uuid.uuid4().hex}"
+    rs.dispatch_alerts(msg, sk.table_writer(out))
+    return spark.read.parquet(out)
+
+
+# ------------------------------------------------------------------ S3 / S4: capture files
+from .sources import capture as cap  # noqa: E402
+
+# a TCP header always carries a window; a table row's "no window" (-1) goes on the wire as 0
+CAPTURE_SQL = ("SELECT ts_us, src_ip, dst_ip, src_port, dst_port, protocol, length, header_length, "
+               "CASE WHEN protocol = 6 THEN greatest(window_size, 0) ELSE window_size END AS window_size, "
+               "tcp_flags, ip_version FROM (" + fx.PACKETS_SQL + ") t")
+
+
+@register("capture_roundtrip", CAPTURE_SQL)
+def q_capture_roundtrip(spark, sf_dir):
+    """S3 + S4: packets written as capture files (one per partition) and decoded back.
+
+    The wire has no "no window" value for TCP: -1 is written as 0."""
+    import uuid
+
+    from .session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/netlake/pcap-{uuid.uuid4().hex}"
+    cap.write_captures(fx.packets(spark, sf_dir), path, files=4)
+    return cap.read_captures(spark, path)
+
+
+@register("frames_decoded", CAPTURE_SQL)
+def q_frames_decoded(spark, sf_dir):
+    """Frame bytes in a table column decoded with mapInPandas."""
+    import pandas as pd
+
+    def to_frames(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"ts_us": pdf["ts_us"], "frame": [cap.encode_packet(r) for r in pdf.to_dict("records")]})
+    frames = fx.packets(spark, sf_dir).mapInPandas(to_frames, "ts_us long, frame binary")
+    return cap.decode_frames(frames)

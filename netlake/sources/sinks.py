@@ -5,14 +5,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import round_bin
+
 
 def log_records(events: DataFrame) -> DataFrame:
     """The nested log record (timestamp text, epoch 3 dp, verdict, scores, geo, threat)."""
     cols = events.columns
-    geo = [c for c in cols if c.startswith("geo_")]
-    rep = [c for c in ("rep_abuse_score", "rep_is_known_bad", "rep_total_reports", "rep_exposure") if c in cols]
+    geo = [c for c in ("geo_country", "geo_country_code", "geo_city", "geo_is_private") if c in cols]
+    rep = [c for c in ("rep_abuse_score", "rep_is_known_bad", "rep_total_reports") if c in cols]
     out = [F.date_format(F.timestamp_micros("last_seen_us"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-           F.round(F.col("last_seen_us") / F.lit(1e6), 3).alias("ts_epoch"),
+           round_bin(F.col("last_seen_us") / F.lit(1e6), 3).alias("ts_epoch"),
            "src_ip", "dst_ip", "dst_port", "label", "severity", "confidence", "rule_triggered", "recommendation"]
     if "scores" in cols:
         out.append("scores")
