@@ -67,22 +67,29 @@ def union_alerts(flows: DataFrame | None = None, dns: DataFrame | None = None,
 
 
 # ---------------------------------------------------------------- W7
+def _runs(cols: list[np.ndarray]) -> list[tuple[int, int]]:
+    """[start, end) of the runs of equal keys in sorted columns (vectorised)."""
+    n = len(cols[0])
+    if n == 0:
+        return []
+    change = np.zeros(n - 1, dtype=bool)
+    for c in cols:
+        change |= c[1:] != c[:-1]
+    cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
 def _throttle_fold(gap_us: int, key_cols: list[str], ts: str):
     def fold(batches):
         cur_key, last = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = list(zip(*[pdf[c].to_numpy() for c in key_cols]))
+            kcols = [pdf[c].to_numpy() for c in key_cols]
             tv = pdf[ts].to_numpy(dtype=np.int64)
             emitted = np.zeros(len(pdf), dtype=bool)
-            start = 0
-            n = len(pdf)
-            while start < n:
-                k = keys[start]
-                end = start
-                while end < n and keys[end] == k:
-                    end += 1
+            for start, end in _runs(kcols):
+                k = tuple(c[start] for c in kcols)
                 seg = tv[start:end]
                 if k != cur_key:
                     cur_key, last = k, None
@@ -91,7 +98,6 @@ def _throttle_fold(gap_us: int, key_cols: list[str], ts: str):
                     emitted[start + i] = True
                     last = int(seg[i])
                     i = int(np.searchsorted(seg, last + gap_us, "left"))
-                start = end
             yield pdf.assign(emitted=emitted)
     return fold
 
@@ -129,12 +135,8 @@ def _block_fold(threshold: int, dur_us: int, key: str, ts: str):
             n = len(pdf)
             status = np.empty(n, dtype=object)
             strike_no = np.zeros(n, dtype=np.int64)
-            start = 0
-            while start < n:
+            for start, end in _runs([keys]):
                 k = keys[start]
-                end = start
-                while end < n and keys[end] == k:
-                    end += 1
                 if k != cur:
                     cur, pending, until = k, 0, None
                 seg = tv[start:end]
@@ -162,11 +164,54 @@ def _block_fold(threshold: int, dur_us: int, key: str, ts: str):
                         strike_no[start + p:start + m] = np.arange(pending + 1, pending + 1 + (m - p))
                         pending += m - p
                         p = m
-                start = end
             yield pdf.assign(status=status, strike_no=strike_no)
     return fold
 
 
+def _block_fold_actions(threshold: int, dur_us: int, key: str, ts: str, action: str):
+    """Per-event variant used when manual ``block`` / ``unblock`` actions are mixed in."""
+    def fold(batches):
+        cur, pending, until = None, 0, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            status, nos = [], []
+            for k, t, act in zip(pdf[key].to_numpy(), pdf[ts].to_numpy(dtype=np.int64), pdf[action].to_numpy()):
+                t = int(t)
+                if k != cur:
+                    cur, pending, until = k, 0, None
+                if until is not None and t >= until:          # expired: unblocked, strikes cleared
+                    pending, until = 0, None
+                act = act or "attack"
+                if act == "block":
+                    if until is None:
+                        until = t + dur_us
+                        status.append("manual_block")
+                    else:
+                        status.append("noop")
+                    nos.append(0)
+                elif act == "unblock":
+                    if until is not None:
+                        pending, until = 0, None
+                        status.append("manual_unblock")
+                    else:
+                        status.append("noop")
+                    nos.append(0)
+                elif until is not None:
+                    status.append("ignored")
+                    nos.append(0)
+                else:
+                    pending += 1
+                    nos.append(pending)
+                    if pending >= threshold:
+                        status.append("blocked")
+                        until = t + dur_us
+                    else:
+                        status.append("strike")
+            yield pdf.assign(status=status, strike_no=np.array(nos, dtype=np.int64))
+    return fold
+
+
 def strikes_and_blocks(attacks: DataFrame, threshold: int = config.BLOCK_THRESHOLD,
                        duration_s: float = config.BLOCK_DURATION_S, whitelist: list[str] | None = None,
                        ip: str = "src_ip", ts: str = "ts_us", tie: str = "event_id") -> DataFrame:
@@ -175,7 +220,9 @@ def strikes_and_blocks(attacks: DataFrame, threshold: int = config.BLOCK_THRESHO
     Adds ``status`` (``strike`` / ``blocked`` = the strike that triggers a
     block / ``ignored`` = arrived while blocked) and ``strike_no``.  A block
     lasts ``duration_s`` (unblocked exactly at +duration, strikes cleared).
-    Whitelisted sources (J9) never enter the fold.
+    Whitelisted sources (J9) never enter the fold.  An optional ``action``
+    column (``attack`` / ``block`` / ``unblock``) folds manual decisions in
+    time order: a manual block keeps the strike count, an unblock clears it.
     """
     wl = config.DEFAULT_WHITELIST if whitelist is None else whitelist
     a = attacks.filter(F.col(ip).isNotNull() & ~F.col(ip).isin(*wl)) if wl else attacks
@@ -183,6 +230,8 @@ def strikes_and_blocks(attacks: DataFrame, threshold: int = config.BLOCK_THRESHO
     schema = T.StructType(a.schema.fields + [T.StructField("status", T.StringType(), False),
                                              T.StructField("strike_no", T.LongType(), False)])
     s = a.repartition(ip).sortWithinPartitions(ip, ts, tie)
+    if "action" in a.columns:
+        return s.mapInPandas(_block_fold_actions(threshold, dur_us, ip, ts, "action"), schema)
     return s.mapInPandas(_block_fold(threshold, dur_us, ip, ts), schema)
 
 
@@ -190,7 +239,7 @@ def blocks(strikes: DataFrame, duration_s: float = config.BLOCK_DURATION_S, ip:
            ts: str = "ts_us") -> DataFrame:
     """D15 interval rows ``(ip, blocked_at_us, unblocked_at_us)``."""
     dur_us = int(round(duration_s * 1_000_000))
-    return strikes.filter(F.col("status") == "blocked").select(
+    return strikes.filter(F.col("status").isin("blocked", "manual_block")).select(
         F.col(ip).alias("ip"), F.col(ts).alias("blocked_at_us"), (F.col(ts) + F.lit(dur_us)).alias("unblocked_at_us"))
 
 

@@ -33,3 +33,14 @@ def test_strikes_and_blocks(spark):
     now = rs.blocked_at(rs.blocks(rs.strikes_and_blocks(df, duration_s=60), duration_s=60), 70 * S, 60).collect()
     assert [(r["ip"], r["remaining_sec"]) for r in now] == [("1.2.3.4", 54)]
     _ = F
+
+
+def test_manual_block_and_unblock(spark):
+    rows = [(1, "9.9.9.9", 0, "attack"), (2, "9.9.9.9", 1 * S, "attack"), (3, "9.9.9.9", 2 * S, "block"),
+            (4, "9.9.9.9", 3 * S, "attack"), (5, "9.9.9.9", 4 * S, "unblock"), (6, "9.9.9.9", 5 * S, "attack"),
+            (7, "9.9.9.9", 6 * S, "unblock"), (8, "9.9.9.9", 7 * S, "block"), (9, "9.9.9.9", 70 * S, "attack")]
+    df = spark.createDataFrame(rows, "event_id long, src_ip string, ts_us long, action string")
+    got = {r["event_id"]: (r["status"], r["strike_no"]) for r in rs.strikes_and_blocks(df, duration_s=60).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["strike", "strike", "manual_block", "ignored", "manual_unblock",
+                                                 "strike", "noop", "manual_block", "strike"]
+    assert got[6][1] == 1 and got[9][1] == 1          # unblock and expiry clear the strikes
