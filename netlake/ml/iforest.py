@@ -1,7 +1,8 @@
 """Isolation forest (M6): not in pyspark.ml, built from Spark primitives.
 
-* Train: a Bernoulli sample of about ``n_trees * psi`` rows, each sampled row
-  assigned to one tree by hash; ``groupBy(tree_id).applyInPandas`` grows one
+* Train: about ``n_trees * psi`` rows go to the tree builders — a Bernoulli
+  sample with one tree per row when the data is larger, otherwise every row
+  replicated to ceil(n_trees * psi / n) distinct trees; ``groupBy(tree_id).applyInPandas`` grows one
   isolation tree per group (a group holds ~psi rows: bounded).  Trees come
   back as a node table (tree_id, node, feature, threshold, left, right, size).
 * Score: the node table is broadcast in chunks whose node count is bounded
@@ -67,10 +68,20 @@ def fit_iforest(df: DataFrame, features: list[str], n_trees: int = 300, max_samp
     """Grow ``n_trees`` isolation trees on ``df``; returns (node table, psi)."""
     n = df.count()
     psi = int(min(n, max_samples))
-    frac = min(1.0, n_trees * psi / max(n, 1) * 1.05)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    smp = df.select(*features).sample(withReplacement=False, fraction=frac, seed=seed)
-    smp = smp.withColumn("tree_id", F.pmod(F.xxhash64(*features, F.rand(seed)), F.lit(n_trees)).cast("int"))
+    need = n_trees * psi                        # rows handed to the tree builders: bounded by the parameters
+    if need <= n:
+        # each sampled row feeds one tree
+        smp = df.select(*features).sample(withReplacement=False, fraction=min(1.0, need / max(n, 1) * 1.05),
+                                          seed=seed)
+        smp = smp.withColumn("tree_id", F.pmod(F.xxhash64(*features, F.rand(seed)), F.lit(n_trees)).cast("int"))
+    else:
+        # every row feeds r distinct trees (consecutive ids from a random offset), so each tree sees ~psi rows
+        r = min(int(math.ceil(need / max(n, 1))), n_trees)
+        smp = df.select(*features, F.floor(F.rand(seed) * n_trees).cast("int").alias("_t0"))
+        smp = smp.select(*features, F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_k"), "_t0")
+        smp = smp.withColumn("tree_id", F.pmod(F.col("_t0") + F.col("_k"), F.lit(n_trees)).cast("int")).drop(
+            "_t0", "_k")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tid = int(pdf["tree_id"].iloc[0])
