@@ -9,8 +9,10 @@ Plan shape (batch):
   ``(key, time bucket)`` partitioning: one hash exchange of the packets, the
   second pass reuses it.  A flooding 5-tuple is split over time buckets.
 * A1 is one ``groupBy(key, flow_id)`` of algebraic aggregates (count, sum,
-  min, max, min_by, integer moments), so partial aggregation runs before the
-  exchange and a huge flow is merged from per-bucket partials.
+  min, max, exact DECIMAL moments) with fixed-width buffers, planned as a
+  HashAggregate: partial aggregation runs before the exchange and a huge flow
+  is merged from per-bucket partials.  The first sender and the first window
+  per direction come from the scan pass as row flags, not ``min_by``.
 """
 from __future__ import annotations
 
@@ -108,11 +110,16 @@ def assign_flows(packets: DataFrame, timeout_s: float = config.FLOW_TIMEOUT_S,
                ("_first_lo_x", F.when(F.col("boundary"), F.col("s_lo"))),
                ("_prev_lo", F.when(F.col("s_lo"), order)),
                ("_prev_hi", F.when(~F.col("s_lo"), order)),
-               ("_seg_start_x", F.when(F.col("boundary") | F.col("_act_gap"), F.col("ts_us")))])
+               ("_seg_start_x", F.when(F.col("boundary") | F.col("_act_gap"), F.col("ts_us"))),
+               ("_win_lo", F.when(F.col("s_lo") & (F.col("window_size") >= 0), order)),
+               ("_win_hi", F.when(~F.col("s_lo") & (F.col("window_size") >= 0), order))])
     start = F.when(F.col("boundary"), order).otherwise(F.col("_start_x"))
     first_lo = F.when(F.col("boundary"), F.col("s_lo")).otherwise(F.col("_first_lo_x"))
     prev_same = F.when(F.col("s_lo"), F.col("_prev_lo")).otherwise(F.col("_prev_hi"))
     in_flow = prev_same.isNotNull() & (prev_same >= start)
+    prev_win = F.when(F.col("s_lo"), F.col("_win_lo")).otherwise(F.col("_win_hi"))
+    # W9 as a per-row flag: the first packet of its direction in the flow with a window >= 0
+    first_win = (F.col("window_size") >= 0) & ~(prev_win.isNotNull() & (prev_win >= start))
     return p.select(
         *[c for c in packets.columns], *[c for c in FLAG_NAMES if c not in packets.columns],
         *FLOW_KEY[:4], "s_lo", "boundary",
@@ -121,7 +128,13 @@ def assign_flows(packets: DataFrame, timeout_s: float = config.FLOW_TIMEOUT_S,
         F.when(~F.col("boundary"), gap).alias("flow_iat_us"),
         F.when(in_flow, F.col("ts_us") - prev_same.getField("ts_us")).alias("dir_iat_us"),
         F.when(F.col("_act_gap"), gap).alias("idle_us"),
-        F.when(F.col("_act_gap"), F.col("_prev_ts") - F.col("_seg_start_x")).alias("active_us"))
+        F.when(F.col("_act_gap"), F.col("_prev_ts") - F.col("_seg_start_x")).alias("active_us"),
+        first_win.alias("first_win"),
+        # the first sender's endpoints follow from the key and its direction (no per-flow min_by)
+        F.when(first_lo, F.col("k_ip_a")).otherwise(F.col("k_ip_b")).alias("f_src_ip"),
+        F.when(first_lo, F.col("k_ip_b")).otherwise(F.col("k_ip_a")).alias("f_dst_ip"),
+        F.when(first_lo, F.col("k_port_a")).otherwise(F.col("k_port_b")).alias("f_src_port"),
+        F.when(first_lo, F.col("k_port_b")).otherwise(F.col("k_port_a")).alias("f_dst_port"))
 
 
 # ---------------------------------------------------------------- A1
@@ -162,13 +175,12 @@ def flow_features(assigned: DataFrame) -> DataFrame:
     """
     fwd, bwd = F.col("fwd"), ~F.col("fwd")
     ln = F.col("length")
-    order = F.struct(F.col("ts_us"), F.col("packet_id"))
 
     def cnt(c: Column) -> Column:
         return F.count_if(c)
 
+    # every buffer is fixed-width or a DECIMAL sum, so this plans as a HashAggregate
     aggs = [
-        F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port"), order).alias("first"),
         F.min("ts_us").alias("first_seen_us"), F.max("ts_us").alias("last_seen_us"),
         *_moments("fl", F.when(fwd, ln)), *_moments("bl", F.when(bwd, ln)), *_moments("al", ln),
         *_moments("fi", F.col("flow_iat_us")),
@@ -179,11 +191,11 @@ def flow_features(assigned: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(fwd, F.col("header_length"))), F.lit(0).cast("long")).alias("fwd_hdr"),
         F.coalesce(F.sum(F.when(bwd, F.col("header_length"))), F.lit(0).cast("long")).alias("bwd_hdr"),
         *[cnt(F.col(f)).alias(f"n_{f}") for f in ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")],
-        F.min_by(F.col("window_size"), F.when(fwd & (F.col("window_size") >= 0), order)).alias("win_f"),
-        F.min_by(F.col("window_size"), F.when(bwd & (F.col("window_size") >= 0), order)).alias("win_b"),
+        F.max(F.when(fwd & F.col("first_win"), F.col("window_size"))).alias("win_f"),
+        F.max(F.when(bwd & F.col("first_win"), F.col("window_size"))).alias("win_b"),
         cnt(fwd & (ln > 0)).alias("act_data"),
     ]
-    g = assigned.groupBy(*FLOW_KEY, "flow_id").agg(*aggs)
+    g = assigned.groupBy(*FLOW_KEY, "flow_id", "f_src_ip", "f_dst_ip", "f_src_port", "f_dst_port").agg(*aggs)
 
     nf, nb = F.col("fl_n"), F.col("bl_n")
     fb = F.coalesce(F.col("fl_s"), F.lit(0).cast("long"))
@@ -250,11 +262,9 @@ def flow_features(assigned: DataFrame) -> DataFrame:
         "idle_max": r4(idl["max"]), "idle_min": r4(idl["min"]),
     }
     assert list(feats) == config.FEATURE_NAMES
-    first = F.col("first")
     return g.select(
-        "flow_id",
-        first.getField("src_ip").alias("src_ip"), first.getField("dst_ip").alias("dst_ip"),
-        first.getField("src_port").alias("src_port"), first.getField("dst_port").alias("dst_port"),
+        "flow_id", F.col("f_src_ip").alias("src_ip"), F.col("f_dst_ip").alias("dst_ip"),
+        F.col("f_src_port").alias("src_port"), F.col("f_dst_port").alias("dst_port"),
         "protocol", "first_seen_us", "last_seen_us",
         *[c.alias(n) for n, c in feats.items()])
 
