@@ -42,21 +42,22 @@ def normalize(raw: DataFrame, label_map: dict[str, int] | None = None) -> DataFr
     """P4 + P5 + P6: canonical columns as DOUBLE, ``label`` (unmapped -> 4), ``label_mapped``."""
     lm = label_map or config.CSV_LABEL_MAP
     plan = header_plan(raw.columns)
-    by_name: dict[str, str] = {}
+    # files unioned by name may spell one header differently: every raw column that
+    # maps to the same canonical name is coalesced, row by row
+    by_name: dict[str, list[str]] = {}
     for src, dst in plan.items():
-        by_name.setdefault(dst, src)
+        by_name.setdefault(dst, []).append(src)
     if "label_raw" not in by_name:
         if "Label" in raw.columns:
-            by_name["label_raw"] = "Label"
+            by_name["label_raw"] = ["Label"]
         else:
             raise ValueError("Label column not found")
-    feats = []
-    for f in config.FEATURE_NAMES:
-        if f in by_name:
-            feats.append(F.expr(f"try_cast(`{by_name[f]}` as double)").alias(f))
-        else:
-            feats.append(F.lit(0.0).alias(f))
-    mapped = _label_map_col(F.col(f"`{by_name['label_raw']}`"), lm)
+
+    def pick(name: str, cast: bool) -> Column:
+        cols = [F.expr(f"try_cast(`{c}` as double)") if cast else F.col(f"`{c}`") for c in by_name[name]]
+        return cols[0] if len(cols) == 1 else F.coalesce(*cols)
+    feats = [pick(f, True).alias(f) if f in by_name else F.lit(0.0).alias(f) for f in config.FEATURE_NAMES]
+    mapped = _label_map_col(pick("label_raw", False), lm)
     return raw.select(*feats, F.coalesce(mapped, F.lit(config.UNMAPPED_LABEL_ID)).cast("int").alias(LABEL),
                       mapped.isNotNull().alias("label_mapped"))
 
