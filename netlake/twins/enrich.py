@@ -114,8 +114,8 @@ EXPORT_SQL = DETECTION_SQL.split("\nSELECT v.flow_id", 1)[0] + """
 SELECT strftime(make_timestamp(v.last_seen_us), '%Y-%m-%d %H:%M:%S') AS timestamp,
   round(v.last_seen_us / 1e6, 3) AS ts_epoch, v.src_ip, v.dst_ip, v.dst_port, v.label, v.severity, v.confidence,
   v.rule_triggered, v.recommendation,
-  to_json(struct_pack(country := g.country, country_code := g.country_code, city := g.city,
-                      is_private := g.is_private)) AS geo,
-  to_json(struct_pack(abuse_score := p.rep_abuse_score, is_known_bad := p.rep_is_known_bad,
-                      total_reports := p.rep_total_reports)) AS threat
+  CAST(to_json(struct_pack(country := g.country, country_code := g.country_code, city := g.city,
+                      is_private := g.is_private)) AS VARCHAR) AS geo,
+  CAST(to_json(struct_pack(abuse_score := p.rep_abuse_score, is_known_bad := p.rep_is_known_bad,
+                      total_reports := p.rep_total_reports)) AS VARCHAR) AS threat
 FROM verdicts v LEFT JOIN geo g ON v.src_ip = g.ip LEFT JOIN rep p ON v.flow_id = p.event_id"""
