@@ -61,7 +61,11 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.flow_features(assigned(spark, sf_dir))
+    """Flow table for downstream operators: written once under the checkpoint folder, so
+    consumers (verdicts, profiles, enrichment, alerts) read ~1 row per flow instead of
+    re-running flow assembly, and stages stay small enough for whole-stage codegen."""
+    from .plans.stage import materialize
+    return materialize(fl.flow_features(assigned(spark, sf_dir)), "flows")
 
 
 @register("packets_clean", "SELECT * FROM (" + fx.PACKETS_LOOPBACK_SQL + ") t "
@@ -101,4 +105,4 @@ def q_flow_active_idle(spark, sf_dir):
 @register("flow_features", tfl.FLOW_FEATURES_SQL)
 def q_flow_features(spark, sf_dir):
     """A1: the 77 flow features per flow."""
-    return flows(spark, sf_dir)
+    return fl.flow_features(assigned(spark, sf_dir))
