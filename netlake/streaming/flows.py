@@ -188,6 +188,9 @@ def _assembler(timeout_us: int, active_us: int):
             if bool(row.fin) or bool(row.rst):
                 out.append(features(a))
                 a = None
+        if a is not None and a["last"] // 1000 + timeout_us // 1000 + 1 <= state.getCurrentWatermarkMs():
+            out.append(features(a))            # its timeout is already behind the watermark: expired now
+            a = None
         if a is None:
             state.remove()
         else:

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+LAST_RUN: dict = {}        # T9 accounting of the last run_to_table call
+
+
 def _base(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/netlake/stream-{tag}-{uuid.uuid4().hex}"
 
@@ -69,4 +72,13 @@ def run_to_table(stream: DataFrame, tag: str, output_mode: str = "append") -> Da
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    progress = q.recentProgress
+    LAST_RUN.clear()
+    LAST_RUN.update({
+        "tag": tag, "batches": len(progress),
+        "input_rows": sum(int(p.get("numInputRows", 0)) for p in progress),
+        # Rows later than the watermark are dropped by the stateful operator and counted here
+        "late_rows_dropped": sum(int(so.get("numRowsDroppedByWatermark", 0))
+                                 for p in progress for so in p.get("stateOperators", [])),
+    })
     return spark.read.parquet(out)

@@ -85,7 +85,12 @@ def stream_strikes(attacks: DataFrame, threshold: int = config.BLOCK_THRESHOLD,
                 until = ts + dur_us
             else:
                 status.append("strike")
-        state.update((json.dumps([pending, until]),))
+        if until is not None and until // 1000 + 1 <= state.getCurrentWatermarkMs():
+            pending, until = 0, None             # the block already ended behind the watermark
+        if until is None and pending == 0:
+            state.remove()
+        else:
+            state.update((json.dumps([pending, until]),))
         if until is not None:
             state.setTimeoutTimestamp(until // 1000 + 1)
         out = pdf.assign(status=status, strike_no=nos)
@@ -125,8 +130,12 @@ def stream_profiles(events: DataFrame, id_col: str = "flow_id", window_s: int =
             rec = sum(1 for t in recent if t > ts - w_us)
             rows.append((int(getattr(r, id_col)), key[0], ts, st["a"], st["n"], st["s"], len(ports), rec))
         st["ports"], st["recent"] = sorted(ports), list(recent)
-        state.update((json.dumps(st),))
-        state.setTimeoutTimestamp(max(recent) // 1000 + stale_us // 1000 + 1)
+        expiry = max(recent) // 1000 + stale_us // 1000 + 1
+        if expiry <= state.getCurrentWatermarkMs():
+            state.remove()                       # already stale behind the watermark
+        else:
+            state.update((json.dumps(st),))
+            state.setTimeoutTimestamp(expiry)
         yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
     out = _with_time(ev, watermark).groupBy("src_ip").applyInPandasWithState(
         step, out_schema, ONE, "append", GroupStateTimeout.EventTimeTimeout)
