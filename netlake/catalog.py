@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .operators import flows as fl
-from .session import apply_engine_conf
+from .session import apply_engine_conf, ship_package
 from .twins import flows as tfl
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_engine_conf(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

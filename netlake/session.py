@@ -63,3 +63,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``netlake`` importable in Python workers (pandas UDFs, mapInPandas, streaming state).
+
+    Zips the package once per SparkContext and registers it with ``addPyFile``,
+    Spark's own mechanism for distributing Python code to executors.
+    """
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_netlake_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="netlake-pkg-"), f"netlake-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._netlake_shipped = True
