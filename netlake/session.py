@@ -51,17 +51,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and model tables.
 
     Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared
-    folder there).  Only when it is unset (tests, local runs) a scratch folder
-    is created and registered.
+    folder there), else the context's checkpoint folder.  Where neither is set,
+    a single-machine session gets a scratch folder of its own; on a cluster the
+    call fails, because executors do not share the driver's disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="netlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

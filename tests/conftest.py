@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,6 +13,4 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from netlake.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=4, app="netlake-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="netlake-test-ckpt-"))
     yield s
