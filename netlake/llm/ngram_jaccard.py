@@ -16,9 +16,10 @@ the scheme with another hash family, and only the last family sends empties.
 
 Links.  Within the rows that share a signature only links to one of them (the
 centre) are candidates, never all pairs.  Candidates are verified exactly.
-Where a signature's rows still lie in different components, the rows not yet
-compared form the next round with another centre; rounds end when no signature
-is left, so no link between different components is lost.
+Where a signature's rows still lie in different components, the pairs that
+their distances to the centre (a metric) leave possible are listed by an exact
+prefix filter on rare shingles and verified; this repeats until no untested
+pair is left, so no link between different components is lost.
 
 Scale.  A signature that occurs again within an Arrow batch is paired there and
 sent once, so a hot signature costs a row per batch in the shuffle.  The rest is
@@ -35,6 +36,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import materialize
@@ -110,7 +112,12 @@ _SIGNED = "kind tinyint, sig long, doc long, other long"
 
 
 def _signed(width: int, num: int, den: int):
-    """Arrow batches of (id, text) -> kind 0: a signature; 1: one paired within the batch; 2: (set size, id)."""
+    """Arrow batches of (id, text) -> kind 0: a signature; 1: one paired within the batch; 2: (set size, id).
+
+    A centre is the row that meets most others over all its signatures: the core
+    of a group of near copies, not a stranger that shares a passage with it.
+    ``other`` holds that count for kind 0 and the centre for kind 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +133,13 @@ def _signed(width: int, num: int, den: int):
                     sigs.append(s)
                     owner.append(np.full(len(s), ids[d]))
             s, o = np.concatenate(sigs).view(np.int64), np.concatenate(owner).astype(np.int64)
-            order = np.lexsort((o, s))
-            s, o = s[order], o[order]
+            row = np.repeat(np.arange(len(ids)), [len(x) for x in owner])
+            order = np.argsort(s, kind="stable")
+            s, o, row = s[order], o[order], row[order]
+            group = np.cumsum(np.concatenate((s[:1] == s[:1], s[1:] != s[:-1]))) - 1
+            met = np.bincount(row, np.bincount(group)[group] - 1, len(ids)).astype(np.int64) if len(s) else np.zeros(len(ids), np.int64)
+            order = np.lexsort((o, -met[row], group))
+            s, o, row = s[order], o[order], row[order]
             head = np.ones(len(s), bool)
             head[1:] = s[1:] != s[:-1]
             centre = o[np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))] if len(s) else o
@@ -137,14 +149,14 @@ def _signed(width: int, num: int, den: int):
                 pa.array(np.repeat(np.array([0, 1, 2], np.int8), [n0, n1, n2])),
                 pa.array(np.concatenate((s[head], s[again], sizes))),
                 pa.array(np.concatenate((o[head], o[again], ids))),
-                pa.array(np.concatenate((np.zeros(n0, np.int64), centre[again], np.zeros(n2, np.int64)))),
+                pa.array(np.concatenate((met[row[head]], centre[again], np.zeros(n2, np.int64)))),
             ], names=["kind", "sig", "doc", "other"])
 
     return run
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, doc): every row but the first of a signature is paired with that first; other kinds pass."""
+    """Rows sorted by (sig, meetings downwards, doc): every row but the first of a signature is paired with that first; other kinds pass."""
     last_sig, last_doc, open_ = 0, 0, False
     for batch in batches:
         kind = batch.column(0).to_numpy(zero_copy_only=False)
@@ -236,64 +248,91 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     rows = docs.mapInArrow(_signed(width, num, den), _SIGNED)
-    rows = rows.repartition(F.expr("if(kind = 0, sig, doc)")).sortWithinPartitions("sig", "doc")
+    rows = rows.repartition(F.expr("if(kind = 0, sig, doc)")).sortWithinPartitions("sig", F.desc("other"), "doc")
     rows = materialize(rows.mapInArrow(_pair_up, _SIGNED), "partenum")
     sizes = rows.where("kind = 2").select("doc", F.col("sig").alias("n"))
     shared = rows.where("kind = 1").select("sig", "doc", "other")
     tested = materialize(verified(docs, shared.select("doc", "other").distinct(), width, num, den), "links")
+    first = tested
     while True:
-        failed = tested.where("not similar").select("doc", "other")
         links = tested.where("similar")
-        if failed.isEmpty():
+        if tested.where("not similar").isEmpty():
             return sizes, links
         label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
-        again = remaining(shared, failed, label, tested)
-        if again is None:
+        again = remaining(docs, shared, first, label, tested, width, num, den)
+        if again.isEmpty():
             return sizes, links
         tested = materialize(tested.union(verified(docs, again, width, num, den)), "links")
 
 
-def remaining(shared: DataFrame, failed: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame | None:
-    """Next centre pairs of the signatures whose rows lie in more than one component; None when there are none.
+def remaining(docs: DataFrame, shared: DataFrame, first: DataFrame, label: DataFrame, tested: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs ``(doc, other)`` that share a signature, lie in different components and may still be similar.
 
-    The next centre of a signature is its row with the smallest hash among the
-    rows not yet a centre there; it meets the rows of other components, save
-    those pairs tested already.
+    Jaccard distance is a metric, and every row of a signature has a known
+    distance to its centre: rows whose distances to the signature's first centre
+    (known within bounds ``lo`` and ``hi``) are further apart than the threshold
+    are no candidates.  A signature's largest component (the group of near copies
+    itself) meets only the strangers within that reach.  What is left is paired
+    by rare shingles.
     """
-    sigs = shared.join(failed, ["doc", "other"], "left_semi").select("sig").distinct()
-    rows = shared.join(sigs, "sig", "left_semi")
-    rows = rows.select("sig", "doc").union(rows.select("sig", F.col("other").alias("doc"))).distinct()
+    far = (den - num) / den + 1e-9
+    d = shared.join(first.select("doc", "other", F.expr("1 - common / (n_doc + n_other - common)").alias("d"), "similar"), ["doc", "other"])
+    open_ = d.where("not similar").select("sig").distinct()
+    d = d.join(open_, "sig", "left_semi").select("sig", "doc", "other", "d")
+    # a centre of one batch may itself be a member under the signature's first centre
+    up = d.select("sig", F.col("doc").alias("other"), F.col("d").alias("step"))
+    rows = d.join(up, ["sig", "other"], "left").select(
+        "sig", "doc", F.expr("if(step is null, d, abs(d - step))").alias("lo"), F.expr("d + coalesce(step, 0D)").alias("hi"))
+    tops = d.select("sig", F.col("other").alias("doc")).distinct().join(d.select("sig", "doc"), ["sig", "doc"], "left_anti")
+    rows = rows.union(tops.select("sig", "doc", F.lit(0.0), F.lit(0.0)))
+    rows = rows.groupBy("sig", "doc").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     rows = rows.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rows = rows.join(mixed, "sig", "left_semi")
     rows = materialize(rows, "mixed")
+    main = rows.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    main = main.groupBy("sig").agg(F.max(F.struct("n", "component", "lo", "hi")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("sig", F.col("m.component").alias("mc"), F.col("m.lo").alias("mlo"), F.col("m.hi").alias("mhi"))
+    rows = rows.join(main, "sig")
+    strangers = rows.where("component <> mc").withColumn("near", F.expr(f"lo - mhi <= {far} and mlo - hi <= {far}"))
+    edge = strangers.where("near").groupBy("sig").agg(F.min("lo").alias("elo"), F.max("hi").alias("ehi"))
+    mains = rows.where("component = mc").join(edge, "sig").where(f"lo - ehi <= {far} and elo - hi <= {far}")
+    left = strangers.select("doc", "component").union(mains.select("doc", "component")).distinct()
     met = tested.select("doc", "other").union(tested.select(F.col("other").alias("doc"), F.col("doc").alias("other")))
-    small = rows.groupBy("sig").agg(F.count("*").alias("n")).where(f"n <= {SMALL_GROUP}").select("sig")
-    few = rows.join(small, "sig", "left_semi")
-    pairs = few.alias("x").join(few.alias("y"), F.expr("x.sig = y.sig and x.doc < y.doc and x.component <> y.component")).select(
-        F.col("x.doc").alias("doc"), F.col("y.doc").alias("other"))
-    many = rows.join(small, "sig", "left_anti")
-    pairs = pairs.union(centre_pairs(many, met)).distinct().join(met, ["doc", "other"], "left_anti")
-    pairs = materialize(pairs, "again")
-    return None if pairs.isEmpty() else pairs
+    pairs = rare_pairs(docs, materialize(left, "left"), width, num, den)
+    return materialize(pairs.join(met, ["doc", "other"], "left_anti"), "again")
+
 
+def _items(width: int):
+    """(doc, text, component) -> one row (doc, component, n, item) per distinct shingle."""
 
-#: Rows of a signature up to which the pairs not settled by components are listed in one round.
-SMALL_GROUP = 32
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(1))
+            for i, j in blocks(off):
+                sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                n = np.array([len(v) for v in sets], np.int64)
+                take = pa.array(np.repeat(np.arange(i, j), n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(np.repeat(n, n)), as_long(np.concatenate(sets))],
+                                                 names=["doc", "component", "n", "item"])
+
+    return run
 
 
-def centre_pairs(rows: DataFrame, met: DataFrame) -> DataFrame:
-    """For each large signature, one more centre against the rows of other components.
+def rare_pairs(docs: DataFrame, left: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs of ``left(doc, component)`` in different components that share one of their rarest shingles.
 
-    The centre is the row with untested partners left that hashes lowest, so each round settles a row of every signature.
+    Under one order of all shingles, rarest first, similar sets share one among
+    the first ``n - ceil(num n / den) + 1`` of each.  Documents that have only a
+    common passage alike differ there.  Sets whose first shared place comes too
+    late for the overlap they need are no candidates (positional bound).
     """
-    open_rows = rows.groupBy("sig", "component").agg(F.min(F.struct(F.xxhash64("doc", "sig"), "doc")).alias("best"))
-    done = rows.alias("x").join(met.alias("m"), F.expr("x.doc = m.doc")).groupBy("x.sig", "x.doc").count()
-    width = rows.groupBy("sig").agg(F.count("*").alias("n"))
-    live = rows.join(done, ["sig", "doc"], "left").join(width, "sig").where("coalesce(count, 0) < n - 1")
-    c = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64("doc", "sig").alias("h"), F.col("doc").alias("c"), F.col("component").alias("cc"))).alias("m"))
-    c = c.select("sig", "m.c", "m.cc")
-    return rows.join(c, "sig").where("component <> cc").select(F.least("doc", "c").alias("doc"), F.greatest("doc", "c").alias("other"))
+    items = materialize(docs.join(left, "doc").select("doc", "text", "component").mapInArrow(_items(width), "doc long, component long, n long, item long"), "items")
+    seen = items.groupBy("item").agg(F.count("*").alias("seen"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    w = Window.partitionBy("doc").orderBy("seen", "item")
+    first = items.join(seen, "item").withColumn("place", F.row_number().over(w))
+    first = first.where(f"place <= n - ceil(n * {num} / {den}) + 1 and c0 < c1").select("item", "doc", "component", "n", "place")
+    pairs = first.alias("x").join(first.alias("y"), F.expr(
+        f"x.item = y.item and x.doc < y.doc and x.component <> y.component and (1 + least(x.n - x.place, y.n - y.place)) * {num + den} >= (x.n + y.n) * {num}"))
+    return pairs.select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("other")).distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
