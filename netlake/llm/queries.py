@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import line_dedup, ngram_jaccard, packing, secret_scan
+from . import decontaminate, line_dedup, ngram_jaccard, packing, secret_scan
 from .tokens import public_bpe
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.size("lines_removed").cast("long").alias("n_removed"), F.array_join(F.transform("lines_removed", lambda i: i.cast("string")), ",").alias("removed"), F.md5("text").alias("kept_md5"))
+
+
+@register("op3_decontaminate", None)
+def op3(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
