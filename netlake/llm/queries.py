@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, line_dedup, ngram_jaccard, packing, secret_scan
+from . import decontaminate, language_crf, line_dedup, ngram_jaccard, packing, secret_scan, toxicity
 from .tokens import public_bpe
 
 QUERIES: dict = {}
@@ -54,3 +54,16 @@ def op9(spark, sf_dir):
 @register("op3_decontaminate", None)
 def op3(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_toxicity", None)
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model).select("doc_id", language_crf.held_out().alias("held_out"), "score", "predicted")
+
+
+@register("op10_language_crf", None)
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_crf.predict(docs, language_crf.fit(docs)).select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score")
