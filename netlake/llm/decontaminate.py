@@ -199,15 +199,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The benchmark is read in blocks of ``block_chars`` so that no task holds more than one block's index.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out, items, held = None, [], 0
+    out = None
+    for ix in indexes(benchmark, item_col, item_text, q, window, error, block_chars):
+        found = rows.mapInArrow(_find(ix), "doc_id long, item_id long, edits long, start long, end long")
+        out = found if out is None else out.unionAll(found)
+    return out
 
-    def passed() -> DataFrame:
-        found = rows.mapInArrow(_find(Index(items, q, window, error)), "doc_id long, item_id long, edits long, start long, end long")
-        return found if out is None else out.unionAll(found)
 
+def indexes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", q: int = Q, window: int = WINDOW, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
+    """The benchmark's windows in blocks of about ``block_chars`` characters; one empty block for an empty table."""
+    items, held = [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct().sort("i", "t").toLocalIterator():
         if items and held + len(r.t) > block_chars:
-            out, items, held = passed(), [], 0
+            yield Index(items, q, window, error)
+            items, held = [], 0
         items.append((r.i, r.t))
         held += len(r.t)
-    return passed()
+    yield Index(items, q, window, error)
+
+
+def _clean(ix: Index, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(batch.schema.get_field_index(column)))
+            keep = np.ones(batch.num_rows, bool)
+            for i, j in blocks(off):
+                norm, ptr, _ = normalise(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                for hit in verified(norm, ptr, ix):
+                    keep[i + hit[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a passage of a benchmark item, all columns kept, without a shuffle."""
+    for ix in indexes(benchmark):
+        docs = docs.mapInArrow(_clean(ix, text_col), docs.schema)
+    return docs

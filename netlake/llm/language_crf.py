@@ -194,29 +194,48 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, batches: int = 1
     return m
 
 
+def judge(model: Crf | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text of a column."""
+    data, off = buffers(texts)
+    pred, score = ["und"] * len(texts), np.zeros(len(texts))
+    for i, j in blocks(off) if model else ():
+        cut = data[off[i] : off[j]]
+        fixed, tri, tri_ptr, ptr = word_features(cut, off[i : j + 1] - off[i])
+        gamma, _ = posteriors(model.emissions(fixed, tri, tri_ptr), ptr, model.trans, model.start)
+        mass = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)))
+        mass = mass[ptr[1:]] - mass[ptr[:-1]]
+        letter = np.concatenate(([0], np.cumsum(((cut | 32) >= 97) & ((cut | 32) <= 122) & (cut < 128))))
+        plain = letter[off[i + 1 : j + 1] - off[i]] > letter[off[i:j] - off[i]]
+        for d in np.flatnonzero(np.diff(ptr) > 0).tolist():
+            if plain[d] or any(ch.isalpha() for ch in texts[i + d].as_py()):
+                k = int(mass[d].argmax())
+                pred[i + d], score[i + d] = model.labels[k], min(1.0, mass[d, k] / (ptr[d + 1] - ptr[d]))
+    return pred, score
+
+
 def _predict(model: Crf | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            data, off = buffers(batch.column(1))
-            pred, score = ["und"] * n, np.zeros(n)
-            for i, j in blocks(off) if model else ():
-                cut = data[off[i] : off[j]]
-                fixed, tri, tri_ptr, ptr = word_features(cut, off[i : j + 1] - off[i])
-                gamma, _ = posteriors(model.emissions(fixed, tri, tri_ptr), ptr, model.trans, model.start)
-                mass = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)))
-                mass = mass[ptr[1:]] - mass[ptr[:-1]]
-                ascii_ = np.concatenate(([0], np.cumsum((cut | 32 >= 97) & (cut | 32 <= 122) & (cut < 128))))
-                plain = ascii_[off[i + 1 : j + 1] - off[i]] > ascii_[off[i:j] - off[i]]
-                for d in np.flatnonzero(np.diff(ptr) > 0).tolist():
-                    if plain[d] or any(ch.isalpha() for ch in batch.column(1)[i + d].as_py()):
-                        k = int(mass[d].argmax())
-                        pred[i + d], score[i + d] = model.labels[k], min(1.0, mass[d, k] / (ptr[d + 1] - ptr[d]))
+            pred, score = judge(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _accepted(model: Crf | None, column: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score = judge(model, batch.column(batch.schema.get_field_index(column)))
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Crf | None, least: float = 0.35, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``least`` of its words; all columns stay."""
+    return docs.mapInArrow(_accepted(model, text_col, least), docs.schema)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> Crf | None:
     """Train on about ``per_label`` documents of each label, drawn by a hash of the id from the rows not held out."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).alias("l")).where(~held_out("i") & F.expr("l is not null and t is not null"))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_crf, line_dedup, ngram_jaccard, packing, secret_scan, toxicity
+from . import decontaminate, language_crf, line_dedup, ngram_jaccard, packing, quality_eb, secret_scan, spotsigs, toxicity, training_order
 from .tokens import public_bpe
 
 QUERIES: dict = {}
@@ -67,3 +67,18 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_crf.predict(docs, language_crf.fit(docs)).select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op2_spotsigs", None)
+def op2(spark, sf_dir):
+    return spotsigs.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+@register("op6_quality_eb", None)
+def op6(spark, sf_dir):
+    return quality_eb.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_training_order", None)
+def op7(spark, sf_dir):
+    return training_order.training_records(table(spark, sf_dir, "documents"), public_bpe())
