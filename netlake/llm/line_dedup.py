@@ -40,7 +40,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrays = raw.select("id", "ver", kept.alias("k")).select(
         "id", "ver", F.transform("k", lambda s: s["i"]).alias("i"), F.transform("k", lambda s: _line_hash(s["t"])).alias("h"),
         F.transform("k", lambda s: F.length(s["t"]) - F.length(F.replace(s["t"], F.lit(" "), F.lit(""))) + 1).alias("w")).where("size(i) > 0")
-    arrays = materialize(arrays, "lines").dropDuplicates(["id", "ver"])
+    arrays = materialize(arrays.dropDuplicates(["id", "ver"]), "lines")
     line = arrays.select("id", "ver", F.posexplode(F.arrays_zip("h", "w")).alias("p", "z")).select("id", "ver", "p", "z.h", "z.w")
     doc = Window.partitionBy("id", "ver")
     line = line.withColumn("c", F.sum("w").over(doc.orderBy("p")) - F.col("w")).withColumn("left", F.sum("w").over(doc) - F.col("c")).where(f"left >= {gram_words}")
