@@ -18,8 +18,8 @@ Links.  Within the rows that share a signature only links to one of them (the
 centre) are candidates, never all pairs.  Candidates are verified exactly.
 Where a signature's rows still lie in different components, the pairs that
 their distances to the centre (a metric) leave possible are listed by an exact
-prefix filter on rare shingles and verified; this repeats until no untested
-pair is left, so no link between different components is lost.
+prefix filter on rare shingles and verified.  Later merges only settle more pairs, so one such round suffices and
+no link between different components is lost.
 
 Scale.  A signature that occurs again within an Arrow batch is paired there and
 sent once, so a hot signature costs a row per batch in the shuffle.  The rest is
@@ -45,6 +45,8 @@ from .textops import as_long, blocks, buffers, mix, mix_one, shingle_sets
 
 FAMILIES = 4
 MEMBERS_PER_BLOCK = 20_000
+#: Ids up to which a counted list is broadcast (16 bytes each); longer ones are joined by a shuffle.
+FEW_IDS = 250_000
 
 
 @lru_cache(maxsize=None)
@@ -253,19 +255,18 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = rows.where("kind = 2").select("doc", F.col("sig").alias("n"))
     shared = rows.where("kind = 1").select("sig", "doc", "other")
     tested = materialize(verified(docs, shared.select("doc", "other").distinct(), width, num, den), "links")
-    first = tested
-    while True:
-        links = tested.where("similar")
-        if tested.where("not similar").isEmpty():
-            return sizes, links
-        label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
-        again = remaining(docs, shared, first, label, tested, width, num, den)
-        if again.isEmpty():
-            return sizes, links
-        tested = materialize(tested.union(verified(docs, again, width, num, den)), "links")
-
-
-def remaining(docs: DataFrame, shared: DataFrame, first: DataFrame, label: DataFrame, tested: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    links = tested.where("similar")
+    if tested.where("not similar").isEmpty():
+        return sizes, links
+    label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
+    again = remaining(docs, shared, label, tested, width, num, den)
+    if again.isEmpty():
+        return sizes, links
+    more = materialize(verified(docs, again, width, num, den), "links")
+    return sizes, links.union(more.where("similar"))
+
+
+def remaining(docs: DataFrame, shared: DataFrame, label: DataFrame, tested: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs ``(doc, other)`` that share a signature, lie in different components and may still be similar.
 
     Jaccard distance is a metric, and every row of a signature has a known
@@ -276,8 +277,9 @@ def remaining(docs: DataFrame, shared: DataFrame, first: DataFrame, label: DataF
     by rare shingles.
     """
     far = (den - num) / den + 1e-9
-    d = shared.join(first.select("doc", "other", F.expr("1 - common / (n_doc + n_other - common)").alias("d"), "similar"), ["doc", "other"])
-    open_ = d.where("not similar").select("sig").distinct()
+    d = shared.join(tested.select("doc", "other", F.expr("1 - common / (n_doc + n_other - common)").alias("d"), "similar"), ["doc", "other"])
+    # two rows of a signature are one tested pair: only from three on is there anything left
+    open_ = d.groupBy("sig").agg(F.count("*").alias("n"), F.min("similar").alias("all")).where("n > 1 and not all").select("sig")
     d = d.join(open_, "sig", "left_semi").select("sig", "doc", "other", "d")
     # a centre of one batch may itself be a member under the signature's first centre
     up = d.select("sig", F.col("doc").alias("other"), F.col("d").alias("step"))
@@ -325,6 +327,8 @@ def rare_pairs(docs: DataFrame, left: DataFrame, width: int, num: int, den: int)
     common passage alike differ there.  Sets whose first shared place comes too
     late for the overlap they need are no candidates (positional bound).
     """
+    if left.count() <= FEW_IDS:
+        left = F.broadcast(left)
     items = materialize(docs.join(left, "doc").select("doc", "text", "component").mapInArrow(_items(width), "doc long, component long, n long, item long"), "items")
     seen = items.groupBy("item").agg(F.count("*").alias("seen"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     w = Window.partitionBy("doc").orderBy("seen", "item")
