@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .language_crf import held_out
 from .textops import SPACE, blocks, buffers, mix
 
-GAP, DECAY, PER_CLASS, LANDMARKS = 2, 0.6, 2500, 400
+GAP, DECAY, PER_CLASS, LANDMARKS = 2, 0.6, 2000, 400
 #: Clean words that training looks at (the commonest of the sample), and rounds of adding those that score highest.
-CLEAN_WORDS, ROUNDS = 60_000, 3
+CLEAN_WORDS, ROUNDS = 40_000, 3
 #: Letters 1-26; look-alike digits and signs read as letters; bytes of other letters 27-30; the rest 0.
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
@@ -163,7 +163,7 @@ def marks_of(f: tuple) -> np.ndarray:
     return out
 
 
-def against(f: tuple, n: int, marks: np.ndarray, step: int = 50_000) -> np.ndarray:
+def against(f: tuple, n: int, marks: np.ndarray, step: int = 16_000) -> np.ndarray:
     """Kernel values of ``n`` words against landmark rows, a bounded number of features at a time."""
     w, code, value = f
     out, by_code = np.zeros((n, len(marks)), np.float32), np.ascontiguousarray(marks.T)
@@ -180,10 +180,17 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     if not toxic.any() or toxic.all():
         return None
     data, off = buffers(pa.array(texts, pa.string()))
-    sym, ptr, docs = split_words(data, off)
+    syms, ptrs, docss, keyss = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], []
+    for i, j in blocks(off):  # the driver holds one block's index arrays at a time
+        a, b, c = split_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        syms.append(a)
+        ptrs.append(b[1:] + ptrs[-1][-1])
+        docss.append(c[1:] + docss[-1][-1])
+        keyss.append(word_keys(a, b))
+    sym, ptr, docs, keys = (np.concatenate(x) for x in (syms, ptrs, docss, keyss))
     if not len(sym):
         return None
-    keys, one, back = np.unique(word_keys(sym, ptr), return_index=True, return_inverse=True)
+    keys, one, back = np.unique(keys, return_index=True, return_inverse=True)
     some = np.flatnonzero(np.diff(docs))
     mins = np.stack([np.minimum.reduceat(mix(keys ^ np.uint64(salt))[back], docs[:-1][some]) for salt in (1, 2)], 1)
     alone = np.zeros(len(texts), bool)  # of near copies (two equal minimum hashes) one counts, else their words look like evidence
@@ -222,7 +229,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
         margin = np.bincount(w, value * model.table[code], len(fine))
         worst = np.argsort(margin, kind="stable")[-4000:]
         hard = np.concatenate((np.setdiff1d(hard, worst), worst))
-    top, n = model.strongest(data, off)
+    top, n = (np.concatenate(x) for x in zip(*(model.strongest(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off))))
     x = np.stack((top, np.log1p(n), np.ones(len(n))), 1)
     model.scale = _logit(x, toxic.astype(float), np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean())))
     return model
