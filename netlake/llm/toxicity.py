@@ -211,7 +211,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     if not len(bad) or not len(fine):
         return None
     features = lambda which: subsequences(*_take(sym, ptr, one[which]))
-    clean = features(fine)
+    del back, doc, pair, keyss, keys
     hard = np.arange(min(4000, len(fine)))  # first the commonest clean words, then also those that score highest
     marks = bad[:landmarks // 2]
     model = None
@@ -225,8 +225,10 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
         weight = np.concatenate((c1[bad] / c1[bad].sum(), np.full(len(hard), 2.0 / len(hard))))
         v = _svm(z, y, weight)
         model = ToxicModel((near.T @ (root @ v[:-1])).astype(np.float64), float(v[-1]), np.zeros(3))
-        w, code, value = clean
-        margin = np.bincount(w, value * model.table[code], len(fine))
+        margin = np.zeros(len(fine))
+        for a in range(0, len(fine), 4000):
+            w, code, value = features(fine[a : a + 4000])
+            margin[a : a + 4000] = np.bincount(w, value * model.table[code], len(fine[a : a + 4000]))
         worst = np.argsort(margin, kind="stable")[-4000:]
         hard = np.concatenate((np.setdiff1d(hard, worst), worst))
     top, n = (np.concatenate(x) for x in zip(*(model.strongest(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off))))
