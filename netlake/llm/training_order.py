@@ -128,7 +128,7 @@ def training_records(docs: DataFrame, files: tuple, length: int = LENGTH, shard:
     base = tasks.select("task", F.coalesce(F.sum("held").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a task
     total = tasks.agg(F.sum("held")).first()[0] or 0
     n = -(-total // length)
-    placed = ids.join(base, "task").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n", "ids")
+    placed = ids.join(F.broadcast(base), "task").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n", "ids")
     cut = placed.mapInArrow(_slice(length, total, n, key), "slot long, sequence_id long, at long, doc_id long, ids binary")
     shards = max(1, -(-n // shard))
     dealt = cut.repartitionByRange(shards, F.floor(F.col("slot") / shard)).sortWithinPartitions("slot", "at")
