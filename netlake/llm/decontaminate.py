@@ -8,7 +8,7 @@ neighbouring diagonals.  Hits are counted in diagonal bands of width
 ``2 (e + 1)`` that overlap by half, so each such region falls whole into one band.  Bands
 that reach the bound are retained and verified by an alignment within their diagonals.
 
-Normalised: A-Z lower-cased, every run of ASCII characters that are neither
+Normalised: A-Z and accented Latin-1 capitals lower-cased, every run of ASCII characters that are neither
 letter nor digit becomes one space; other bytes stay.
 
 Scale.  The texts are read once, without a shuffle: the window index is a stated
@@ -38,6 +38,8 @@ _BITS = 22
 def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised bytes of all texts, each text's start among them, and each byte's place in ``data``."""
     c = _CLASS[data]
+    capital = (c[1:] >= 128) & (c[1:] <= 158) & (data[:-1] == 195)  # accented capitals of Latin-1
+    c[1:][capital] += 32
     keep = c != 32
     keep[1:] |= c[:-1] != 32
     at = np.flatnonzero(keep)

@@ -141,6 +141,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select(F.col("doc_id").cast("double").alias("doc_id"))
     edges = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    edges = edges or [0.0]
     # bucket 0 holds the largest ids, the last one the smallest and the null ids
     split = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="key", outputCol="low", handleInvalid="keep")
     placed = split.transform(rows.withColumn("key", F.col("doc_id").cast("double")))

@@ -192,7 +192,10 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
         return None
     keys, one, back = np.unique(keys, return_index=True, return_inverse=True)
     some = np.flatnonzero(np.diff(docs))
-    mins = np.stack([np.minimum.reduceat(mix(keys ^ np.uint64(salt))[back], docs[:-1][some]) for salt in (1, 2)], 1)
+    duo = keys[back]
+    duo[:-1] = mix(duo[:-1] * np.uint64(3) + duo[1:])  # neighbouring words; a text's last word stands alone
+    duo[docs[1:][some] - 1] = keys[back[docs[1:][some] - 1]]
+    mins = np.stack([np.minimum.reduceat(mix(duo ^ np.uint64(salt)), docs[:-1][some]) for salt in (1, 2)], 1)
     alone = np.zeros(len(texts), bool)  # of near copies (two equal minimum hashes) one counts, else their words look like evidence
     alone[some[np.unique(mins, axis=0, return_index=True)[1]]] = True
     doc = np.repeat(np.arange(len(texts)), np.diff(docs))
@@ -211,7 +214,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     if not len(bad) or not len(fine):
         return None
     features = lambda which: subsequences(*_take(sym, ptr, one[which]))
-    del back, doc, pair, keyss, keys
+    del back, doc, pair, duo, keyss, keys
     hard = np.arange(min(4000, len(fine)))  # first the commonest clean words, then also those that score highest
     marks = bad[:landmarks // 2]
     model = None
