@@ -280,20 +280,18 @@ SENSOR_STATUS_SQL = "SELECT s_suppkey AS sensor_id, " + ", ".join(
 def alert_events(spark: SparkSession, sf_dir: str, variant: str = "gappy") -> DataFrame:
     """FIXTURES table 11: events typed by event_type, as throttle input."""
     e = _events(spark, sf_dir)
-    if variant == "gappy":
-        e = e.filter(F.col("user_id") < 8)
-        div = 1200
-    else:
-        div = 4000
+    # gappy: every minute of event time is followed by 45 s of silence
+    div = 1200 if variant == "gappy" else 4000
+    gap = " + (unix_micros(cast(ts as timestamp)) div 1200 div 60000000) * 45000000" if variant == "gappy" else ""
     return e.select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("label"),
-                    F.expr(f"unix_micros(cast(ts as timestamp)) div {div}").alias("ts_us"),
+                    F.expr(f"unix_micros(cast(ts as timestamp)) div {div}{gap}").alias("ts_us"),
                     F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("src_ip"))
 
 
 def alert_events_sql(variant: str = "gappy") -> str:
     if variant == "gappy":
-        return ("SELECT event_id AS alert_id, event_type AS label, epoch_us(ts) // 1200 AS ts_us, "
-                "'10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS src_ip FROM events WHERE user_id < 8")
+        return ("SELECT event_id AS alert_id, event_type AS label, epoch_us(ts) // 1200 + (epoch_us(ts) // 1200 // 60000000) * 45000000 AS ts_us, "
+                "'10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS src_ip FROM events")
     return ("SELECT event_id AS alert_id, event_type AS label, epoch_us(ts) // 4000 AS ts_us, "
             "'10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS src_ip FROM events")
 

@@ -107,10 +107,10 @@ def geo_lookup(ips: DataFrame, geo_dim: DataFrame, ip_col: str = "ip", enabled:
 
 def enrich_geo(df: DataFrame, geo_dim: DataFrame, ip_col: str = "src_ip", prefix: str = "geo_") -> DataFrame:
     """Enrich each distinct address once, then join the records back."""
-    ips = df.select(F.col(ip_col).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
+    ips = df.select(F.col(ip_col).alias("_ip")).distinct()          # a null address is one of them
     g = geo_lookup(ips, geo_dim, "_ip")
-    g = g.select(F.col("_ip").alias(ip_col), *[F.col(c).alias(prefix + c) for c in GEO_FIELDS])
-    return df.join(g, ip_col, "left")
+    g = g.select("_ip", *[F.col(c).alias(prefix + c) for c in GEO_FIELDS])
+    return df.join(g, df[ip_col].eqNullSafe(g["_ip"]), "left").drop("_ip")
 
 
 # ---------------------------------------------------------------- J6 / J7
@@ -125,7 +125,7 @@ def enrich_reputation(events: DataFrame, rep_dim: DataFrame, ip_col: str = "src_
     ``rep_dim``: ``rep_id ip fetched_at_us abuse_score total_reports country
     isp domain exposure`` (exposure = ``STRUCT<ports, os, org, hostnames,
     source>``).  Empty/``?`` -> ``unknown``; private (P10) -> ``private``
-    with an empty exposure; no valid record -> ``unknown``.
+    with an empty exposure; no valid record -> ``default``, not scanned.
     """
     ttl = int(ttl_s * 1_000_000)
     ip, ts = F.col(ip_col), F.col(ts_col)
@@ -148,11 +148,11 @@ def enrich_reputation(events: DataFrame, rep_dim: DataFrame, ip_col: str = "src_
     empty_ip = ip.isNull() | (ip == "") | (ip == "?")
     score = F.when(rec.isNotNull(), rec.getField("abuse_score")).otherwise(F.lit(0))
     src = (F.when(empty_ip, F.lit("unknown")).when(private, F.lit("private"))
-           .when(rec.isNotNull(), F.lit("abuseipdb")).otherwise(F.lit("unknown")))
+           .when(rec.isNotNull(), F.lit("abuseipdb")).otherwise(F.lit("default")))
     exp = rec.getField("exposure")
     empty_exp = F.struct(F.array().cast("array<int>").alias("ports"), F.lit("Unknown OS").alias("os"),
                          F.lit("Unknown Org").alias("org"), F.array().cast("array<string>").alias("hostnames"),
-                         F.when(private, F.lit("private")).otherwise(F.lit("empty")).alias("source"))
+                         F.when(empty_ip, F.lit("empty")).when(private, F.lit("private")).otherwise(F.lit("not_scanned")).alias("source"))
     use = rec.isNotNull() & ~private & ~empty_ip
     cols = {
         "abuse_score": F.when(use, score).otherwise(F.lit(0)).cast("int"),

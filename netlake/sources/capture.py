@@ -62,6 +62,8 @@ def decode_frame(frame: bytes, ts_us: int) -> tuple | None:
         return None
     sport = dport = 0
     window, flags = -1, 0
+    if ver == 4 and struct.unpack("!H", ip[6:8])[0] & 0x1FFF:  # a later fragment: its payload is no header
+        return (ts_us, src, dst, sport, dport, proto, length, hdr, window, flags, ver)
     if proto == 6 and len(l4) >= 20:
         sport, dport = struct.unpack("!HH", l4[0:4])
         doff = (l4[12] >> 4) * 4 or 20
@@ -71,7 +73,7 @@ def decode_frame(frame: bytes, ts_us: int) -> tuple | None:
     elif proto == 17 and len(l4) >= 8:
         sport, dport = struct.unpack("!HH", l4[0:4])
         hdr += 8
-    elif proto in (1, 58) and len(l4) >= 1:
+    elif proto == 1 and ver == 4 and len(l4) >= 1:
         dport = l4[0]
         hdr += 8
     return (ts_us, src, dst, sport, dport, proto, length, hdr, window, flags, ver)

@@ -122,6 +122,9 @@ def stream_profiles(events: DataFrame, id_col: str = "flow_id", window_s: int =
         for r in pdf.itertuples(index=False):
             ts = int(r.ts_us)
             lab = r.label
+            if recent and ts - recent[-1] > stale_us:    # an idle profile starts anew, however the rows were batched
+                st, ports = {"a": 0, "n": 0, "s": 0}, set()
+                recent.clear()
             st["n" if lab == "Normal" else "a"] += 1
             st["s"] += int(lab in SEVERE)
             if r.dst_port is not None and not pd.isna(r.dst_port) and int(r.dst_port) != 0:

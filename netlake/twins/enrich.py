@@ -70,13 +70,13 @@ rep AS (
     CASE WHEN rm.event_id IS NOT NULL THEN rm.isp ELSE '' END AS rep_isp,
     CASE WHEN rm.event_id IS NOT NULL THEN rm.domain ELSE '' END AS rep_domain,
     CASE WHEN rev.src_ip IS NULL OR rev.src_ip IN ('', '?') THEN 'unknown' WHEN {rep_private_sql('rev.src_ip')} THEN 'private'
-         WHEN rm.event_id IS NOT NULL THEN 'abuseipdb' ELSE 'unknown' END AS rep_source,
+         WHEN rm.event_id IS NOT NULL THEN 'abuseipdb' ELSE 'default' END AS rep_source,
     CASE WHEN rm.event_id IS NOT NULL THEN array_to_string(rm.exp_ports, ',') ELSE '' END AS exp_ports,
     CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_os ELSE 'Unknown OS' END AS exp_os,
     CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_org ELSE 'Unknown Org' END AS exp_org,
     '' AS exp_hostnames,
-    CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_source WHEN {rep_private_sql('rev.src_ip')} THEN 'private'
-         ELSE 'empty' END AS exp_source
+    CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_source WHEN rev.src_ip IS NULL OR rev.src_ip IN ('', '?') THEN 'empty'
+         WHEN {rep_private_sql('rev.src_ip')} THEN 'private' ELSE 'not_scanned' END AS exp_source
   FROM rev LEFT JOIN rm ON rev.event_id = rm.event_id AND rm.rn = 1)"""
 
 
@@ -91,7 +91,7 @@ SELECT pk.packet_id, pk.src_ip, geo.country AS geo_country, geo.country_code AS
   geo.region AS geo_region, geo.city AS geo_city, geo.lat AS geo_lat, geo.lon AS geo_lon, geo.isp AS geo_isp,
   geo.org AS geo_org, geo.asn AS geo_asn, geo.is_proxy AS geo_is_proxy, geo.is_hosting AS geo_is_hosting,
   geo.is_private AS geo_is_private, geo.flag AS geo_flag
-FROM pk LEFT JOIN geo ON pk.src_ip = geo.ip"""
+FROM pk LEFT JOIN geo ON pk.src_ip IS NOT DISTINCT FROM geo.ip"""
 
 REPUTATION_SQL = f"WITH {PK}," + rep_cte("SELECT packet_id AS event_id, src_ip, ts_us FROM pk", 300) + """
 SELECT event_id AS packet_id, src_ip, rep_abuse_score, rep_is_known_bad, rep_total_reports, rep_country, rep_isp,

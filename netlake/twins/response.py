@@ -72,8 +72,9 @@ def service_sql(port: str) -> str:
 
 
 HITS = f"hits AS (SELECT *, {service_sql('port')} AS service FROM ({HONEYPOT_HITS_SQL}) t)"
-HONEYPOT_BY_SERVICE_SQL = (f"WITH {HITS}\nSELECT service, count(*) AS hits, (SELECT count(*) FROM hits) AS total_hits "
-                           "FROM hits GROUP BY service")
+_NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in config.PORT_NAMES.items())
+HONEYPOT_BY_SERVICE_SQL = (f"WITH {HITS}\nSELECT CASE port {_NAMES} ELSE CAST(port AS VARCHAR) END AS service, count(*) AS hits, "
+                           "(SELECT count(*) FROM hits) AS total_hits FROM hits GROUP BY 1")
 HONEYPOT_TOP_SQL = (f"WITH {HITS}\nSELECT src_ip, count(*) AS hits FROM hits GROUP BY src_ip "
                     "ORDER BY hits DESC, src_ip LIMIT 10")
 HONEYPOT_RECENT_SQL = f"WITH {HITS}\nSELECT * FROM hits ORDER BY ts_us DESC, hit_id DESC LIMIT 50"
