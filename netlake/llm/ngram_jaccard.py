@@ -160,7 +160,8 @@ def _signed(width: int, num: int, den: int):
                     s = signatures(v, num, den)
                     sigs.append(s)
                     owner.append(np.full(len(s), ids[d]))
-            s, o = np.concatenate(sigs).view(np.int64), np.concatenate(owner).astype(np.int64)
+            # 48 bits: a chance meeting is verified like any other, and rows shrink in the shuffle
+            s, o = (np.concatenate(sigs) >> np.uint64(16)).view(np.int64), np.concatenate(owner).astype(np.int64)
             row = np.repeat(np.arange(len(ids)), [len(x) for x in owner])
             order = np.argsort(s, kind="stable")
             s, o, row = s[order], o[order], row[order]
