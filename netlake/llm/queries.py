@@ -17,6 +17,7 @@ def register(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             return fn(spark, sf_dir)
+        run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
@@ -30,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @register("op1_ngram_jaccard", None)
 def op1(spark, sf_dir):
+    """Components of documents that share 85 of 100 four-word shingles."""
     return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
 @register("op4_secret_scan", None)
 def op4(spark, sf_dir):
+    """Secret spans of every text, scanned once per distinct content."""
     paths, findings, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
     d = secret_scan.path_digest(paths, findings)
     return d.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
@@ -42,22 +45,26 @@ def op4(spark, sf_dir):
 
 @register("op5_packing", None)
 def op5(spark, sf_dir):
+    """Every document as pieces of sequences of at most 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_bpe())
 
 
 @register("op9_line_dedup", line_dedup.oracle())
 def op9(spark, sf_dir):
+    """Repeated line runs cut from every document, as digests."""
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.size("lines_removed").cast("long").alias("n_removed"), F.array_join(F.transform("lines_removed", lambda i: i.cast("string")), ",").alias("removed"), F.md5("text").alias("kept_md5"))
 
 
 @register("op3_decontaminate", None)
 def op3(spark, sf_dir):
+    """Benchmark items found in documents, with edits and span."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @register("op8_toxicity", None)
 def op8(spark, sf_dir):
+    """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.predict(docs, model).select("doc_id", language_crf.held_out().alias("held_out"), "score", "predicted")
@@ -65,20 +72,24 @@ def op8(spark, sf_dir):
 
 @register("op10_language_crf", None)
 def op10(spark, sf_dir):
+    """Language of every document."""
     docs = table(spark, sf_dir, "documents")
     return language_crf.predict(docs, language_crf.fit(docs)).select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score")
 
 
 @register("op2_spotsigs", None)
 def op2(spark, sf_dir):
+    """Fingerprints of every text and of its edited text, and their likeness."""
     return spotsigs.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
 @register("op6_quality_eb", None)
 def op6(spark, sf_dir):
+    """Quality score of every document from its text, host and path."""
     return quality_eb.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @register("op7_training_order", None)
 def op7(spark, sf_dir):
+    """Every training sequence as a record at its global slot."""
     return training_order.training_records(table(spark, sf_dir, "documents"), public_bpe())
