@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import materialize
+from ..plans.stage import materialize, release
 
 GRAM_WORDS, RUN_WORDS = 20, 50
 
@@ -58,7 +58,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lo + if(locate('0', back, length(same) - p + lo) = 0, 0, length(same) - locate('0', back, length(same) - p + lo) + 1) as a,
         lo + if(locate('0', same, p - lo + 1) = 0, length(same), locate('0', same, p - lo + 1) - 1) as b)))"""
     spans = lanes.select("id", "ver", F.expr(f"flatten(transform({run}, r -> slice(i, r.a + 1, r.b - r.a)))").alias("gone"))
-    return spans.groupBy("id", "ver").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = materialize(spans.groupBy("id", "ver").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    release(arrays, marks)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
