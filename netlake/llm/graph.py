@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import materialize
+from ..plans.stage import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     e = materialize(e, "cc")
     seen = None
     while True:
+        before = e
         # large star: neighbours above u go to u's minimum
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -29,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         m = e.groupBy("u").agg(F.min("v").alias("m"))
         s = e.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(s.union(m.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        release(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

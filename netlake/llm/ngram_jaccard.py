@@ -38,10 +38,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import materialize
+from ..plans.stage import materialize, release
 from .graph import components
 from .textops import as_long, blocks, buffers, mix, mix_one, shingle_sets
 
@@ -49,6 +48,8 @@ FAMILIES = 4
 MEMBERS_PER_BLOCK = 256
 #: Ids up to which a counted list is broadcast (16 bytes each); longer ones are joined by a shuffle.
 FEW_IDS = 250_000
+#: Count buckets that order shingles: 2**22 at most (16 MB a broadcast), sent in parts of 2**14.
+MOST_BITS, PART = 22, 1 << 14
 
 
 @lru_cache(maxsize=None)
@@ -280,24 +281,26 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.mapInArrow(_signed(width, num, den), _SIGNED)
     rows = rows.repartition(F.expr("if(kind = 0, sig, doc)")).sortWithinPartitions("sig", F.desc("other"), "doc")
     rows = materialize(rows.mapInArrow(_pair_up, _SIGNED), "partenum")
-    sizes = rows.where("kind = 2").select("doc", F.col("sig").alias("n"))
+    sizes = materialize(rows.where("kind = 2").select("doc", F.col("sig").alias("n")), "sizes")
     shared = rows.where("kind = 1").select("sig", "doc", "other")
     info = rows.where("kind = 2").select("doc", F.col("sig").alias("n_doc"), "bins")
     pairs = shared.select("doc", "other").distinct().join(info, "doc").join(info.select(F.col("doc").alias("other"), F.col("n_doc").alias("n_other"), F.col("bins").alias("bins2")), "other")
     pairs = pairs.select("doc", "other", "n_doc", "n_other", "bins", "bins2").mapInArrow(_bounds, "doc long, other long, n_doc long, n_other long, most long").distinct()
     pairs = materialize(pairs.withColumn("may", F.expr(f"most * {den} >= (n_doc + n_other - most) * {num}")), "pairs")
+    release()
     exact = verified(docs, pairs.where("may").select("doc", "other"), width, num, den).withColumn("lo", F.expr("1 - common / (n_doc + n_other - common)"))
     other = pairs.where("not may").select("doc", "other", F.lit(False).alias("similar"), F.expr("1 - most / (n_doc + n_other - most)").alias("lo"), F.lit(1.0).alias("hi"))
     tested = materialize(exact.select("doc", "other", "similar", "lo", F.col("lo").alias("hi")).union(other), "links")
-    links = tested.where("similar")
-    if tested.where("not similar").isEmpty():
-        return sizes, links
-    label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
-    again = remaining(docs, shared, label, tested, width, num, den)
-    if again.isEmpty():
-        return sizes, links
-    more = materialize(verified(docs, again, width, num, den), "links")
-    return sizes, links.select("doc", "other").union(more.where("similar").select("doc", "other"))
+    release(pairs)
+    links = tested.where("similar").select("doc", "other")
+    if not tested.where("not similar").isEmpty():
+        label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
+        again = remaining(docs, shared, label, tested, width, num, den)
+        more = materialize(verified(docs, again, width, num, den), "links")
+        links = links.union(more.where("similar").select("doc", "other"))
+        release(label, again)
+    release(rows)
+    return sizes, links
 
 
 def remaining(docs: DataFrame, shared: DataFrame, label: DataFrame, tested: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -323,7 +326,7 @@ def remaining(docs: DataFrame, shared: DataFrame, label: DataFrame, tested: Data
     rows = rows.union(tops.select("sig", "doc", F.lit(0.0), F.lit(0.0)))
     rows = rows.groupBy("sig", "doc").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     rows = rows.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = materialize(rows, "mixed")
+    mixed = rows = materialize(rows, "mixed")
     main = rows.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     main = main.groupBy("sig").agg(F.max(F.struct("n", "component", "lo", "hi")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     main = main.select("sig", F.col("m.component").alias("mc"), F.col("m.lo").alias("mlo"), F.col("m.hi").alias("mhi"))
@@ -333,22 +336,61 @@ def remaining(docs: DataFrame, shared: DataFrame, label: DataFrame, tested: Data
     mains = rows.where("component = mc").join(edge, "sig").where(f"lo - ehi <= {far} and elo - hi <= {far}")
     left = strangers.select("doc", "component").union(mains.select("doc", "component")).distinct()
     met = tested.select("doc", "other").union(tested.select(F.col("other").alias("doc"), F.col("doc").alias("other")))
-    pairs = rare_pairs(docs, materialize(left, "left"), width, num, den)
-    return materialize(pairs.join(met, ["doc", "other"], "left_anti"), "again")
+    left = materialize(left, "left")
+    release(mixed)
+    pairs = materialize(rare_pairs(docs, left, width, num, den).join(met, ["doc", "other"], "left_anti"), "again")
+    release(left)
+    return pairs
+
+
+def _counts(width: int, bits: int):
+    """(doc, text) -> rows (part, counts): how many documents of the task hold a shingle of each of ``2**bits`` hash buckets, in parts of ``PART`` buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            data, off = buffers(batch.column(1))
+            for i, j in blocks(off):
+                for v in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width):
+                    np.add.at(total, (v >> np.uint64(64 - bits)).astype(np.int64), 1)
+        for p, x in enumerate(total.reshape(-1, min(PART, 1 << bits))):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part -> one row a part with the sum; one sum is held at a time."""
+    part, held = None, None
+    for batch in batches:
+        for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(x, np.int64)
+            if p != part and part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["part", "counts"])
+            part, held = p, x if p != part else held + x
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def _items(width: int):
-    """(doc, text, component) -> one row (doc, component, n, item) per distinct shingle."""
+def _prefixes(width: int, num: int, den: int, bits: int, shared):
+    """(doc, text, component) -> one row (doc, component, n, place, item) per shingle of the document's prefix, rarest bucket first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
         for batch in batches:
             data, off = buffers(batch.column(1))
             for i, j in blocks(off):
                 sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                n = np.array([len(v) for v in sets], np.int64)
-                take = pa.array(np.repeat(np.arange(i, j), n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(np.repeat(n, n)), as_long(np.concatenate(sets))],
-                                                 names=["doc", "component", "n", "item"])
+                first = []
+                for v in sets:
+                    keep = len(v) - -(-len(v) * num // den) + 1 if len(v) else 0
+                    first.append(v[np.lexsort((v, seen[(v >> np.uint64(64 - bits)).astype(np.int64)]))[:keep]])
+                sent = np.array([len(v) for v in first], np.int64)
+                take = pa.array(np.repeat(np.arange(i, j), sent))
+                place = np.arange(sent.sum()) - np.repeat(np.cumsum(sent) - sent, sent) + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(np.repeat([len(v) for v in sets], sent).astype(np.int64)),
+                                                  pa.array(place.astype(np.int64)), as_long(np.concatenate(first))], names=["doc", "component", "n", "place", "item"])
 
     return run
 
@@ -356,21 +398,34 @@ def _items(width: int):
 def rare_pairs(docs: DataFrame, left: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs of ``left(doc, component)`` in different components that share one of their rarest shingles.
 
-    Under one order of all shingles, rarest first, similar sets share one among
-    the first ``n - ceil(num n / den) + 1`` of each.  Documents that have only a
-    common passage alike differ there.  Sets whose first shared place comes too
-    late for the overlap they need are no candidates (positional bound).
+    Under one order of all shingles similar sets share one among the first
+    ``n - ceil(num n / den) + 1`` of each.  The order is by how many documents hold
+    a shingle of the same hash bucket (counted over all of ``left``), then by hash: a passage
+    that many documents share stands out of its buckets and comes last, so documents that
+    have only that alike differ in their prefixes.  Any order is exact; the
+    counts, at most ``2**MOST_BITS`` of them, are all that is broadcast.  Sets
+    whose first shared place comes too late for the overlap they need are no
+    candidates (positional bound).
     """
+    spark = docs.sparkSession
     if left.count() <= FEW_IDS:
         left = F.broadcast(left)
-    items = materialize(docs.join(left, "doc").select("doc", "text", "component").mapInArrow(_items(width), "doc long, component long, n long, item long"), "items")
-    seen = items.groupBy("item").agg(F.count("*").alias("seen"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    w = Window.partitionBy("doc").orderBy("seen", "item")
-    first = items.join(seen, "item").withColumn("place", F.row_number().over(w))
-    first = first.where(f"place <= n - ceil(n * {num} / {den}) + 1 and c0 < c1").select("item", "doc", "component", "n", "place")
-    pairs = first.alias("x").join(first.alias("y"), F.expr(
-        f"x.item = y.item and x.doc < y.doc and x.component <> y.component and (1 + least(x.n - x.place, y.n - y.place)) * {num + den} >= (x.n + y.n) * {num}"))
-    return pairs.select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("other")).distinct()
+    texts = docs.join(left, "doc").select("doc", "text", "component")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(12, (chars // 512).bit_length()))
+    parts = texts.select("doc", "text").mapInArrow(_counts(width, bits), "part long, counts binary").repartition("part").sortWithinPartitions("part")
+    seen = np.zeros(1 << bits, np.int64)
+    size = min(PART, 1 << bits)
+    for p, x in parts.mapInArrow(_total, "part long, counts binary").collect():
+        seen[p * size : (p + 1) * size] = np.frombuffer(x, np.int64)
+    shared = spark.sparkContext.broadcast(np.minimum(seen, 2**32 - 1).astype(np.uint32))
+    prefixes = materialize(texts.mapInArrow(_prefixes(width, num, den, bits, shared), "doc long, component long, n long, place long, item long"), "prefixes")
+    both = prefixes.groupBy("item").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("item")
+    first = materialize(prefixes.join(both, "item", "left_semi"), "prefixes")
+    release(prefixes)
+    return first.alias("x").join(first.alias("y"), F.expr(
+        f"x.item = y.item and x.doc < y.doc and x.component <> y.component and (1 + least(x.n - x.place, y.n - y.place)) * {num + den} >= (x.n + y.n) * {num}")
+    ).select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("other")).distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
