@@ -1,12 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Items are cut into windows of ``window`` normalised characters (half overlapping; a
-shorter item is one window), so that a passage of an item, not only the
-whole, is found.  A text region within ``e`` edits of a window of ``m`` characters shares at
-least ``m + 1 - q - q e`` of its q-grams, and they lie in a band of ``e + 1``
-neighbouring diagonals.  Hits are counted in diagonal bands of width
-``2 (e + 1)`` that overlap by half, so each such region falls whole into one band.  Bands
-that reach the bound are retained and verified by an alignment within their diagonals.
+The windows of an item are all its runs of ``window`` normalised characters, one from each
+character on (a shorter item is one window), so that a passage of an item that holds
+``window`` characters, wherever it starts, is found.  A text region within ``e`` edits of a window of
+``m`` characters shares at least ``m + 1 - q - q e`` of its q-grams, and they lie in a
+band of ``e + 1`` neighbouring diagonals.  Items are indexed once, not window by window:
+hits are sorted by item place in diagonal bands of width ``2 (e + 1)`` that overlap by half,
+so each such region falls whole into one band, and the windows that hold enough of a
+band's hits follow from the sorted places.  They are verified by an alignment within the band's
+diagonals; a window whose q-grams all lie on one diagonal is equal and needs none.
 
 Normalised: A-Z and accented Latin-1 capitals lower-cased, every run of ASCII characters that are neither
 letter nor digit becomes one space; other bytes stay.
@@ -60,38 +62,48 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Windows of a block of items and their q-grams."""
+    """Items of a block and their q-grams; ``size`` is the length of an item's windows."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, error: float):
-        self.q, self.texts, self.items, self.edits, self.need = q, [], [], [], []
+        self.q, self.texts, self.items, self.size, self.edits, self.need = q, [], [], [], [], []
         for item, text in items:
-            norm = normalise(*buffers(pa.array([text or ""])))[0].tobytes().strip()
-            last = max(0, len(norm) - window)
-            for s in sorted({*range(0, last, window // 2), last}):
-                t = norm[s : s + window]
-                e = int(error * len(t))
-                if len(t) + 1 - q - q * e > 0 and len(t) >= 2 * q:
-                    self.texts.append(np.frombuffer(t, np.uint8))
-                    self.items.append(item)
-                    self.edits.append(e)
-                    self.need.append(len(t) + 1 - q - q * e)
+            t = normalise(*buffers(pa.array([text or ""])))[0].tobytes().strip()
+            m = min(len(t), window)
+            e = int(error * m)
+            if m + 1 - q - q * e > 0 and m >= 2 * q:
+                self.texts.append(np.frombuffer(t, np.uint8))
+                self.items.append(item)
+                self.size.append(m)
+                self.edits.append(e)
+                self.need.append(m + 1 - q - q * e)
         g = [grams(t, q) for t in self.texts]
         flat = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        win = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        pos = np.concatenate([np.arange(len(x)) for x in g]) if g else win
+        of = np.repeat(np.arange(len(g)), [len(x) for x in g])
+        pos = np.concatenate([np.arange(len(x)) for x in g]) if g else of
         order = np.argsort(flat, kind="stable")
-        self.win, self.pos = win[order], pos[order]
+        self.of, self.pos = of[order], pos[order]
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.there = np.zeros(1 << _BITS, bool)
         self.there[_slot(self.keys)] = True
-        self.items, self.edits, self.need = np.array(self.items, np.int64), np.array(self.edits, np.int64), np.array(self.need, np.int64)
-        self.span = max((len(t) + e for t, e in zip(self.texts, self.edits)), default=0)
+        self.items, self.size, self.edits, self.need = (np.array(x, np.int64) for x in (self.items, self.size, self.edits, self.need))
+        self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.longest = max((len(t) for t in self.texts), default=0)
+        self.span = int((self.size + self.edits).max()) if len(self.size) else 0
         self.least = int(self.need.min()) if len(self.need) else 0
 
 
-def regions(norm: np.ndarray, ptr: np.ndarray, ix: Index) -> tuple[np.ndarray, ...]:
-    """``(text, window, diagonal of the band)`` of the bands that reach their window's bound."""
-    none = (np.zeros(0, np.int64),) * 3
+def _starts(key: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Where a sorted row differs from the one before it."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    for x in by:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def regions(norm: np.ndarray, ptr: np.ndarray, ix: Index) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Equal windows as ``(text, item, place in the text)``, and those still to be aligned: ``(text, item, first diagonal of the band, start in the item)``."""
+    none = (np.zeros(0, np.int64),) * 3, (np.zeros(0, np.int64),) * 4
     g = grams(norm, ix.q)
     maybe = np.flatnonzero(ix.there[_slot(g)])
     if len(maybe) < ix.least or not len(ix.keys):
@@ -114,25 +126,44 @@ def regions(norm: np.ndarray, ptr: np.ndarray, ix: Index) -> tuple[np.ndarray, .
     reps = ix.count[at]
     row = np.repeat(np.arange(len(at)), reps)
     entry = np.repeat(ix.first[at] - (np.cumsum(reps) - reps), reps) + np.arange(len(row))
-    win, place = ix.win[entry], maybe[row]
-    diag = place - ix.pos[entry] + WINDOW  # positive
+    of, pos, place = ix.of[entry], ix.pos[entry], maybe[row]
     text = np.searchsorted(ptr, place, "right") - 1
     inside = place + ix.q <= ptr[text + 1]
-    win, diag, text = win[inside], diag[inside], text[inside]
-    width = ix.edits[win] + 1
-    many = len(norm) + 2 * WINDOW
+    of, pos, place, text = of[inside], pos[inside], place[inside], text[inside]
+    diag = place - pos + ix.longest  # not negative
+    pair = text * len(ix.items) + of
+    # equal windows: a hit at each of their places on one diagonal
+    order = np.lexsort((pos, diag, pair))
+    last = np.arange(len(order)) + (ix.size[of[order]] - ix.q)
+    fits = np.flatnonzero(last < len(order))
+    i, j = order[fits], order[last[fits]]
+    i = i[(pair[i] == pair[j]) & (diag[i] == diag[j]) & (pos[j] - pos[i] == ix.size[of[i]] - ix.q)]
+    whole = np.zeros(len(pos), bool)
+    whole[i] = True
+    equal = text[i], of[i], place[i]
+    width = ix.edits[of] + 1
     out = []
     for shift in (0, 1):
-        key = np.sort((text * len(ix.items) + win) * many + (diag + shift * width) // (2 * width))
-        first = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
-        n = np.diff(np.append(first, len(key)))
-        key = key[first]
-        hit_win = key // many % len(ix.items)
-        good = n >= ix.need[hit_win]
-        key, hit_win = key[good], hit_win[good]
-        step = ix.edits[hit_win] + 1
-        out.append((key // many // len(ix.items), hit_win, key % many * 2 * step - shift * step - WINDOW))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        band = (diag + shift * width) // (2 * width)
+        order = np.lexsort((pos, band, pair))
+        group = np.cumsum(_starts(pair[order], band[order])) * (ix.longest + 1)
+        last = np.arange(len(order)) + ix.need[of[order]] - 1
+        fits = np.flatnonzero(last < len(order))
+        i, j = order[fits], order[last[fits]]
+        ok = (group[fits] == group[last[fits]]) & (pos[j] - pos[i] <= ix.size[of[i]] - ix.q)
+        i, j, grp = i[ok], j[ok], group[fits[ok]]
+        # each such pair of hits lies in the windows from lo to hi; both grow within a group: take what is new
+        lo = np.maximum(0, pos[j] + ix.q - ix.size[of[i]])
+        hi = np.minimum(pos[i], ix.length[of[i]] - ix.size[of[i]])
+        same = ~_starts(grp)
+        lo[1:] = np.where(same[1:], np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+        n = np.maximum(0, hi - lo + 1)
+        at = np.repeat(np.arange(len(n)), n)
+        start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(at))
+        left = ~np.isin(grp[at] + start, (group + pos[order])[whole[order]])
+        i, start = i[at[left]], start[left]
+        out.append((text[i], of[i], band[i] * 2 * width[i] - shift * width[i] - ix.longest, start))
+    return equal, tuple(np.concatenate(x) for x in zip(*out))
 
 
 def align(patterns: np.ndarray, texts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +172,8 @@ def align(patterns: np.ndarray, texts: np.ndarray, width: int) -> tuple[np.ndarr
     A text starts where its band's first diagonal meets the pattern's start; cell (i, j) stands
     for text place ``i + j``, ``0 <= j < width``; the part may start at any of them.
     """
-    steps = np.arange(width)
-    row = np.zeros((len(patterns), width), np.int64)
+    steps = np.arange(width, dtype=np.int16)
+    row = np.zeros((len(patterns), width), np.int16)
     for i in range(patterns.shape[1]):
         new = row + (texts[:, i : i + width] != patterns[:, i : i + 1])
         new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
@@ -152,22 +183,23 @@ def align(patterns: np.ndarray, texts: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def verified(norm: np.ndarray, ptr: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(text, item, edits, start, end)`` in normalised bytes for each retained band within its edit budget."""
-    text, win, diag = regions(norm, ptr, ix)
-    sizes = np.array([len(t) for t in ix.texts])
-    for m in np.unique(sizes[win]).tolist():
-        of = np.flatnonzero(sizes[win] == m)
-        for part in np.array_split(of, -(-len(of) // 512)):
-            t, w, e = text[part], win[part], int(ix.edits[win[part[0]]])
+    """``(text, item, edits, start, end)`` in normalised bytes for each window within its edit budget."""
+    (t, w, place), (text, of, diag, start) = regions(norm, ptr, ix)
+    yield from zip(t.tolist(), ix.items[w].tolist(), [0] * len(t), place.tolist(), (place + ix.size[w]).tolist())
+    for m in np.unique(ix.size[of]).tolist():
+        rows = np.flatnonzero(ix.size[of] == m)
+        for part in np.array_split(rows, -(-len(rows) // 512)):
+            t, w, s, e = text[part], of[part], start[part], int(ix.edits[of[part[0]]])
             width = 4 * (e + 1)
-            begin = np.maximum(ptr[t], diag[part] - 1)
+            begin = diag[part] + s - 1
             reach = begin[:, None] + np.arange(m + width)
-            chars = np.where(reach < ptr[t + 1][:, None], norm[np.minimum(reach, len(norm) - 1)], 0).astype(np.uint8)
-            edits, stop = align(np.stack([ix.texts[x] for x in w.tolist()]), chars, width)
+            inside = (reach >= ptr[t][:, None]) & (reach < ptr[t + 1][:, None])
+            chars = np.where(inside, norm[np.clip(reach, 0, len(norm) - 1)], 0).astype(np.uint8)
+            edits, stop = align(np.stack([ix.texts[x][y : y + m] for x, y in zip(w.tolist(), s.tolist())]), chars, width)
             end = np.minimum(begin + stop, ptr[t + 1])
-            start = np.maximum(begin, end - m - e)
+            first = np.maximum(np.maximum(begin, end - m - e), ptr[t])
             ok = edits <= e
-            yield from zip(t[ok].tolist(), ix.items[w[ok]].tolist(), edits[ok].tolist(), start[ok].tolist(), end[ok].tolist())
+            yield from zip(t[ok].tolist(), ix.items[w[ok]].tolist(), edits[ok].tolist(), first[ok].tolist(), end[ok].tolist())
 
 
 def _find(ix: Index):
@@ -209,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", q: int = Q, window: int = WINDOW, error: float = ERROR, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """The benchmark's windows in blocks of about ``block_chars`` characters; one empty block for an empty table."""
+    """The benchmark's items in blocks of about ``block_chars`` characters; one empty block for an empty table."""
     items, held = [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct().sort("i", "t").toLocalIterator():
         if items and held + len(r.t) > block_chars:

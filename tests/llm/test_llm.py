@@ -154,6 +154,28 @@ def test_decontamination_finds_edited_passages(sp, docs):
     assert decontaminate.clean(sp.read.parquet(f"{SF}/documents.parquet"), sp.read.parquet(f"{SF}/benchmark.parquet")).count() == len(docs) - len({d for d, _ in whole})
 
 
+def test_decontamination_finds_passages_from_any_place(sp):
+    bench = pd.read_parquet(f"{SF}/benchmark.parquet")
+    rng = np.random.RandomState(11)
+    norms = {int(i): decontaminate.normalise(*textops.buffers(pa.array([t])))[0].tobytes().strip() for i, t in zip(bench.item_id, bench.text)}
+    rows, want = [], set()
+    for item, t in norms.items():
+        if len(t) >= 180:
+            s, edit = rng.randint(1, len(t) - decontaminate.WINDOW), rng.randint(10, 86, 3)
+            passage = t[s : s + decontaminate.WINDOW]
+            edited = bytearray(passage)
+            for p in edit:
+                edited[p] = ord("#")
+            for k, (head, p) in enumerate([(b"qzx " * 20, passage), (b"", passage), (b"qzx " * 20, bytes(edited).replace(b"#", b"q"))]):
+                rows.append((10 * item + k, (head + p + b" vwk" * 20).decode("utf-8", "ignore")))
+                want.add((10 * item + k, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(sp.createDataFrame(rows, "doc_id long, text string"), sp.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert len(want) > 30 and want <= got
+    low = decontaminate.Index([(1, "abcdefghijklmnopqrstuvwxyz0123456789")], decontaminate.Q, decontaminate.WINDOW, decontaminate.ERROR)
+    cut, ptr, _ = decontaminate.normalise(*textops.buffers(pa.array(["bcdefghijklmnopqrstuvwxyz0123456789"])))
+    assert [h[:3] for h in decontaminate.verified(cut, ptr, low)][:1] == [(0, 1, 1)]
+
+
 def test_secret_spans_equal_python(sp, docs):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
     extra = ["secret: token: abcdefgh", "é\U0001f600 TOKEN='abc.def' ApiKey = abcdef", "AKIAAKIA" + "A" * 14 + " " + "a" * 30, None, ""]
