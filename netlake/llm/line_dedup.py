@@ -9,12 +9,21 @@ copies of a run always share a fingerprint.
 
 Each fingerprint joins to its first place in the corpus (smallest id, then
 line).  The match is extended both ways along its diagonal while the
-lines are equal, and the lines of the later copy go.  The first place of a line
-never goes: every deleted line equals an earlier one.
+lines are equal, and the lines of the later copy go.
+
+That first place may be an older text which shares just the gram, so runs are also
+keyed by themselves: from each line on the fewest lines that hold ``run_words`` words, and
+up to each line the fewest that do.  Every line of a run of ``run_words`` words or
+more lies in such a run within it, so where every key's first place stays and the lines of its
+later places go, the lines of every run that occurred before go.  A run
+can only recur if its fingerprint does: only runs that hold a fingerprint found twice are keyed.
+
+The first place of a line never goes: every deleted line equals an earlier one.
 
 Scale.  Texts are read to hash their lines and to rewrite them; in between only hashes
 move.  A fingerprint's first place is a pre-aggregated minimum, its join back a skewed
 equi-join; each later copy is compared with one earlier place, never all pairs.
+Run keys likewise: a minimum for each key, joined back.
 """
 from __future__ import annotations
 
@@ -30,6 +39,26 @@ def _line_hash(x):
     return F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
 
 
+def _runs(arrays: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
+    """``(id, ver, p, n, k1, k2)``: the least runs of ``run_words`` words from and up to each line, where they hold a place in ``found``.
+
+    A run up to a line that is also the least from its first line on is listed once.
+    """
+    at = found.groupBy("id", "ver").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    flags = """flatten(transform(at, (x, j) -> concat(array_repeat(0, x - if(j = 0, -1, at[greatest(j - 1, 0)]) - 1), array(1))))"""
+    line = arrays.join(at, ["id", "ver"]).withColumn("m", F.expr(flags)).select("id", "ver", F.posexplode(F.arrays_zip("h", "w", "m")).alias("p", "z"))
+    line = line.select("id", "ver", "p", "z.h", "z.w", "z.m")
+    doc = Window.partitionBy("id", "ver")
+    line = line.withColumn("e", F.sum("w").over(doc.orderBy("p"))).withColumn("c", F.col("e") - F.col("w")).withColumn("total", F.sum("w").over(doc))
+    on, upto = doc.orderBy("c").rangeBetween(0, run_words - 1), doc.orderBy("e").rangeBetween(1 - run_words, 0)
+    for x, w in (("on", on), ("upto", upto)):
+        line = line.withColumn(x, F.struct(F.collect_list("h").over(w).alias("h"), F.max("m").over(w).alias("m"), F.min("c").over(w).alias("c")))
+    line = line.select("id", "ver", F.explode(F.array(
+        F.when((F.col("total") - F.col("c") >= run_words) & (F.col("on.m") == 1), F.struct("p", F.col("on.h").alias("h"))),
+        F.when((F.col("e") >= run_words) & (F.col("upto.m") == 1) & (F.col("c") - F.col("upto.c") >= run_words), F.struct((F.col("p") - F.size("upto.h") + 1).alias("p"), F.col("upto.h").alias("h"))))).alias("r")).where("r is not null")
+    return line.select("id", "ver", "r.p", F.size("r.h").alias("n"), F.xxhash64("r.h").alias("k1"), F.xxhash64(F.lit(1), "r.h").alias("k2"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """``(id, ver, gone)``: for each text with later copies of a run, the numbers (from 0) of the lines that go.
 
@@ -49,7 +78,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line = line.withColumn("least", F.min(F.struct("gram", "p")).over(by_words.rangeBetween(0, run_words - gram_words))).where(f"left >= {run_words}")
     marks = materialize(line.select("id", "ver", "least.gram", "least.p").distinct(), "marks")
     first = marks.groupBy("gram").agg(F.min(F.struct("id", "p", "ver")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
-    hits = marks.join(first, "gram").where("struct(id, p, ver) > f").select("id", "ver", "p", F.col("f.id").alias("id0"), F.col("f.ver").alias("ver0"), (F.col("f.p") - F.col("p")).alias("step"))
+    found = materialize(marks.join(first, "gram").select("id", "ver", "p", "f"), "found")
+    release(marks)
+    runs = materialize(_runs(arrays, found, run_words), "runs")
+    before = runs.groupBy("k1", "k2").agg(F.min(F.struct("id", "p", "ver")).alias("f"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "f")
+    again = runs.join(before, ["k1", "k2"]).where("struct(id, p, ver) > f").groupBy("id", "ver").agg(F.collect_set(F.struct("p", "n")).alias("at"))
+    again = again.join(arrays.select("id", "ver", "i"), ["id", "ver"]).select("id", "ver", F.expr("array_distinct(flatten(transform(at, r -> slice(i, r.p + 1, r.n))))").alias("gone"))
+    hits = found.where("struct(id, p, ver) > f").select("id", "ver", "p", F.col("f.id").alias("id0"), F.col("f.ver").alias("ver0"), (F.col("f.p") - F.col("p")).alias("step"))
     lanes = hits.groupBy("id", "ver", "id0", "ver0", "step").agg(F.collect_set("p").alias("at"))
     lanes = lanes.join(arrays.select("id", "ver", "i", "h"), ["id", "ver"]).join(arrays.select(F.col("id").alias("id0"), F.col("ver").alias("ver0"), F.col("h").alias("h0")), ["id0", "ver0"])
     lanes = lanes.withColumn("lo", F.expr("greatest(0, -step)")).withColumn("hi", F.expr("least(size(h), size(h0) - step) - 1"))
@@ -58,8 +93,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lo + if(locate('0', back, length(same) - p + lo) = 0, 0, length(same) - locate('0', back, length(same) - p + lo) + 1) as a,
         lo + if(locate('0', same, p - lo + 1) = 0, length(same), locate('0', same, p - lo + 1) - 1) as b)))"""
     spans = lanes.select("id", "ver", F.expr(f"flatten(transform({run}, r -> slice(i, r.a + 1, r.b - r.a)))").alias("gone"))
-    gone = materialize(spans.groupBy("id", "ver").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
-    release(arrays, marks)
+    gone = materialize(spans.unionAll(again).groupBy("id", "ver").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    release(arrays, found, runs)
     return gone
 
 

@@ -130,6 +130,43 @@ def test_line_dedup_first_copy_stays(sp):
     assert got == {1: "own line one\n" + run, 2: "other", 3: None, 4: "short\nshort"}
 
 
+def _seen_before(texts, run_words):
+    """Lines of each text in any run of at least ``run_words`` words that occurred at an earlier place, by all runs."""
+    first, gone = {}, []
+    for d, t in enumerate(texts):
+        kept = [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
+        size, out = [x.count(" ") + 1 for _, x in kept], set()
+        for a in range(len(kept)):
+            for b in range(a + 1, len(kept) + 1):
+                if sum(size[a:b]) >= run_words and first.setdefault(tuple(x for _, x in kept[a:b]), (d, a)) != (d, a):
+                    out |= {i for i, _ in kept[a:b]}
+        gone.append(out)
+    return gone
+
+
+def test_line_dedup_run_with_an_older_gram(sp):
+    """Each line group of a run also stands in an older text of other company; the whole run occurs only later."""
+    words = lambda tag, n: " ".join(f"{tag}{j}" for j in range(n))
+    grams = [words(f"g{i}x", 20) for i in range(3)]
+    texts = []
+    for i, g in enumerate(grams):
+        texts.append("\n".join([words(f"o{i}a", 45), g, words(f"o{i}b", 45)]))
+    run = "\n".join(grams)
+    texts += [words("p", 30) + "\n" + run + "\n" + words("q", 30), words("r", 30) + "\n" + run + "\n" + words("s", 30)]
+    rng = np.random.RandomState(3)
+    pool = [words(f"w{k}v", n) for k, n in enumerate(rng.choice([1, 2, 5, 19, 20, 26, 49], 9))]
+    texts += ["\n".join(pool[k] for k in rng.randint(0, len(pool), 14)) for _ in range(40)]
+    got = {r.doc_id: set(r.lines_removed) for r in line_dedup.dedup_lines(sp.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = _seen_before(texts, line_dedup.RUN_WORDS)
+    assert got[4] == want[4] == {1, 2, 3}
+    assert all(want[d] <= got[d] for d in got)
+    lines, seen = [t.split("\n") for t in texts], set()
+    for d, t in enumerate(lines):
+        for i, x in enumerate(t):
+            assert x in seen or i not in got[d]
+            seen.add(x)
+
+
 def test_decontamination_finds_edited_passages(sp, docs):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     rng = np.random.RandomState(9)
