@@ -1,10 +1,10 @@
 """Isolation forest (M6): not in pyspark.ml, built from Spark primitives.
 
-* Train: about ``n_trees * psi`` rows go to the tree builders — a Bernoulli
-  sample with one tree per row when the data is larger, otherwise every row
-  replicated to ceil(n_trees * psi / n) distinct trees; ``groupBy(tree_id).applyInPandas`` grows one
-  isolation tree per group (a group holds ~psi rows: bounded).  Trees come
-  back as a node table (tree_id, node, feature, threshold, left, right, size).
+* Train: a tree's sample is the ``psi`` rows with the smallest hash of row and
+  tree, the same at every size, order and partitioning of the data (equal rows are told apart by a
+  copy number).  A bound on the hash leaves a few more than ``psi`` rows per tree; ``groupBy(tree_id).applyInPandas``
+  takes the smallest and grows one isolation tree per group (bounded by psi).  Trees come
+  back as a written node table (tree_id, node, feature, threshold, left, right, size).
 * Score: the node table is broadcast in chunks whose node count is bounded
   (``max_nodes_per_pass``); each chunk adds its path-length sum in one
   Arrow-batched pandas UDF pass.  score = -2^(-E[h] / c(psi)) (Liu, Ting, Zhou
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.stage import materialize
+
 EULER = 0.5772156649
 
 NODE_SCHEMA = T.StructType([T.StructField(n, t, False) for n, t in [
@@ -69,30 +71,30 @@ def fit_iforest(df: DataFrame, features: list[str], n_trees: int = 300, max_samp
     n = df.count()
     psi = int(min(n, max_samples))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    need = n_trees * psi                        # rows handed to the tree builders: bounded by the parameters
-    if need <= n:
-        # each sampled row feeds one tree
-        smp = df.select(*features).sample(withReplacement=False, fraction=min(1.0, need / max(n, 1) * 1.05),
-                                          seed=seed)
-        smp = smp.withColumn("tree_id", F.pmod(F.xxhash64(*features, F.rand(seed)), F.lit(n_trees)).cast("int"))
-    else:
-        # every row feeds r distinct trees (consecutive ids from a random offset), so each tree sees ~psi rows
-        r = min(int(math.ceil(need / max(n, 1))), n_trees)
-        smp = df.select(*features, F.floor(F.rand(seed) * n_trees).cast("int").alias("_t0"))
-        smp = smp.select(*features, F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_k"), "_t0")
-        smp = smp.withColumn("tree_id", F.pmod(F.col("_t0") + F.col("_k"), F.lit(n_trees)).cast("int")).drop(
-            "_t0", "_k")
+    rows = df.groupBy(*[F.col(c).cast("double").alias(c) for c in features]).count()
+    rows = rows.select(*features, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_copy"))
+    rows = rows.select(*features, F.xxhash64(*features, "_copy").alias("_row"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tid = int(pdf["tree_id"].iloc[0])
-        x = pdf[features].to_numpy(dtype=np.float64)[:psi]
+        x = pdf[features].to_numpy(dtype=np.float64)[np.argsort(pdf["_h"].to_numpy(), kind="stable")[:psi]]
         rng = np.random.default_rng(seed * 100003 + tid)
         rows = _grow(x, rng, max_depth)
         out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "size"])
         out.insert(0, "tree_id", tid)
         return out.astype({"tree_id": "int32", "node": "int32", "feature": "int32", "left": "int32",
                            "right": "int32", "size": "int64"})
-    return smp.groupBy("tree_id").applyInPandas(build, NODE_SCHEMA), psi
+    share = (psi + 6.0 * math.sqrt(psi) + 64) / max(n, 1)   # six standard deviations more than psi rows a tree
+    while True:
+        bound = F.lit(int(-2 ** 63 + share * 2 ** 64) if share < 1 else 2 ** 63 - 1)
+        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.xxhash64(F.col("_row"), t) <= bound)
+        smp = rows.select(*features, "_row", F.explode(trees).alias("tree_id"))
+        smp = smp.select(*features, "tree_id", F.xxhash64("_row", "tree_id").alias("_h"))
+        nodes = materialize(smp.groupBy("tree_id").applyInPandas(build, NODE_SCHEMA), "iforest-nodes")
+        full = nodes.filter((F.col("node") == 0) & (F.col("size") == psi)).count()
+        if full == n_trees or share >= 1:
+            return nodes, psi
+        share *= 2                              # a tree fell short of psi rows
 
 
 def _path_sums(tree_arrays):

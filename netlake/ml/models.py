@@ -44,7 +44,6 @@ def train(df: DataFrame, test_fraction: float = 0.2, trees_n: int = 500, depth:
     summ = classification_summary(rep, pred).first()
     benign = tr.filter(F.col("label") == 0)
     nodes, psi = iforest.fit_iforest(benign, config.FEATURE_NAMES, iso_trees, iso_samples, seed)
-    nodes = nodes.cache()
     train_scores = iforest.score_iforest(df.sparkSession, benign, nodes, psi, config.FEATURE_NAMES)
     cut = float(exact_percentile(train_scores, "iso_score", config.ANOMALY_CONTAMINATION) or 0.0)
     scored = iforest.score_iforest(df.sparkSession, pred, nodes, psi, config.FEATURE_NAMES)

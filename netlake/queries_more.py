@@ -501,7 +501,6 @@ def q_iforest_scores(spark, sf_dir):
     tr, te, _ = _scaled_split(spark, sf_dir)
     benign = tr.filter(F.col("label") == 0)
     nodes, psi = mif.fit_iforest(benign, mdl.config.FEATURE_NAMES, TEST_ISO_TREES, 80_000)
-    nodes = nodes.cache()
     cut = exact_percentile(mif.score_iforest(spark, benign, nodes, psi, mdl.config.FEATURE_NAMES), "iso_score", 0.05)
     s = mif.score_iforest(spark, te, nodes, psi, mdl.config.FEATURE_NAMES)
     return s.select("h1", "h2", "label", "iso_score",
