@@ -433,8 +433,6 @@ from .ml import online as mon  # noqa: E402
 from .ml import trees as mtr  # noqa: E402
 from .twins import ml as tml  # noqa: E402
 
-TEST_TREES, TEST_DEPTH, TEST_ISO_TREES = 20, 8, 50
-
 
 def fixture_predictions(spark, sf_dir):
     s = split(spark, sf_dir).filter(F.col("is_test"))
@@ -480,9 +478,9 @@ def _scaled_split(spark, sf_dir):
 
 @register("rf_scores")
 def q_rf_scores(spark, sf_dir):
-    """M4 + M8: weighted random forest (20 x depth 8 here) scored on the held-out split."""
+    """M4 + M8: weighted random forest (500 x depth 20) scored on the held-out split."""
     tr, te, _ = _scaled_split(spark, sf_dir)
-    m = mtr.train_classifier(tr, trees=TEST_TREES, depth=TEST_DEPTH)
+    m = mtr.train_classifier(tr)
     p = mtr.predict(m, te)
     return p.select("h1", "h2", "label", F.col("prediction").cast("int").alias("prediction"),
                     F.array_max("probability").alias("confidence"))
@@ -492,7 +490,7 @@ def q_rf_scores(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     """Top-20 feature importances of the forest."""
     tr, _, _ = _scaled_split(spark, sf_dir)
-    return mtr.feature_importance(mtr.train_classifier(tr, trees=TEST_TREES, depth=TEST_DEPTH), top=20)
+    return mtr.feature_importance(mtr.train_classifier(tr), top=20)
 
 
 @register("iforest_scores")
@@ -500,7 +498,7 @@ def q_iforest_scores(spark, sf_dir):
     """M6: isolation forest on benign training rows; score and -1/1 flag on the held-out split."""
     tr, te, _ = _scaled_split(spark, sf_dir)
     benign = tr.filter(F.col("label") == 0)
-    nodes, psi = mif.fit_iforest(benign, mdl.config.FEATURE_NAMES, TEST_ISO_TREES, 80_000)
+    nodes, psi = mif.fit_iforest(benign, mdl.config.FEATURE_NAMES)
     cut = exact_percentile(mif.score_iforest(spark, benign, nodes, psi, mdl.config.FEATURE_NAMES), "iso_score", 0.05)
     s = mif.score_iforest(spark, te, nodes, psi, mdl.config.FEATURE_NAMES)
     return s.select("h1", "h2", "label", "iso_score",
@@ -520,10 +518,10 @@ def q_ae_scores(spark, sf_dir):
 
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir):
-    """M5: 5-fold stratified CV accuracy / weighted F1 (10 x depth 5 forests here)."""
+    """M5: 5-fold stratified CV accuracy / weighted F1 (200 x depth 8 forests)."""
     tr, _, _ = _scaled_split(spark, sf_dir)
     folds = ds.stratified_folds(tr, 5)
-    return mtr.cross_validate(folds, k=5, trees=10, depth=5)
+    return mtr.cross_validate(folds)
 
 
 @register("online_accuracy")
@@ -539,8 +537,8 @@ def q_online_accuracy(spark, sf_dir):
 
 @register("model_metadata")
 def q_model_metadata(spark, sf_dir):
-    """M10 + S8: train every model (small sizes), save and reload, return the metadata record."""
-    models, _ = mdl.train(cleaned(spark, sf_dir), trees_n=TEST_TREES, depth=TEST_DEPTH, iso_trees=TEST_ISO_TREES)
+    """M10 + S8: train every model, save and reload, return the metadata record."""
+    models, _ = mdl.train(cleaned(spark, sf_dir))
     path = mdl.save(models, spark=spark)
     back = mdl.load(spark, path)
     meta = dict(back.metadata)
