@@ -1,6 +1,6 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Units are lines that hold a word (white space around them trimmed).  A gram is
+Units are lines that hold a word (white space, ``\\x20 \\x09-\\x0d``, around them trimmed and between words).  A gram is
 the hash of the lines from one on until they hold ``gram_words`` words.  A window
 is the grams that start within ``run_words - gram_words`` words; its
 smallest gram is a fingerprint.  Any run of lines with ``run_words`` words or more
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..plans.stage import materialize, release
 
 GRAM_WORDS, RUN_WORDS = 20, 50
+_SPACE = r"[\x20\x09-\x0D]"
 
 
 def _line_hash(x):
@@ -65,10 +66,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``ver`` is ``xxhash64`` of the text: rows that repeat an id and its text are one document.
     """
     raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("ver"), F.split(F.col(text_col).cast("string"), "\n").alias("lines")).where("id is not null and lines is not null")
-    kept = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t"))), lambda s: s["t"] != "")
+    kept = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, f"\\A{_SPACE}+|{_SPACE}+\\z", "").alias("t"))), lambda s: s["t"] != "")
     arrays = raw.select("id", "ver", kept.alias("k")).select(
         "id", "ver", F.transform("k", lambda s: s["i"]).alias("i"), F.transform("k", lambda s: _line_hash(s["t"])).alias("h"),
-        F.transform("k", lambda s: F.length(s["t"]) - F.length(F.replace(s["t"], F.lit(" "), F.lit(""))) + 1).alias("w")).where("size(i) > 0")
+        F.transform("k", lambda s: F.size(F.split(s["t"], f"{_SPACE}+"))).alias("w")).where("size(i) > 0")
     arrays = materialize(arrays.dropDuplicates(["id", "ver"]), "lines")
     line = arrays.select("id", "ver", F.posexplode(F.arrays_zip("h", "w")).alias("p", "z")).select("id", "ver", "p", "z.h", "z.w")
     doc = Window.partitionBy("id", "ver")

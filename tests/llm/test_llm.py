@@ -130,6 +130,13 @@ def test_line_dedup_first_copy_stays(sp):
     assert got == {1: "own line one\n" + run, 2: "other", 3: None, 4: "short\nshort"}
 
 
+def test_line_dedup_knows_all_white_space(sp):
+    lines = ["\t".join(f"r{i}v{j}" for j in range(15)) for i in range(4)]
+    texts = ["\n".join(lines), "\r\n".join(lines) + "\r\nend", "\n".join("\t" + x + " \t" for x in lines)]
+    got = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(sp.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [0, 1, 2, 3], 2: [0, 1, 2, 3]}
+
+
 def _seen_before(texts, run_words):
     """Lines of each text in any run of at least ``run_words`` words that occurred at an earlier place, by all runs."""
     first, gone = {}, []
