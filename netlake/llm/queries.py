@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_crf, line_dedup, ngram_jaccard, packing, quality_eb, secret_scan, spotsigs, toxicity, training_order
+from . import decontaminate, language_crf, line_dedup, ngram_jaccard, packing, quality_eb, secret_scan, simhash_ball, spotsigs, toxicity, training_order
 from .tokens import public_bpe
 
 QUERIES: dict = {}
@@ -93,3 +93,9 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     """Every training sequence as a record at its global slot."""
     return training_order.training_records(table(spark, sf_dir, "documents"), public_bpe())
+
+
+@register("op11_simhash_ball", None)
+def op11(spark, sf_dir):
+    """SimHash of every document and the component of those within four bits."""
+    return simhash_ball.simhash_near(table(spark, sf_dir, "documents"))
