@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_crf, line_dedup, ngram_jaccard, packing, quality_eb, secret_scan, simhash_ball, spotsigs, toxicity, training_order
+from . import decontaminate, filter_audit, language_crf, line_dedup, ngram_jaccard, packing, quality_eb, secret_scan, simhash_ball, spotsigs, toxicity, training_order
 from .tokens import public_bpe
 
 QUERIES: dict = {}
@@ -99,3 +99,9 @@ def op7(spark, sf_dir):
 def op11(spark, sf_dir):
     """SimHash of every document and the component of those within four bits."""
     return simhash_ball.simhash_near(table(spark, sf_dir, "documents"))
+
+
+@register("op13_filter_audit", filter_audit.oracle())
+def op13(spark, sf_dir):
+    """Five filters in all orders: what each step keeps, removes and loses, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
