@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, filter_audit, language_crf, line_dedup, ngram_jaccard, packing, quality_eb, secret_scan, simhash_ball, spotsigs, toxicity, training_order
+from . import decontaminate, filter_audit, language_crf, line_dedup, ngram_jaccard, packing, prefix_trie, quality_eb, secret_scan, simhash_ball, spotsigs, toxicity, training_order
 from .tokens import public_bpe
 
 QUERIES: dict = {}
@@ -105,3 +105,9 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     """Five filters in all orders: what each step keeps, removes and loses, by language."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_prefix_trie", prefix_trie.oracle())
+def op12(spark, sf_dir):
+    """Prefix trie of the rebuilt conversations, a row per node."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
