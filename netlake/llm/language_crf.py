@@ -150,47 +150,64 @@ def posteriors(em: np.ndarray, ptr: np.ndarray, trans: np.ndarray, start: np.nda
     return gamma, expected if pairs else None
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, batches: int = 12, segment: int = 60, rate: float = 0.25, l2: float = 1e-6, seed: int = 7) -> Crf | None:
-    """Fit by AdaGrad on the conditional log-likelihood; None without labelled words."""
+def train(texts: pa.Array | list[str], labels: list[str], epochs: int = 6, batches: int = 12, segment: int = 60, rate: float = 0.25, l2: float = 1e-6, seed: int = 7) -> Crf | None:
+    """Fit by AdaGrad on the conditional log-likelihood; None without labelled words.
+
+    Only the texts' bytes and the segments' byte ranges are held throughout; features are made for one mini-batch at a time.
+    """
     names = sorted(set(labels))
-    data, off = buffers(pa.array(texts, pa.string()))
-    fixed, tri, tri_ptr, ptr = word_features(data[: off[-1]], off)
-    if not len(fixed):
+    data, off = buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    pieces = []  # first byte, end, label of every ``segment`` words
+    for i, j in blocks(off):
+        s, e, ptr = word_spans(_FOLD[data[off[i] : off[j]]] != 32, off[i : j + 1] - off[i])
+        for d, (a, b) in enumerate(zip(ptr[:-1].tolist(), ptr[1:].tolist()), i):
+            at = np.arange(a, b, segment)
+            last = np.minimum(at + segment, b) - 1
+            pieces.append(np.stack((s[at] + off[i], e[last] + off[i], np.full(len(at), names.index(labels[d]))), axis=1))
+    pieces = np.concatenate(pieces) if pieces else np.zeros((0, 3), np.int64)
+    if not len(pieces):
         return None
     rng = np.random.RandomState(seed)
-    pieces = [(a, min(a + segment, int(ptr[d + 1])), names.index(labels[d])) for d in range(len(texts)) for a in range(int(ptr[d]), int(ptr[d + 1]), segment)]
     n_lab = len(names)
     m = Crf(names, np.zeros((1 << BITS, n_lab), np.float32), np.zeros((n_lab, n_lab)), np.zeros(n_lab))
-    sums = [np.full(x.shape, 1e-3) for x in (m.weight, m.trans, m.start)]
-    share = np.bincount([p[2] for p in pieces], minlength=n_lab) / len(pieces)
+    sums = [np.full(x.shape, 1e-3, x.dtype) for x in (m.weight, m.trans, m.start)]
+    share = np.bincount(pieces[:, 2], minlength=n_lab) / len(pieces)
     keep = np.minimum(1, share[share > 0].min() * 3 / np.maximum(share, 1e-9))
     for _ in range(epochs):
-        order = [p for p in (pieces[i] for i in rng.permutation(len(pieces))) if rng.rand() < keep[p[2]]]
-        for part in np.array_split(np.arange(len(order)), batches):
+        order = rng.permutation(len(pieces))
+        order = order[rng.rand(len(order)) < keep[pieces[order, 2]]]
+        for part in np.array_split(order, batches):
             if not len(part):
                 continue
-            seg = [order[i] for i in part]
-            words = np.concatenate([np.arange(a, b) for a, b, _ in seg])
-            y = np.concatenate([np.full(b - a, c) for a, b, c in seg])
-            n = np.diff(tri_ptr)[words]
-            t_ptr = np.concatenate(([0], np.cumsum(n)))
-            t = tri[np.arange(t_ptr[-1]) + np.repeat(tri_ptr[words] - t_ptr[:-1], n)]
-            ends = np.cumsum([b - a for a, b, _ in seg])
-            group = np.unique(np.concatenate(([0], ends[3::4], ends[-1:])))  # four segments make one code-switched sequence
-            em = m.emissions(fixed[words], t, t_ptr)
+            # the segments' bytes with a blank after each: as if they were texts of their own
+            cut = [data[a:b] for a, b, _ in pieces[part].tolist()]
+            stop = np.cumsum([len(x) + 1 for x in cut])
+            buf = np.full(int(stop[-1]), 32, np.uint8)
+            for x, z in zip(cut, stop.tolist()):
+                buf[z - 1 - len(x) : z - 1] = x
+            fixed, tri, tri_ptr, ptr = word_features(buf, np.concatenate(([0], stop)))
+            fixed, tri = fixed.astype(np.int32), tri.astype(np.int32)
+            y = np.repeat(pieces[part, 2], np.diff(ptr))
+            group = np.unique(np.concatenate(([0], ptr[1:][3::4], ptr[-1:])))  # four segments make one code-switched sequence
+            em = m.emissions(fixed, tri, tri_ptr)
             gamma, pair = posteriors(em, group, m.trans, m.start, True)
             diff = -gamma
             diff[np.arange(len(y)), y] += 1
             inner = np.setdiff1d(np.arange(1, len(y)), group)
             seen = np.zeros((n_lab, n_lab))
             np.add.at(seen, (y[inner - 1], y[inner]), 1)
-            slots = np.concatenate((fixed[words].ravel(), t))
-            owner = np.concatenate((np.repeat(np.arange(len(words)), fixed.shape[1]), np.repeat(np.arange(len(words)), n)))
-            grad = np.stack([np.bincount(slots, diff[owner, k], 1 << BITS) for k in range(n_lab)], 1)
-            steps = (grad - l2 * len(y) * m.weight, seen - pair, diff[group[:-1]].sum(axis=0))
-            for x, g, h in zip((m.weight, m.trans, m.start), steps, sums):
+            sizes = np.diff(tri_ptr)
+            step_start = diff[group[:-1]].sum(axis=0)
+            for k in range(n_lab):  # one label's column at a time
+                grad = np.bincount(tri, np.repeat(diff[:, k], sizes), 1 << BITS)
+                for c in range(fixed.shape[1]):
+                    grad += np.bincount(fixed[:, c], diff[:, k], 1 << BITS)
+                grad -= l2 * len(y) * m.weight[:, k]
+                sums[0][:, k] += grad * grad
+                m.weight[:, k] += rate * grad / np.sqrt(sums[0][:, k])
+            for x, g, h in zip((m.trans, m.start), (seen - pair, step_start), sums[1:]):
                 h += g * g
-                x += (rate * g / np.sqrt(h)).astype(x.dtype)
+                x += rate * g / np.sqrt(h)
     return m
 
 
@@ -243,9 +260,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 30, (per_label << 30) // n)))])
-    sample = rows.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 30)) < share[F.col("l")]).select("i", "t", "l").collect()
-    sample.sort(key=lambda r: (r.i, r.t))
-    return train([r.t for r in sample], [r.l for r in sample])
+    sample = rows.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 30)) < share[F.col("l")]).select("i", "t", "l").toArrow()
+    sample = sample.sort_by([("i", "ascending"), ("t", "ascending")]).select(["t", "l"]).combine_chunks()
+    return train(sample.column("t").chunk(0), sample.column("l").to_pylist()) if sample.num_rows else None
 
 
 def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
