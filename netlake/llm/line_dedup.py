@@ -78,12 +78,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line = line.withColumn("gram", F.md5(F.concat_ws(",", F.collect_list(F.col("h").cast("string")).over(by_words.rangeBetween(0, gram_words - 1)))))
     line = line.withColumn("least", F.min(F.struct("gram", "p")).over(by_words.rangeBetween(0, run_words - gram_words))).where(f"left >= {run_words}")
     marks = materialize(line.select("id", "ver", "least.gram", "least.p").distinct(), "marks")
-    first = marks.groupBy("gram").agg(F.min(F.struct("id", "p", "ver")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
+    # first places are cut from their aggregation: a join of two plain shuffles is one whose hot keys can be split
+    first = materialize(marks.groupBy("gram").agg(F.min(F.struct("id", "p", "ver")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f"), "first")
     found = materialize(marks.join(first, "gram").select("id", "ver", "p", "f"), "found")
-    release(marks)
+    release(marks, first)
     runs = materialize(_runs(arrays, found, run_words), "runs")
-    before = runs.groupBy("k1", "k2").agg(F.min(F.struct("id", "p", "ver")).alias("f"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "f")
-    again = runs.join(before, ["k1", "k2"]).where("struct(id, p, ver) > f").groupBy("id", "ver").agg(F.collect_set(F.struct("p", "n")).alias("at"))
+    before = materialize(runs.groupBy("k1", "k2").agg(F.min(F.struct("id", "p", "ver")).alias("f"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "f"), "before")
+    later = materialize(runs.join(before, ["k1", "k2"]).where("struct(id, p, ver) > f").select("id", "ver", "p", "n"), "later")
+    again = later.groupBy("id", "ver").agg(F.collect_set(F.struct("p", "n")).alias("at"))
     again = again.join(arrays.select("id", "ver", "i"), ["id", "ver"]).select("id", "ver", F.expr("array_distinct(flatten(transform(at, r -> slice(i, r.p + 1, r.n))))").alias("gone"))
     hits = found.where("struct(id, p, ver) > f").select("id", "ver", "p", F.col("f.id").alias("id0"), F.col("f.ver").alias("ver0"), (F.col("f.p") - F.col("p")).alias("step"))
     lanes = hits.groupBy("id", "ver", "id0", "ver0", "step").agg(F.collect_set("p").alias("at"))
@@ -95,7 +97,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lo + if(locate('0', same, p - lo + 1) = 0, length(same), locate('0', same, p - lo + 1) - 1) as b)))"""
     spans = lanes.select("id", "ver", F.expr(f"flatten(transform({run}, r -> slice(i, r.a + 1, r.b - r.a)))").alias("gone"))
     gone = materialize(spans.unionAll(again).groupBy("id", "ver").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
-    release(arrays, found, runs)
+    release(arrays, found, runs, before, later)
     return gone
 
 
@@ -105,24 +107,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts and null ids stay as they are; an empty text stays empty; a text whose
     lines all repeat becomes empty; blank lines stay.  Repeated rows of one id and text are
     one document and both change alike.  Ties between equal fingerprints go to the
-    smaller id, then the earlier line.  Input columns that clash with the added one are replaced.
+    smaller id, then the earlier line.  An input column ``lines_removed`` is replaced; no other name is reserved.
+
+    Texts meet their line numbers in one hash join at every size, keyed by id and text.
     """
-    gone = repeated_lines(docs, id_col, text_col, gram_words, run_words).select(F.col("id").alias("__id"), F.col("ver").alias("__ver"), F.col("gone").alias("__gone"))
-    rows = docs.drop("lines_removed").withColumn("__ver", F.xxhash64(text_col))
-    out = rows.join(gone, (F.col(id_col) == F.col("__id")) & (rows["__ver"] == gone["__ver"]), "left").drop(gone["__ver"]).drop("__id")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
-    return out.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"],
-                      F.coalesce("__gone", F.array().cast("array<int>")).alias("lines_removed"))
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any column: prefixed names are free
+    key, ver, cut = free + "id", free + "ver", free + "cut"
+    gone = repeated_lines(docs, id_col, text_col, gram_words, run_words).select(F.col("id").alias(key), F.col("ver").alias(ver + "0"), F.col("gone").alias(cut))
+    rows = docs.drop("lines_removed").withColumn(ver, F.xxhash64(text_col))
+    out = rows.join(gone.hint("shuffle_hash"), (F.col(f"`{id_col}`") == F.col(key)) & (F.col(ver) == F.col(ver + "0")), "left")
+    lines = F.split(F.col(f"`{text_col}`"), "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut)), lambda i: F.get(lines, i))
+    return out.select(*[F.when(F.col(cut).isNull(), F.col(f"`{c}`")).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"],
+                      F.coalesce(F.col(cut), F.array().cast("array<int>")).alias("lines_removed"))
 
 
 def oracle(gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> str:
-    """DuckDB: the same result line by line, with islands of equal lines instead of arrays."""
+    """DuckDB: lines of any run of ``run_words`` words seen before, and the islands of equal lines around a fingerprint's first place.
+
+    Runs are keyed by their whole list of line hashes, every run of every text, without
+    the choice of runs by fingerprint; islands are found line by line instead of in arrays.
+    """
+    space = "[\\x20\\x09-\\x0D]"
     return f"""
 with raw as (select doc_id as id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
-k as (select id, i, trim(line, ' ') as t from raw where trim(line, ' ') <> ''),
-l as (select id, i, t, ('0x' || substr(md5(t), 1, 15))::bigint as h, length(t) - length(replace(t, ' ', '')) + 1 as w, row_number() over (partition by id order by i) - 1 as p from k),
-c as (select *, (sum(w) over (partition by id order by p) - w)::bigint as c, sum(w) over (partition by id) as total from l),
+k as (select id, i, regexp_replace(line, '^{space}+|{space}+$', '', 'g') as t from raw where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+l as (select id, i, t, ('0x' || substr(md5(t), 1, 15))::bigint as h, len(string_split_regex(t, '{space}+')) as w, row_number() over (partition by id order by i) - 1 as p from k),
+c as (select *, (sum(w) over (partition by id order by p) - w)::bigint as c, (sum(w) over (partition by id order by p))::bigint as e, sum(w) over (partition by id) as total from l),
 g as (select *, md5(array_to_string(list(h::varchar) over (partition by id order by c range between current row and {gram_words - 1} following), ',')) as gram from c where total - c >= {gram_words}),
 m as (select *, min(gram || lpad(p::varchar, 9, '0')) over (partition by id order by c range between current row and {run_words - gram_words} following) as least from g),
 marks as (select distinct id, substr(least, 1, 32) as gram, substr(least, 33)::bigint as p from m where total - c >= {run_words}),
@@ -132,7 +143,12 @@ lanes as (select distinct id, id0, step from hits),
 eq as (select lanes.*, a.p, a.i from lanes join l a on a.id = lanes.id join l b on b.id = lanes.id0 and b.p = a.p + lanes.step and b.h = a.h),
 isl as (select *, p - row_number() over (partition by id, id0, step order by p) as grp from eq),
 good as (select distinct isl.id, isl.id0, isl.step, isl.grp from isl join hits using (id, id0, step, p)),
-gone as (select distinct isl.id, isl.i from isl join good using (id, id0, step, grp)),
+upto as (select id, p, e, list(h) over up as hs, min(p) over up as a from c window up as (partition by id order by e range between {run_words - 1} preceding and current row)),
+onto as (select id, p, total - c as rest, list(h) over down as hs, max(p) over down as b from c window down as (partition by id order by c range between current row and {run_words - 1} following)),
+runs as (select id, p as a, b, hs from onto where rest >= {run_words} union select id, a, p as b, hs from upto where e >= {run_words}),
+seen as (select id, a, b, min(struct_pack(id := id, p := a)) over (partition by hs) as f from runs),
+again as (select id, a, b from seen where struct_pack(id := id, p := a) > f),
+gone as (select isl.id, isl.i from isl join good using (id, id0, step, grp) union select l.id, l.i from again join l on l.id = again.id and l.p between again.a and again.b),
 left_ as (select raw.id, string_agg(line, chr(10) order by raw.i) as text from raw left join gone on gone.id = raw.id and gone.i = raw.i where gone.i is null group by raw.id),
 n as (select id, count(*) as n, string_agg(i::varchar, ',' order by i) as removed from gone group by id)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_removed, coalesce(n.removed, '') as removed, case when d.text is null then null else md5(coalesce(left_.text, '')) end as kept_md5
