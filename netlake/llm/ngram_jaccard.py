@@ -435,10 +435,24 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``width``-word shingles of the text lower-cased in A-Z; a text of fewer words
     is one shingle; a null, empty or blank text has none and links with nothing
     (its component is itself).  ``component_id`` is the smallest id reachable.
-    Rows with a null id are left out; other columns, whatever their names, are
-    ignored; an empty table gives an empty result; ids are expected to be unique.
+    A row of a null id links like any other, but a null is no smallest id: the component of null ids
+    alone is null.  Rows that repeat an id are one node with the links of all of them.  Other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
-    sizes, links = ngram_links(docs, id_col, text_col, width, num, den)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    nameless = rows.where("doc is null").select("text")
+    if nameless.isEmpty():
+        sizes, links = ngram_links(rows, "doc", "text", width, num, den)
+        label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
+        return sizes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select(
+            F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    # rows without an id get numbers below the least one, written once so that they stay
+    least = rows.agg(F.min("doc")).first()[0] or 0
+    named = materialize(nameless.select((F.lit(least) - 1 - F.monotonically_increasing_id()).alias("doc"), "text"), "named")
+    sizes, links = ngram_links(rows.where("doc is not null").union(named), "doc", "text", width, num, den)
     label = components(links.select(F.col("doc").alias("a"), F.col("other").alias("b")))
-    return sizes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    found = sizes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    found = materialize(found, "found")
+    real = F.when(F.col("doc") >= least, F.col("doc"))
+    ids = found.groupBy("component").agg(F.min(real).alias("component_id"))
+    return found.join(ids, "component").select(real.alias(id_col), F.col("n").alias("n_shingles"), "component_id")
