@@ -30,10 +30,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect (four of five shingles of five words alike), the one with the smallest id stays."""
+    """Of each group of rows that links connect (four of five shingles of five words alike), one stays: that with the smallest id.
+
+    Rows, not ids, are grouped: of copies under one id or under null ids one stays too, and different texts under
+    one id are judged each.  A null id counts as the largest.  Rows without words are in no group.
+    """
     ship_package(spark)
-    groups = ngram_jaccard.ngram_jaccard(docs, width=5, num=80)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any column: prefixed names are free
+    row, group = free + "row", free + "group"
+    # numbered once and written: row numbers must not change when a task runs again
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard.ngram_jaccard(rows, id_col=row, width=5, num=80).select(row, F.col("component_id").alias(group))
+    members = rows.select(row, F.col("doc_id").alias(free + "id")).join(groups, row)
+    stays = members.groupBy(group).agg(F.min(F.struct(F.col(free + "id").isNull().alias("unknown"), F.col(free + "id"), F.col(row))).getField(row).alias(row))
+    return rows.join(stays.select(row), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
