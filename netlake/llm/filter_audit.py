@@ -7,9 +7,10 @@ non-zero counts are distinct words; with character counts and the smallest id of
 each text they decide the filters, and one grouped pass over failure masks gives every
 order of the filters at once.
 
-Scale.  A shard first numbers its own words, so that the global dictionary sees a
-word once a shard and not once a use: the shuffle is of shard dictionaries, partly aggregated,
-and each shard gets its list of global ids back.  Texts are read once.  The masks of
+Scale.  A shard first numbers its own words in the order of a hash, so that the global dictionary sees a
+word once a shard and not once a use.  Shard dictionaries are cut into hash ranges of about ``PART_WORDS`` words and
+shuffled as packed text, one row a range and shard; a task numbers one range at a time, exactly by the words
+themselves, and sends each shard its ids back.  Texts are read once.  The masks of
 all documents aggregate to at most 32 rows for each part and label pair; orders are
 expanded only there.
 """
@@ -21,14 +22,17 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import materialize, release
-from .textops import SPACE, blocks, buffers, word_spans
+from .textops import SPACE, blocks, buffers, span_hash, word_spans
 
 SHARD_BYTES = 4 << 20
+#: Words of all shards together that a hash range holds on average, and that are numbered at once.
+PART_WORDS = 1 << 20
 #: The characters of filter D.
 MARKS = "#$%&*|"
 FILTERS = "ABCDE"
@@ -44,17 +48,35 @@ def _totals(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned little-endian integers of the least width that holds them all, after one byte that names the width."""
+    """Unsigned integers of the least width that holds them all: a byte that names the width, then all lowest bytes, all second ones and so on."""
     width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+    width = b[0]
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def _texts(sizes: np.ndarray, data: bytes | np.ndarray) -> pa.LargeStringArray:
+    """Words of the given sizes that stand one after the other in ``data``."""
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def _flat(words: pa.LargeStringArray) -> tuple[np.ndarray, bytes]:
+    """Sizes and joined bytes of an array that starts at its buffer's start."""
+    data, off = buffers(words)
+    return np.diff(off), data[off[0] : off[-1]].tobytes()
+
+
+def _hashes(words: pa.LargeStringArray) -> np.ndarray:
+    data, off = buffers(words)
+    return span_hash(data, off[:-1], off[1:])
 
 
 def _local_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, part, text) -> CSR shards over the shard's own dictionary, which ``words`` holds."""
+    """(doc, part, text) -> CSR shards over the shard's own dictionary: ``words`` and their ``sizes``, in the order of their hashes."""
     shard = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, off = buffers(batch.column(2))
@@ -62,30 +84,111 @@ def _local_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             token = ~SPACE[d]
             s, e, ptr = word_spans(token, o)
-            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(e - s)))
-            words = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(d[token].tobytes())).dictionary_encode()
-            size = max(1, len(words.dictionary))
+            words = _texts(e - s, d[token].tobytes()).dictionary_encode()
+            order = np.argsort(_hashes(words.dictionary), kind="stable")
+            code = np.empty(len(order), np.int64)
+            code[order] = np.arange(len(order))
+            sizes, joined = _flat(words.dictionary.take(pa.array(order)))
+            top = max(1, len(order))
             row = np.repeat(np.arange(j - i), np.diff(ptr))
-            cells, counts = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            starts = np.searchsorted(cells, np.arange(j - i + 1) * size)
+            cells, counts = np.unique(row * top + code[words.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+            starts = np.searchsorted(cells, np.arange(j - i + 1) * top)
+            steps = np.diff(cells % top, prepend=0)
+            steps[starts[:-1][np.diff(starts) > 0]] = cells[starts[:-1][np.diff(starts) > 0]] % top
             lists = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([blake2b(d[a:b], digest_size=16).digest() for a, b in zip(o[:-1], o[1:])], pa.binary()),
                      pa.array(_totals((d & 0xC0) != 0x80, o)), pa.array(_totals((d >= 65) & (d <= 90), o)), pa.array(_totals(_MARK[d], o) > 0)]
             columns = [pa.array([shard], pa.int64())]
             columns += [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in lists]
-            columns += [pa.array([_pack(x)], pa.binary()) for x in (starts, counts, cells % size)]
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc", "part", "digest", "chars", "upper", "marked", "starts", "counts", "codes", "words"])
+            columns += [pa.array([x], pa.binary()) for x in (_pack(starts), _pack(counts), _pack(steps), _pack(sizes), joined)] + [pa.array([len(order)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc", "part", "digest", "chars", "upper", "marked", "starts", "counts", "steps", "sizes", "words", "n_words"])
             shard += 1
 
 
+def _ranges(bits: int):
+    """(shard, sizes, words) -> a row (range, shard, sizes, words) for each of the ``2**bits`` hash ranges that the shard has words in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, sizes, joined in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                sizes = _unpack(sizes)
+                part = (_hashes(_texts(sizes, joined)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sizes), np.int64)
+                cut = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
+                to = [*cut[1:].tolist(), len(sizes)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part[cut]), pa.array(np.full(len(cut), shard)), pa.array([_pack(sizes[a:b]) for a, b in zip(cut.tolist(), to)], pa.binary()),
+                    pa.array([joined[ends[a] : ends[b]] for a, b in zip(cut.tolist(), to)], pa.binary()),
+                ], names=["range", "shard", "sizes", "words"])
+
+    return run
+
+
+_NUMBERED = "range long, shard long, ranks binary, n_words long, sizes binary, words binary, seen binary"
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range -> each row's words as ranks within the range; at its end a row without a shard that holds the range's words."""
+    part, known, seen, rows, size = None, None, np.zeros(0, np.int64), [], 0
+
+    def ranked() -> Iterator[pa.RecordBatch]:
+        nonlocal known, seen, rows, size
+        words = _texts(np.concatenate([s for _, s, _ in rows]), b"".join(w for _, _, w in rows))
+        rank = np.full(len(words), -1, np.int64) if known is None else pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+        fresh = words.filter(pa.array(rank < 0)).dictionary_encode()
+        before = 0 if known is None else len(known)
+        rank[rank < 0] = before + fresh.indices.to_numpy()
+        known = fresh.dictionary if known is None else pa.concat_arrays([known, fresh.dictionary])
+        seen = np.concatenate((seen, np.zeros(len(known) - before, np.int64))) + np.bincount(rank, minlength=len(known))
+        ends = np.cumsum([0, *(len(s) for _, s, _ in rows)]).tolist()
+        out = [(part, d, _pack(rank[a:b])) for (d, _, _), a, b in zip(rows, ends[:-1], ends[1:])]
+        rows, size = [], 0
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))), pa.nulls(len(out), pa.int64()), *(pa.nulls(len(out), pa.binary()) for _ in range(3))],
+                                         names=["range", "shard", "ranks", "n_words", "sizes", "words", "seen"])
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield from ranked()
+        if known is not None:
+            sizes, joined = _flat(known)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([len(known)]), *(pa.array([x], pa.binary()) for x in (_pack(sizes), joined, _pack(seen)))],
+                                             names=["range", "shard", "ranks", "n_words", "sizes", "words", "seen"])
+
+    for batch in batches:
+        for r, shard, sizes, joined in zip(*(batch.column(k) for k in range(4))):
+            if r.as_py() != part:
+                yield from closed()
+                part, known, seen = r.as_py(), None, np.zeros(0, np.int64)
+            rows.append((shard.as_py(), _unpack(sizes.as_py()), joined.as_py()))
+            size += len(rows[-1][1])
+            if size >= PART_WORDS:
+                yield from ranked()
+    yield from closed()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with their list of global ids -> the same shards with ``ids`` for local codes."""
+    """Rows sorted by shard: its ranges' ranks in order, then the shard itself -> the shard with ``ids`` for local codes."""
+    held = []
     for batch in batches:
         at = {n: k for k, n in enumerate(batch.schema.names)}
-        codes, lists = batch.column(at["codes"]), batch.column(at["global_ids"])
-        ids = [_pack(np.asarray(lists[k].values, np.int64)[_unpack(codes[k].as_py())] if lists[k].is_valid else np.zeros(0, np.int64)) for k in range(batch.num_rows)]
-        kept = [n for n in batch.schema.names if n not in ("codes", "global_ids")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
+        kept = [n for n in batch.schema.names if n not in ("steps", "closing", "range", "before", "ranks")]
+        for k in range(batch.num_rows):
+            one = {n: batch.column(c)[k] for n, c in at.items()}
+            if not one["closing"].as_py():
+                held.append(_unpack(one["ranks"].as_py()).astype(np.int64) + one["before"].as_py())
+                continue
+            starts, steps = _unpack(one["starts"].as_py()).astype(np.int64), _unpack(one["steps"].as_py()).astype(np.int64)
+            total = np.concatenate((np.zeros(1, np.int64), np.cumsum(steps)))
+            codes = total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))
+            ids = np.concatenate(held)[codes] if held else codes
+            held = []
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[n]).slice(k, 1) for n in kept), pa.array([_pack(ids)], pa.binary())], names=[*kept, "ids"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for before, sizes, joined, seen in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            words = _texts(_unpack(sizes), joined)
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(before + np.arange(len(words))), pa.array(_unpack(seen).astype(np.int64))], names=["word", "word_id", "shards"])
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -97,19 +200,19 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``[^\\x20\\x09-\\x0D]``; a null text reads as empty and has an empty row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(part_col).cast("string").alias("part"), F.col(text_col).cast("string").alias("text"))
-    local = materialize(rows.mapInArrow(_local_shards, f"{_ROWS}, codes binary, words array<string>"), "csr-local")
-    words = local.select("shard", F.posexplode("words").alias("code", "word"))
-    # monotonic ids name the writing task and the place within it: with the counts of earlier tasks they become dense
-    seen = materialize(words.groupBy("word").agg(F.count("*").alias("shards")).withColumn("at", F.monotonically_increasing_id()), "words")
-    task = F.shiftright("at", 33)
-    before = seen.groupBy(task.alias("task")).agg(F.count("*").alias("n")).select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    vocabulary = seen.join(F.broadcast(before), task == F.col("task")).select("word", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("word_id"), "shards")
-    vocabulary = materialize(vocabulary, "vocabulary")
-    lists = words.join(vocabulary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "word_id"))).alias("z"))
-    lists = lists.select("shard", F.col("z.word_id").alias("global_ids"))
-    shards = local.drop("words").join(lists, "shard", "left").mapInArrow(_encode, f"{_ROWS}, ids binary")
+    local = materialize(rows.mapInArrow(_local_shards, f"{_ROWS}, steps binary, sizes binary, words binary, n_words long"), "csr-local")
+    held = local.agg(F.sum("n_words")).first()[0] or 0
+    cut = local.select("shard", "sizes", "words").mapInArrow(_ranges((held // PART_WORDS).bit_length()), "range long, shard long, sizes binary, words binary")
+    numbered = materialize(cut.repartition("range").sortWithinPartitions("range", "shard").mapInArrow(_number, _NUMBERED), "dictionary")
+    # one row a range: dense ids go on where the range before ends
+    offsets = numbered.where("shard is null").select("range", F.coalesce(F.sum("n_words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    offsets = materialize(offsets, "offsets")
+    vocabulary = numbered.where("shard is null").join(offsets, "range").select("before", "sizes", "words", "seen").mapInArrow(_listed, "word string, word_id long, shards long")
+    back = numbered.where("shard is not null").join(offsets, "range").select("shard", F.lit(0).alias("closing"), "range", "before", "ranks")
+    both = back.unionByName(local.drop("sizes", "words", "n_words").withColumn("closing", F.lit(1)), allowMissingColumns=True)
+    shards = both.repartition("shard").sortWithinPartitions("shard", "closing", "range").mapInArrow(_encode, f"{_ROWS}, ids binary")
     shards = materialize(shards, "csr")
-    release(local, seen)
+    release(local)
     return shards, vocabulary
 
 

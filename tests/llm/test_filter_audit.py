@@ -72,6 +72,7 @@ ODD = [(1, None, None), (2, "", "en"), (3, " \n\t ", ""), (4, "The quick brown f
 def test_odd_rows(sp, monkeypatch, size):
     """Null, empty, blank and very long texts, null and repeated ids, repeated and null labels, in one shard and in many."""
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", size)
+    monkeypatch.setattr(filter_audit, "PART_WORDS", size)
     labels = [(5, 1, 0), (5, 0, 1), (2, None, 1), (None, 1, 1), (6, 1, None), (99, 1, 1)]
     docs = sp.createDataFrame([(d, t, p, "m", 0) for d, t, p in ODD], "doc_id long, text string, lang string, mask string, shard int")
     lab = sp.createDataFrame(labels, "doc_id long, quality int, toxic int")
