@@ -1,27 +1,22 @@
 """Alert union, greedy throttle, strikes and blocks.
 
-W7 and W8 are sequential by definition: whether an alert is sent depends on
-the last alert *sent*, whether a strike counts depends on the last *block*.
-Both run as a sorted streaming fold (``mapInPandas`` over partitions sorted by
-key and time), holding one Arrow batch and O(1) state per task; the Python
-loop jumps with ``searchsorted`` so its work grows with emissions/blocks, not
-with events.
-
-W7 is additionally split at exact restart points: an alert that follows 30 s
-of silence on its label is always sent, so every such chunk folds on its own
-and chunks spread over tasks.  A label that never goes quiet stays one
-sequential chunk (streamed, not collected).
+W7 and W8 look sequential: whether an alert is sent depends on the last alert
+*sent*, whether a strike counts depends on the last *block*.  Where each would lead
+next does not: if an alert is sent at t, the next one is the first at or
+after t + gap; if a source starts afresh at a row, its next block and the row after
+that block are fixed.  Both are therefore successor links found by ordered
+scans (``plans.scan``) whose visited places are marked by pointer doubling
+(``plans.ranking``), and a last scan gives every row its state.  No key, however
+hot, is folded in one task.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config
 from ..functions.columns import round_bin
+from ..plans.ranking import reached
 from ..plans.scan import BUCKET_COL, keyed_scan
 from ..plans.stage import materialize
 
@@ -67,180 +62,113 @@ def union_alerts(flows: DataFrame | None = None, dns: DataFrame | None = None,
 
 
 # ---------------------------------------------------------------- W7
-def _runs(cols: list[np.ndarray]) -> list[tuple[int, int]]:
-    """[start, end) of the runs of equal keys in sorted columns (vectorised)."""
-    n = len(cols[0])
-    if n == 0:
-        return []
-    change = np.zeros(n - 1, dtype=bool)
-    for c in cols:
-        change |= c[1:] != c[:-1]
-    cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
-    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-
-
-def _throttle_fold(gap_us: int, key_cols: list[str], ts: str):
-    def fold(batches):
-        cur_key, last = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            kcols = [pdf[c].to_numpy() for c in key_cols]
-            tv = pdf[ts].to_numpy(dtype=np.int64)
-            emitted = np.zeros(len(pdf), dtype=bool)
-            for start, end in _runs(kcols):
-                k = tuple(c[start] for c in kcols)
-                seg = tv[start:end]
-                if k != cur_key:
-                    cur_key, last = k, None
-                i = 0 if last is None else int(np.searchsorted(seg, last + gap_us, "left"))
-                while i < len(seg):
-                    emitted[start + i] = True
-                    last = int(seg[i])
-                    i = int(np.searchsorted(seg, last + gap_us, "left"))
-            yield pdf.assign(emitted=emitted)
-    return fold
+def _named(col: str) -> Column:
+    """A non-null key for any value of ``col``."""
+    return F.when(F.col(col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(col).cast("string")))
 
 
 def throttle(alerts: DataFrame, by: str = "label", gap_s: float = config.ALERT_COOLDOWN_S, ts: str = "ts_us",
              tie: str = "alert_id", bucket_s: float = 60) -> DataFrame:
     """Greedy per-``by`` cooldown; adds ``emitted`` (sent unless within
-    ``gap_s`` of the last *sent* alert of the same key) and ``chunk_us``.
+    ``gap_s`` of the last *sent* alert of the same key).
 
-    ``tie`` must order alerts of equal time uniquely (arrival order).
+    Of alerts at the same time only the first by ``tie`` (unique within a key
+    and time) can be sent.  An alert after ``gap_s`` of silence is always sent and
+    starts a chain; each distinct time leads to the first at least ``gap_s`` later.
+    A null key is a key of its own; without a gap everything is sent.
     """
     gap_us = int(round(gap_s * 1_000_000))
-    bucket_us = int(bucket_s * 1_000_000)
+    if gap_us <= 0:
+        return alerts.withColumn("emitted", F.lit(True))
     a = materialize(alerts, "throttle-in")
-    a = keyed_scan(a, [by], ts, tie, bucket_us, lags=[("_prev_ts", F.col(ts))])
-    restart = F.col("_prev_ts").isNull() | (F.col(ts) - F.col("_prev_ts") >= gap_us)
-    a = materialize(a.withColumn("_restart", restart).drop("_prev_ts", BUCKET_COL), "throttle-restarts")
-    a = keyed_scan(a, [by], ts, tie, bucket_us, lasts=[("_chunk_x", F.when(F.col("_restart"), F.col(ts)))])
-    a = a.withColumn("chunk_us", F.when(F.col("_restart"), F.col(ts)).otherwise(F.col("_chunk_x"))).drop(
-        "_chunk_x", "_restart", BUCKET_COL)
-    schema = T.StructType(a.schema.fields + [T.StructField("emitted", T.BooleanType(), False)])
-    sorted_parts = a.repartition(by, "chunk_us").sortWithinPartitions(by, "chunk_us", ts, tie)
-    return sorted_parts.mapInPandas(_throttle_fold(gap_us, [by, "chunk_us"], ts), schema)
+    times = materialize(a.groupBy(_named(by).alias("_k"), F.col(ts).alias("_t")).agg(F.min(tie).alias("_tie")), "throttle-times")
+    # latest first: every time, and where its gap ends, meets the earliest time at or after it
+    marks = times.select("_k", F.explode(F.array(F.struct((-F.col("_t")).alias("neg"), F.lit(0).alias("end")),
+                                                 F.struct((-F.col("_t") - gap_us).alias("neg"), F.lit(1).alias("end")))).alias("m"))
+    marks = keyed_scan(marks.select("_k", "m.neg", "m.end"), ["_k"], "neg", "end", int(bucket_s * 1_000_000),
+                       lasts=[("to", F.when(F.col("end") == 0, -F.col("neg")))])
+    marks = materialize(marks.drop(BUCKET_COL), "throttle-next")
+    quiet = marks.where((F.col("end") == 0) & (F.col("to") + F.col("neg") >= gap_us)).select("_k", F.col("to").alias("at"))
+    starts = quiet.union(times.groupBy("_k").agg(F.min("_t").alias("at")))
+    links = marks.where("end = 1").select("_k", (-F.col("neg") - gap_us).alias("at"), "to")
+    sent = reached(starts, links, "_k").select("_k", F.col("at").alias("_t"))
+    sent = times.join(sent, ["_k", "_t"]).withColumn("_sent", F.lit(True))
+    rows = a.withColumn("_k", _named(by)).withColumn("_t", F.col(ts)).withColumn("_tie", F.col(tie))
+    return rows.join(sent, ["_k", "_t", "_tie"], "left").select(*a.columns, F.coalesce("_sent", F.lit(False)).alias("emitted"))
 
 
 # ---------------------------------------------------------------- W8 / J9 / J10
-def _block_fold(threshold: int, dur_us: int, key: str, ts: str):
-    def fold(batches):
-        cur, pending, until = None, 0, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].to_numpy()
-            tv = pdf[ts].to_numpy(dtype=np.int64)
-            n = len(pdf)
-            status = np.empty(n, dtype=object)
-            strike_no = np.zeros(n, dtype=np.int64)
-            for start, end in _runs([keys]):
-                k = keys[start]
-                if k != cur:
-                    cur, pending, until = k, 0, None
-                seg = tv[start:end]
-                p, m = 0, len(seg)
-                while p < m:
-                    if until is not None:
-                        q = int(np.searchsorted(seg, until, "left"))
-                        q = max(q, p)
-                        status[start + p:start + q] = "ignored"
-                        if q >= m:
-                            p = m
-                            break
-                        p, until, pending = q, None, 0       # unblocked: strikes cleared
-                    need = threshold - pending
-                    if p + need - 1 < m:
-                        idx = p + need - 1
-                        status[start + p:start + idx + 1] = "strike"
-                        strike_no[start + p:start + idx + 1] = np.arange(pending + 1, threshold + 1)
-                        status[start + idx] = "blocked"
-                        until = int(seg[idx]) + dur_us
-                        pending = threshold
-                        p = idx + 1
-                    else:
-                        status[start + p:start + m] = "strike"
-                        strike_no[start + p:start + m] = np.arange(pending + 1, pending + 1 + (m - p))
-                        pending += m - p
-                        p = m
-            yield pdf.assign(status=status, strike_no=strike_no)
-    return fold
-
-
-def _block_fold_actions(threshold: int, dur_us: int, key: str, ts: str, action: str):
-    """Per-event variant used when manual ``block`` / ``unblock`` actions are mixed in."""
-    def fold(batches):
-        cur, pending, until = None, 0, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            status, nos = [], []
-            for k, t, act in zip(pdf[key].to_numpy(), pdf[ts].to_numpy(dtype=np.int64), pdf[action].to_numpy()):
-                t = int(t)
-                if k != cur:
-                    cur, pending, until = k, 0, None
-                if until is not None and t >= until:          # expired: unblocked, strikes cleared
-                    pending, until = 0, None
-                act = act or "attack"
-                if act == "block":
-                    if until is None:
-                        until = t + dur_us
-                        status.append("manual_block")
-                    else:
-                        status.append("noop")
-                    nos.append(0)
-                elif act == "unblock":
-                    if until is not None:
-                        pending, until = 0, None
-                        status.append("manual_unblock")
-                    else:
-                        status.append("noop")
-                    nos.append(0)
-                elif until is not None:
-                    status.append("ignored")
-                    nos.append(0)
-                else:
-                    pending += 1
-                    nos.append(pending)
-                    if pending >= threshold:
-                        status.append("blocked")
-                        until = t + dur_us
-                    else:
-                        status.append("strike")
-            yield pdf.assign(status=status, strike_no=np.array(nos, dtype=np.int64))
-    return fold
-
-
 def strikes_and_blocks(attacks: DataFrame, threshold: int = config.BLOCK_THRESHOLD,
                        duration_s: float = config.BLOCK_DURATION_S, whitelist: list[str] | None = None,
-                       ip: str = "src_ip", ts: str = "ts_us", tie: str = "event_id") -> DataFrame:
-    """W8 + J9 + J10: fold attack events per source in time order.
+                       ip: str = "src_ip", ts: str = "ts_us", tie: str = "event_id", bucket_s: float = 60) -> DataFrame:
+    """W8 + J9 + J10: the state of each source at each of its attack events, in time order.
 
     Adds ``status`` (``strike`` / ``blocked`` = the strike that triggers a
-    block / ``ignored`` = arrived while blocked) and ``strike_no``.  A block
+    block / ``ignored`` = arrived while blocked), ``strike_no`` and, on rows that start a
+    block, ``until_us`` (its end).  A block
     lasts ``duration_s`` (unblocked exactly at +duration, strikes cleared).
-    Whitelisted sources (J9) never enter the fold.  An optional ``action``
-    column (``attack`` / ``block`` / ``unblock``) folds manual decisions in
-    time order: a manual block keeps the strike count, an unblock clears it.
+    Whitelisted sources (J9) never enter.  An optional ``action``
+    column (``attack`` / ``block`` / ``unblock``) mixes in manual decisions:
+    a manual block ends like any other, an unblock ends a block and clears the strikes; they are
+    ``manual_block`` / ``manual_unblock``, or ``noop`` where nothing changes.  ``tie`` orders rows of equal time uniquely.
+
+    A source that starts afresh at a row is blocked at the earlier of its
+    ``threshold``-th attack and the first manual block from there on; it starts afresh at the
+    earlier of the first row at the block's end and the row after the first manual unblock.  These links are
+    followed from each source's first row by pointer doubling.
     """
     wl = config.DEFAULT_WHITELIST if whitelist is None else whitelist
-    a = attacks.filter(F.col(ip).isNotNull() & ~F.col(ip).isin(*wl)) if wl else attacks
-    dur_us = int(round(duration_s * 1_000_000))
-    schema = T.StructType(a.schema.fields + [T.StructField("status", T.StringType(), False),
-                                             T.StructField("strike_no", T.LongType(), False)])
-    s = a.repartition(ip).sortWithinPartitions(ip, ts, tie)
-    if "action" in a.columns:
-        return s.mapInPandas(_block_fold_actions(threshold, dur_us, ip, ts, "action"), schema)
-    return s.mapInPandas(_block_fold(threshold, dur_us, ip, ts), schema)
-
-
-def blocks(strikes: DataFrame, duration_s: float = config.BLOCK_DURATION_S, ip: str = "src_ip",
-           ts: str = "ts_us") -> DataFrame:
-    """D15 interval rows ``(ip, blocked_at_us, unblocked_at_us)``."""
-    dur_us = int(round(duration_s * 1_000_000))
+    a = attacks.filter(F.col(ip).isNotNull() & ~F.col(ip).isin(*wl)) if wl else attacks.filter(F.col(ip).isNotNull())
+    dur_us, bucket_us = int(round(duration_s * 1_000_000)), int(bucket_s * 1_000_000)
+    kind = F.when(F.col("action").isin("block", "unblock"), F.col("action")).otherwise("attack") if "action" in a.columns else F.lit("attack")
+    rows = materialize(a.withColumn("_kind", kind), "strikes-in")
+    numbered = keyed_scan(rows, [ip], ts, tie, bucket_us, sums=[("_r", F.lit(1)), ("_a", (F.col("_kind") == "attack").cast("int"))])
+    rows = materialize(numbered.drop(BUCKET_COL), "strikes-rows")
+    n = rows.select(F.col(ip).alias("k"), F.col(ts).alias("t"), F.col("_r").alias("r"), F.col("_a").alias("a"), F.col("_kind").alias("kind"))
+
+    # latest first: what follows each row, and the first row at or after the end of a block that starts there
+    both = n.select("k", "kind", F.explode(F.array(F.struct((-F.col("t")).alias("neg"), (-F.col("r")).alias("tie"), "r", F.lit(0).alias("end")),
+                                                   F.struct((-F.col("t") - dur_us).alias("neg"), F.col("r").alias("tie"), "r", F.lit(1).alias("end")))).alias("m"))
+    real = F.col("end") == 0
+    after = keyed_scan(both.select("k", "kind", "m.*"), ["k"], "neg", "tie", bucket_us,
+                       lasts=[("nxt", F.when(real, F.col("r"))), ("blk", F.when(real & (F.col("kind") == "block"), F.col("r"))),
+                              ("unb", F.when(real & (F.col("kind") == "unblock"), F.struct("r", (-F.col("neg")).alias("t"))))])
+    after = after.groupBy("k", "r").agg(F.max(F.when(real, F.col("blk"))).alias("blk"), F.max(F.when(real, F.col("unb"))).alias("unb"),
+                                        F.max(F.when(~real, F.col("nxt"))).alias("expires"), F.max(F.when(real, F.col("nxt"))).alias("nxt"),
+                                        F.max(F.when(real, -F.col("neg"))).alias("t"))
+    # if a block starts at row r: its end, and the row of the fresh start after it
+    early = F.col("unb").isNotNull() & (F.col("unb.t") < F.col("t") + dur_us)
+    ends = after.select("k", "r", F.when(early, F.col("unb.t")).otherwise(F.col("t") + dur_us).alias("until"),
+                        F.when(early, F.col("unb.r") + 1).otherwise(F.col("expires")).alias("fresh"), "blk")
+    ends = materialize(ends, "strikes-ends")
+    # if a source starts afresh at row r: where it is blocked
+    nth = n.where("kind = 'attack'").select("k", (F.col("a") - threshold).alias("before"), F.col("r").alias("hit"))
+    begin = n.withColumn("before", F.col("a") - (F.col("kind") == "attack").cast("int")).join(ends.select("k", "r", "blk"), ["k", "r"]).join(nth, ["k", "before"], "left")
+    first_block = F.when(F.col("kind") == "block", F.col("r")).otherwise(F.col("blk"))
+    begin = materialize(begin.select("k", "r", "before", F.least("hit", first_block).alias("b")), "strikes-begin")
+    stops = begin.join(ends.select("k", F.col("r").alias("b"), "until", "fresh"), ["k", "b"])
+    last = n.groupBy("k").agg(F.max("r").alias("last"))
+    links = stops.join(last, "k").where("fresh <= last").select("k", F.col("r").alias("at"), F.col("fresh").alias("to"))
+    fresh = reached(n.where("r = 1").select("k", F.col("r").alias("at")), links, "k").select("k", F.col("at").alias("r"))
+    held = begin.join(fresh, ["k", "r"]).join(ends.select("k", F.col("r").alias("b"), "until"), ["k", "b"], "left")
+    held = held.select(F.col("k").alias(ip), F.col("r").alias("_r"), F.struct("before", "b", "until").alias("_now"))
+    rows = materialize(rows.join(held, [ip, "_r"], "left"), "strikes-held")
+    out = keyed_scan(rows, [ip], ts, tie, bucket_us, lasts=[("_was", F.col("_now"))]).withColumn("_s", F.coalesce("_now", "_was"))
+
+    attack, before_block = F.col("_kind") == "attack", F.col("_s.b").isNull() | (F.col("_r") < F.col("_s.b"))
+    at_block = F.col("_r") == F.col("_s.b")
+    status = (F.when(attack & before_block, "strike").when(attack & at_block, "blocked").when(attack, "ignored")
+              .when(at_block, "manual_block")
+              .when((F.col("_kind") == "unblock") & ~before_block & (F.col(ts) <= F.col("_s.until")), "manual_unblock").otherwise("noop"))
+    counts = attack & (before_block | at_block)
+    return out.select(*a.columns, status.alias("status"), F.when(counts, F.col("_a") - F.col("_s.before")).otherwise(F.lit(0)).cast("long").alias("strike_no"),
+                      F.when(at_block, F.col("_s.until")).alias("until_us"))
+
+
+def blocks(strikes: DataFrame, ip: str = "src_ip", ts: str = "ts_us") -> DataFrame:
+    """D15 interval rows ``(ip, blocked_at_us, unblocked_at_us)``; a manual unblock ends its block early."""
     return strikes.filter(F.col("status").isin("blocked", "manual_block")).select(
-        F.col(ip).alias("ip"), F.col(ts).alias("blocked_at_us"), (F.col(ts) + F.lit(dur_us)).alias("unblocked_at_us"))
+        F.col(ip).alias("ip"), F.col(ts).alias("blocked_at_us"), F.col("until_us").alias("unblocked_at_us"))
 
 
 def blocked_at(block_rows: DataFrame, now_us: int | Column, duration_s: float = config.BLOCK_DURATION_S) -> DataFrame:
@@ -307,5 +235,3 @@ def dispatch_alerts(alerts: DataFrame, writer) -> None:
     """S9 for batch input: hand the throttled, formatted alerts to ``writer(df, 0)``."""
     writer(alerts, 0)
 
-
-_ = pd  # pandas is used through mapInPandas batches

@@ -266,7 +266,7 @@ def q_alerts_throttled(spark, sf_dir):
 
 @register("alerts_throttled_dense", trs.THROTTLE_DENSE_SQL)
 def q_alerts_throttled_dense(spark, sf_dir):
-    """W7 on a stream with no quiet gaps (one sequential chunk per label)."""
+    """W7 on a stream with no quiet gaps: one chain per label."""
     t = rs.throttle(fx.alert_events(spark, sf_dir, "dense"))
     return t.filter("emitted").select("alert_id", "label", "ts_us")
 
@@ -308,7 +308,7 @@ def q_strikes(spark, sf_dir):
 @register("blocks", trs.BLOCKS_SQL)
 def q_blocks(spark, sf_dir):
     """Block intervals."""
-    return rs.blocks(strikes(spark, sf_dir), duration_s=60)
+    return rs.blocks(strikes(spark, sf_dir))
 
 
 @register("blocked_now", trs.BLOCKED_NOW_SQL)
@@ -316,7 +316,7 @@ def q_blocked_now(spark, sf_dir):
     """Blocks active at the last attack time, with remaining seconds."""
     st = strikes(spark, sf_dir)
     now = st.agg(F.max("ts_us")).first()[0]
-    return rs.blocked_at(rs.blocks(st, duration_s=60), now, duration_s=60)
+    return rs.blocked_at(rs.blocks(st), now, duration_s=60)
 
 
 @register("honeypot_by_service", trs.HONEYPOT_BY_SERVICE_SQL)
@@ -362,7 +362,7 @@ def q_dashboard_stats(spark, sf_dir):
     v = vd.classify(scored(spark, sf_dir))
     st = strikes(spark, sf_dir)
     now = st.agg(F.max("ts_us")).first()[0]
-    return rp.dashboard_stats(v, rs.blocks(st, duration_s=60), fx.honeypot_hits(spark, sf_dir),
+    return rp.dashboard_stats(v, rs.blocks(st), fx.honeypot_hits(spark, sf_dir),
                               dns_verdicts(spark, sf_dir), profiles(spark, sf_dir), now)
 
 

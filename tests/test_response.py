@@ -28,9 +28,9 @@ def test_strikes_and_blocks(spark):
     assert 99 not in got                                   # whitelisted
     assert [got[i][0] for i in range(9)] == ["strike", "strike", "blocked", "ignored", "ignored",
                                              "strike", "strike", "blocked", "ignored"]
-    b = rs.blocks(rs.strikes_and_blocks(df, duration_s=60), duration_s=60).orderBy("blocked_at_us").collect()
+    b = rs.blocks(rs.strikes_and_blocks(df, duration_s=60)).orderBy("blocked_at_us").collect()
     assert [(r["blocked_at_us"], r["unblocked_at_us"]) for r in b] == [(2 * S, 62 * S), (64 * S, 124 * S)]
-    now = rs.blocked_at(rs.blocks(rs.strikes_and_blocks(df, duration_s=60), duration_s=60), 70 * S, 60).collect()
+    now = rs.blocked_at(rs.blocks(rs.strikes_and_blocks(df, duration_s=60)), 70 * S, 60).collect()
     assert [(r["ip"], r["remaining_sec"]) for r in now] == [("1.2.3.4", 54)]
     _ = F
 
