@@ -222,6 +222,58 @@ FROM nation
 """
 
 
+# ---------------------------------------------------------------- addresses of both families and their networks
+def address_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIXTURES table 13: an address per customer, IPv6 in several spellings, IPv4, mapped IPv4 and junk."""
+    n = F.col("c_custkey").cast("long")
+    net, sub, host = (n % 25).cast("int"), F.element_at(F.array(F.lit(0), F.lit(1), F.lit(32768)), (n % 3 + 1).cast("int")), (n * 7919 % 65536).cast("int")
+    v4 = F.concat(F.lit("203.0.113."), (n % 256).cast("string"))
+    junk = F.element_at(F.array(F.lit(""), F.lit("?"), F.lit(None).cast("string"), F.format_string("fe80::%x", host), F.format_string("host-%d", n)), (n % 5 + 1).cast("int"))
+    ip = (F.when(n % 6 == 0, F.format_string("2001:0DB8:%04X:%04X:0000:0000:0000:%04X", net, sub, host))
+          .when(n % 6 == 1, F.format_string("2001:db8:%x:%x:0:0:0:%x", net, sub, host))
+          .when(n % 6 == 2, F.format_string("2001:db8:%x:%x::%x", net, sub, host))
+          .when(n % 6 == 3, v4).when(n % 6 == 4, F.concat(F.lit("::ffff:"), v4)).otherwise(junk))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ip.alias("ip"))
+
+
+#: The numbers come from the keys, not from the texts that the operator parses.
+ADDRESS_BOOK_SQL = f"""
+SELECT c_custkey, CASE WHEN n % 6 < 3 THEN base + net::HUGEINT * 1208925819614629174706176 + sub::HUGEINT * 18446744073709551616 + host
+    WHEN n % 6 < 5 THEN 281470681743360::HUGEINT + {GEO_BASE_IP} + n % 256 END AS num,
+  n % 6 = 5 AND n % 5 = 3 AS local
+FROM (SELECT c_custkey, c_custkey::BIGINT AS n, c_custkey % 25 AS net, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 32768 END AS sub, c_custkey::BIGINT * 7919 % 65536 AS host,
+        42540766411282592856903984951653826560::HUGEINT AS base FROM customer) t
+"""
+
+
+def network_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIXTURES table 14: nested IPv6 networks (/32, /48, /49, /64) and IPv4 ranges that do not start at powers of two."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nk, name = F.col("n_nationkey").cast("int"), F.col("n_name")
+    nets = F.array(F.when(nk == 0, F.struct(F.lit("2001:db8::/32").alias("network"), F.lit("Registry").alias("country"))),
+                   F.when(nk < 20, F.struct(F.format_string("2001:DB8:%x::/48", nk).alias("network"), name.alias("country"))),
+                   F.when(nk % 3 == 0, F.struct(F.format_string("2001:db8:%x:8000::/49", nk).alias("network"), F.concat(name, F.lit(" upper")).alias("country"))),
+                   F.when(nk % 2 == 0, F.struct(F.format_string("2001:0db8:%04x:0001::/64", nk).alias("network"), F.concat(name, F.lit(" lan")).alias("country"))))
+    v6 = n.select(F.explode(F.filter(nets, lambda x: x.isNotNull())).alias("x")).select("x.network", F.lit(None).cast("long").alias("start_ip"), F.lit(None).cast("long").alias("end_ip"), "x.country")
+    v4 = n.select(F.lit(None).cast("string").alias("network"), (F.lit(GEO_BASE_IP).cast("long") + nk * 10 + 3).alias("start_ip"), (F.lit(GEO_BASE_IP).cast("long") + nk * 10 + 17).alias("end_ip"), name.alias("country"))
+    zero = {"country_code": "XX", "region": "", "city": "", "isp": "", "org": "", "asn": ""}
+    both = v6.unionByName(v4).select("*", *[F.lit(v).alias(k) for k, v in zero.items()], F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    return both.withColumn("is_proxy", F.lit(False)).withColumn("is_hosting", F.lit(False))
+
+
+NETWORK_DIM_SQL = f"""
+SELECT base AS first, base + 79228162514264337593543950335 AS last, 'Registry' AS country FROM (SELECT 42540766411282592856903984951653826560::HUGEINT AS base) t
+UNION ALL
+SELECT lo, lo + 1208925819614629174706175, n_name FROM (SELECT 42540766411282592856903984951653826560::HUGEINT + n_nationkey::HUGEINT * 1208925819614629174706176 AS lo, * FROM nation) t WHERE n_nationkey < 20
+UNION ALL
+SELECT lo + 604462909807314587353088, lo + 1208925819614629174706175, n_name || ' upper' FROM (SELECT 42540766411282592856903984951653826560::HUGEINT + n_nationkey::HUGEINT * 1208925819614629174706176 AS lo, * FROM nation) t WHERE n_nationkey % 3 = 0
+UNION ALL
+SELECT lo + 18446744073709551616, lo + 36893488147419103231, n_name || ' lan' FROM (SELECT 42540766411282592856903984951653826560::HUGEINT + n_nationkey::HUGEINT * 1208925819614629174706176 AS lo, * FROM nation) t WHERE n_nationkey % 2 = 0
+UNION ALL
+SELECT 281470681743360::HUGEINT + {GEO_BASE_IP} + n_nationkey * 10 + 3, 281470681743360::HUGEINT + {GEO_BASE_IP} + n_nationkey * 10 + 17, n_name FROM nation
+"""
+
+
 # ---------------------------------------------------------------- reputation dimension
 def reputation_dim(spark: SparkSession, sf_dir: str, base_ts_us: int | None = None) -> DataFrame:
     """FIXTURES table 7: reputation records with a fetch time (as-of join input)."""

@@ -202,9 +202,16 @@ def q_geo_enriched(spark, sf_dir):
     return en.enrich_geo(p, fx.geo_dim(spark, sf_dir), "src_ip")
 
 
+@register("geo_prefix_match", ten.GEO_PREFIX_SQL)
+def q_geo_prefix_match(spark, sf_dir):
+    """J4 on both address families: longest-prefix match over nested networks and ranges."""
+    g = en.enrich_geo(fx.address_book(spark, sf_dir), fx.network_dim(spark, sf_dir), "ip")
+    return g.select("c_custkey", F.col("geo_country").alias("country"), F.col("geo_is_private").alias("is_private"))
+
+
 def _rep(spark, sf_dir, ttl_s):
     p = fx.packets(spark, sf_dir).select("packet_id", "src_ip", "ts_us")
-    return en.enrich_reputation(p, fx.reputation_dim(spark, sf_dir), id_col="packet_id", ttl_s=ttl_s)
+    return en.enrich_reputation(p, fx.reputation_dim(spark, sf_dir), ttl_s=ttl_s)
 
 
 @register("reputation_asof", ten.REPUTATION_SQL)
@@ -234,7 +241,7 @@ def detection_events(spark, sf_dir):
     run = bh.running_scores(ev).select("flow_id", "threat_score", "risk_level")
     d = v.join(run, "flow_id", "left")
     d = en.enrich_geo(d, fx.geo_dim(spark, sf_dir), "src_ip")
-    return en.enrich_reputation(d, fx.reputation_dim(spark, sf_dir), "src_ip", "last_seen_us", "flow_id")
+    return en.enrich_reputation(d, fx.reputation_dim(spark, sf_dir), "src_ip", "last_seen_us")
 
 
 @register("detection_events", ten.DETECTION_SQL)

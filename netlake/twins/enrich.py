@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .. import config
-from ..fixtures import GEO_DIM_SQL, PACKETS_SQL, REPUTATION_DIM_SQL
+from ..fixtures import ADDRESS_BOOK_SQL, GEO_DIM_SQL, NETWORK_DIM_SQL, PACKETS_SQL, REPUTATION_DIM_SQL
 from .behavior import events_cte, running_cte
 
 
@@ -93,6 +93,10 @@ SELECT pk.packet_id, pk.src_ip, geo.country AS geo_country, geo.country_code AS
   geo.is_private AS geo_is_private, geo.flag AS geo_flag
 FROM pk LEFT JOIN geo ON pk.src_ip IS NOT DISTINCT FROM geo.ip"""
 
+GEO_PREFIX_SQL = f"""WITH a AS ({ADDRESS_BOOK_SQL}), d AS ({NETWORK_DIM_SQL}),
+m AS (SELECT a.c_custkey, arg_min(d.country, (d.last - d.first, d.first)) AS country FROM a JOIN d ON a.num BETWEEN d.first AND d.last GROUP BY a.c_custkey)
+SELECT a.c_custkey, CASE WHEN a.local THEN 'Link-Local' ELSE coalesce(m.country, 'Unknown') END AS country, a.local AS is_private FROM a LEFT JOIN m USING (c_custkey)"""
+
 REPUTATION_SQL = f"WITH {PK}," + rep_cte("SELECT packet_id AS event_id, src_ip, ts_us FROM pk", 300) + """
 SELECT event_id AS packet_id, src_ip, rep_abuse_score, rep_is_known_bad, rep_total_reports, rep_country, rep_isp,
   rep_domain, rep_source FROM rep"""
