@@ -96,22 +96,25 @@ def throughput(packets: DataFrame, local_prefixes: list[str], interval_s: int =
 
 
 # ---------------------------------------------------------------- A15
-def dashboard_stats(verdicts: DataFrame, block_rows: DataFrame, hits: DataFrame, dns_verdicts: DataFrame,
-                    profiles: DataFrame, now_us) -> DataFrame:
-    """One record with the dashboard totals (a cross join of one-row aggregates)."""
-    now = now_us if hasattr(now_us, "_jc") else F.lit(int(now_us))
+def dashboard_stats(verdicts: DataFrame, block_rows: DataFrame, hits: DataFrame, dns_verdicts: DataFrame, profiles: DataFrame, packets: DataFrame,
+                    now: DataFrame, model_accuracy: float = 0.0, buffer_size: int = 5000) -> DataFrame:
+    """One record with the dashboard totals (one-row aggregates side by side).
+
+    ``now`` is one row ``now_us``, null where nothing has happened.  ``by_type`` is the JSON of events per label,
+    known labels with none included; the capture buffer holds the last ``buffer_size`` packets.
+    """
     v = verdicts.agg(F.count(F.lit(1)).alias("total_events"), F.count_if(F.col("is_attack")).alias("attacks"))
-    b = block_rows.agg(F.count_if((F.col("blocked_at_us") <= now) & (now < F.col("unblocked_at_us")))
-                       .alias("blocked_ips"))
-    h = hits.agg(F.count(F.lit(1)).alias("honeypot_hits"))
-    d = dns_verdicts.agg(F.count(F.lit(1)).alias("dns_queries"),
-                         F.count_if(F.col("attack_type").isNotNull()).alias("dns_attacks"))
-    p = profiles.agg(F.count(F.lit(1)).alias("tracked_ips"),
-                     F.count_if(F.col("risk_level") == "CRITICAL").alias("critical_ips"))
+    types = label_stats(verdicts).agg(F.array_sort(F.collect_list(F.struct("label", "events"))).alias("t"))     # one row a label
+    types = types.select(F.to_json(F.map_from_entries("t")).alias("by_type"))
+    b = block_rows.crossJoin(F.broadcast(now)).agg(F.count_if((F.col("blocked_at_us") <= F.col("now_us")) & (F.col("now_us") < F.col("unblocked_at_us"))).alias("blocked_ips"))
+    h = hits.agg(F.count(F.lit(1)).alias("honeypot_hits"), F.count_distinct("src_ip").alias("honeypot_sources"), F.count_distinct("port").alias("honeypot_ports"))
+    d = dns_verdicts.agg(F.count(F.lit(1)).alias("dns_queries"), F.count_if(F.col("attack_type").isNotNull()).alias("dns_attacks"), F.count_distinct("src_ip").alias("dns_sources"))
+    p = profiles.agg(F.count(F.lit(1)).alias("tracked_ips"), *[F.count_if(F.col("risk_level") == x).alias(f"{x.lower()}_ips") for _, x in config.RISK_LEVELS])
+    k = packets.agg(F.count(F.lit(1)).alias("packets_captured")).withColumn("buffered_packets", F.least("packets_captured", F.lit(buffer_size)).cast("long"))
     out = v
-    for x in (b, h, d, p):
+    for x in (types, b, h, d, p, k):
         out = out.crossJoin(F.broadcast(x))      # each side is exactly one row
-    return out
+    return out.withColumn("model_accuracy", F.lit(float(model_accuracy)))
 
 
 # ---------------------------------------------------------------- P24
@@ -119,7 +122,7 @@ POSTURE_RATINGS = [   # FIXED VALUES: (minimum score, rating), first match wins
     (100, "A+ (EXCELLENT PROTECTION)"), (80, "A (STRONG DEFENSE)"), (60, "B (MODERATE DEFENSE)"),
     (40, "C (WEAK PROTECTION)"), (20, "D (VULNERABLE)"), (0, "F (CRITICAL - SYSTEM VULNERABLE)"),
 ]
-POSTURE_ADVICE = [    # FIXED VALUES: (flag that must be true, advice when it is not), in order
+POSTURE_ADVICE = [    # (flag that must be true, advice when it is not), in order; FIXED VALUES but for the first line, which names this engine's training
     ("ml_ready", "- **Train Supervised Models**: Run the training job to activate the tree and isolation-forest detectors."),
     ("ae_ready", "- **Configure Autoencoder**: Run a complete model training process to activate the Zero-day detection engine."),
     ("auto_block", "- **Enable Intrusion Prevention (IPS)**: Turn on 'Auto IP Blocking' in Settings to automatically ban threats."),

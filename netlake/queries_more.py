@@ -256,6 +256,7 @@ def q_detection_events(spark, sf_dir):
 
 # ------------------------------------------------------------------ phase 6: response and reports
 from .operators import response as rs  # noqa: E402
+from .plans.stage import materialize  # noqa: E402
 from .sources import sinks as sk  # noqa: E402
 from .twins import response as trs  # noqa: E402
 
@@ -264,6 +265,24 @@ def _throttled(alerts):
     return rs.throttle(alerts.withColumn("source_rank", F.lit(0)), tie="alert_id")
 
 
+BLOCK_S = 60
+
+
+def block_states(spark, sf_dir, verdicts):
+    """Strikes of the attack verdicts, and all verdicts with their block state."""
+    verdicts = materialize(verdicts, "verdicts")
+    st = rs.strikes_and_blocks(verdicts.filter("is_attack"), duration_s=BLOCK_S, ts="last_seen_us", tie="flow_id")
+    st = materialize(st.select("flow_id", "src_ip", F.col("last_seen_us"), "status", "strike_no", "until_us"), "verdict-strikes")
+    return rs.block_state(verdicts, st.withColumnRenamed("last_seen_us", "ts_us"))
+
+
+@register("event_block_state", trs.EVENT_BLOCK_STATE_SQL)
+def q_event_block_state(spark, sf_dir):
+    """J10 + J11: strike and block state of every verdict's source at its time."""
+    d = block_states(spark, sf_dir, vd.classify(scored(spark, sf_dir)))
+    return d.select("flow_id", "src_ip", F.col("last_seen_us").alias("ts_us"), "is_attack", "block_status", "strike_no", "auto_blocked", "source_blocked")
+
+
 @register("alerts_throttled", trs.THROTTLE_GAPPY_SQL)
 def q_alerts_throttled(spark, sf_dir):
     """Greedy 30 s cooldown per label on the gappy alert stream."""
@@ -318,12 +337,17 @@ def q_blocks(spark, sf_dir):
     return rs.blocks(strikes(spark, sf_dir))
 
 
+def strikes_now(spark, sf_dir):
+    """Strikes, written once, and the one-row time of the last of them (null without any)."""
+    st = materialize(strikes(spark, sf_dir), "strikes")
+    return st, st.agg(F.max("ts_us").alias("now_us"))
+
+
 @register("blocked_now", trs.BLOCKED_NOW_SQL)
 def q_blocked_now(spark, sf_dir):
     """Blocks active at the last attack time, with remaining seconds."""
-    st = strikes(spark, sf_dir)
-    now = st.agg(F.max("ts_us")).first()[0]
-    return rs.blocked_at(rs.blocks(st), now, duration_s=60)
+    st, now = strikes_now(spark, sf_dir)
+    return rs.blocked_at(rs.blocks(st).crossJoin(F.broadcast(now)), F.col("now_us"), duration_s=BLOCK_S)     # one row
 
 
 @register("honeypot_by_service", trs.HONEYPOT_BY_SERVICE_SQL)
@@ -367,10 +391,8 @@ def q_posture(spark, sf_dir):
 def q_dashboard_stats(spark, sf_dir):
     """One-row dashboard totals."""
     v = vd.classify(scored(spark, sf_dir))
-    st = strikes(spark, sf_dir)
-    now = st.agg(F.max("ts_us")).first()[0]
-    return rp.dashboard_stats(v, rs.blocks(st), fx.honeypot_hits(spark, sf_dir),
-                              dns_verdicts(spark, sf_dir), profiles(spark, sf_dir), now)
+    st, now = strikes_now(spark, sf_dir)
+    return rp.dashboard_stats(v, rs.blocks(st), fx.honeypot_hits(spark, sf_dir), dns_verdicts(spark, sf_dir), profiles(spark, sf_dir), fx.packets(spark, sf_dir), now)
 
 
 # ------------------------------------------------------------------ phase 7: labelled flow tables
@@ -692,56 +714,61 @@ def q_export_rows(spark, sf_dir):
     return sk.export_rows(sk.log_records(detection_events(spark, sf_dir)))
 
 
-@register("event_log_roundtrip")
+@register("event_log_roundtrip", ten.EVENT_LOG_SQL)
 def q_event_log_roundtrip(spark, sf_dir):
-    """S5 + S6: write the nested log as JSON lines and the CSV export, read both back."""
+    """S5 + S6: the log as JSON lines and as CSV export, each read back and listed whole."""
     import uuid
 
     from .session import checkpoint_dir
     base = f"{checkpoint_dir(spark).rstrip('/')}/netlake/eventlog-{uuid.uuid4().hex}"
-    rec = sk.log_records(detection_events(spark, sf_dir))
+    rec = materialize(sk.log_records(detection_events(spark, sf_dir)), "log")
     sk.write_events(rec, base + "/jsonl", max_records_per_file=500)
     sk.export_csv(rec, base + "/csv")
-    js = spark.read.json(base + "/jsonl")
-    cs = spark.read.option("header", True).csv(base + "/csv")
-    return js.select("timestamp", "src_ip", "label", F.col("geo.country").alias("geo_country")).join(
-        cs.select("timestamp", "src_ip", "label", F.col("threat").alias("threat_json")).dropDuplicates(
-            ["timestamp", "src_ip", "label"]), ["timestamp", "src_ip", "label"], "left")
+    flat = sk.export_rows(rec)
+    js = sk.export_rows(spark.read.schema(rec.schema).json(base + "/jsonl"))
+    cs = spark.read.schema(flat.schema).option("header", True).option("escape", '"').option("enforceSchema", False).csv(base + "/csv")
+    return js.withColumn("medium", F.lit("jsonl")).unionByName(cs.withColumn("medium", F.lit("csv")).fillna("", ["recommendation"]))
 
 
 def detection_payload(d):
     """The nested detection event (geo / threat / behavior structs)."""
+    ae = F.col("ae_score") if "ae_score" in d.columns else F.lit(0.0)
     return d.select(
-        F.date_format(F.timestamp_micros("last_seen_us"), "HH:mm:ss").alias("timestamp"), "src_ip", "dst_ip",
-        "dst_port", "label", "severity", "severity_icon", "confidence", "is_attack", "recommendation", "scores",
+        "flow_id", F.date_format(F.timestamp_micros("last_seen_us"), "HH:mm:ss").alias("timestamp"), "src_ip", "dst_ip",
+        "dst_port", "label", "severity", "severity_icon", "confidence", "is_attack", "auto_blocked", "recommendation", "scores", ae.alias("ae_score"),
         F.struct(*[F.col(f"geo_{c}").alias(c) for c in ("country", "country_code", "city", "lat", "lon", "flag",
                                                         "is_proxy")]).alias("geo"),
         F.struct(F.col("rep_abuse_score").alias("abuse_score"), F.col("rep_is_known_bad").alias("is_known_bad"),
-                 F.col("rep_total_reports").alias("total_reports"), F.col("rep_exposure").alias("exposure")).alias("threat"),
+                 F.col("rep_total_reports").alias("total_reports"), F.col("rep_exposure").alias("shodan")).alias("threat"),
         F.struct(F.coalesce("threat_score", F.lit(0.0)).alias("threat_score"),
                  F.coalesce("risk_level", F.lit("LOW")).alias("risk_level")).alias("behavior"))
 
 
-@register("detection_payload")
+@register("detection_payload", trs.DETECTION_PAYLOAD_SQL)
 def q_detection_payload(spark, sf_dir):
-    """Nested detection event payload for a streaming or batch sink."""
-    return detection_payload(detection_events(spark, sf_dir))
+    """Detection event payload with block state, nested parts as JSON text."""
+    d = detection_payload(block_states(spark, sf_dir, detection_events(spark, sf_dir)))
+    return d.drop("scores").select(*[F.to_json(c).alias(c) if c in ("geo", "threat", "behavior") else c for c in d.columns if c != "scores"])
 
 
-@register("alert_text")
+@register("alert_text", trs.ALERT_TEXT_SQL)
 def q_alert_text(spark, sf_dir):
-    """P23 + S9: dispatch text for the throttled flow alerts, handed to a table writer."""
+    """P23 + S9: dispatch text of the throttled flow, DNS and honeypot alerts, handed to a table writer."""
     import uuid
 
     from .session import checkpoint_dir
-    d = detection_events(spark, sf_dir).filter(F.col("is_attack"))
-    u = rs.union_alerts(d, None, None).select("alert_id", "ts_us", "label")
-    sent = rs.throttle(u).filter("emitted").select(F.col("alert_id").alias("flow_id"))
-    a = d.join(sent, "flow_id").withColumn("auto_blocked", F.lit(False)).withColumn("ts_us", F.col("last_seen_us"))
-    msg = rs.format_alerts(a).select("flow_id", "label", "severity_mark", "open_ports", "mitigation", "message")
+    u = materialize(alerts_union(spark, sf_dir), "alerts")
+    rank = F.create_map(*[x for k, v in rs.SOURCE_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("source")]
+    sent = rs.throttle(u.withColumn("_tie", rank.cast("long") * F.lit(10 ** 15) + F.col("alert_id")), tie="_tie").filter("emitted").drop("_tie", "emitted")
+    sent = en.enrich_geo(sent, fx.geo_dim(spark, sf_dir), "src_ip")
+    sent = en.enrich_reputation(sent, fx.reputation_dim(spark, sf_dir))
+    st = rs.strikes_and_blocks(u.filter("source = 'flow'").select("alert_id", "src_ip", "ts_us"), duration_s=BLOCK_S, tie="alert_id")
+    hit = st.filter("status = 'blocked'").select(F.col("alert_id").alias("_id"), F.lit(True).alias("_hit"))
+    sent = sent.join(hit, (F.col("source") == "flow") & (F.col("alert_id") == F.col("_id")), "left").withColumn("auto_blocked", F.coalesce("_hit", F.lit(False)))
+    msg = rs.format_alerts(sent, auto_block_enabled=True).select("source", "alert_id", "label", "severity_mark", "open_ports", "mitigation", "message")
     out = f"{checkpoint_dir(spark).rstrip('/')}/netlake/alerts-{uuid.uuid4().hex}"
     rs.dispatch_alerts(msg, sk.table_writer(out))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 # ------------------------------------------------------------------ S3 / S4: capture files

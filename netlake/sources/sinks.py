@@ -6,22 +6,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import round_bin
+from ..operators.enrich import GEO_FIELDS
 
 
 def log_records(events: DataFrame) -> DataFrame:
-    """The nested log record (timestamp text, epoch 3 dp, verdict, scores, geo, threat)."""
+    """The nested log record (timestamp text, epoch 3 dp, verdict, scores, whole geo record, threat with host exposure)."""
     cols = events.columns
-    geo = [c for c in ("geo_country", "geo_country_code", "geo_city", "geo_is_private") if c in cols]
-    rep = [c for c in ("rep_abuse_score", "rep_is_known_bad", "rep_total_reports") if c in cols]
     out = [F.date_format(F.timestamp_micros("last_seen_us"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
            round_bin(F.col("last_seen_us") / F.lit(1e6), 3).alias("ts_epoch"),
            "src_ip", "dst_ip", "dst_port", "label", "severity", "confidence", "rule_triggered", "recommendation"]
     if "scores" in cols:
         out.append("scores")
+    geo = [c for c in GEO_FIELDS if f"geo_{c}" in cols]
     if geo:
-        out.append(F.struct(*[F.col(c).alias(c[4:]) for c in geo]).alias("geo"))
-    if rep:
-        out.append(F.struct(*[F.col(c).alias(c[4:]) for c in rep]).alias("threat"))
+        out.append(F.struct(*[F.col(f"geo_{c}").alias(c) for c in geo]).alias("geo"))
+    threat = [(c, n) for c, n in (("rep_abuse_score", "abuse_score"), ("rep_is_known_bad", "is_known_bad"), ("rep_total_reports", "total_reports"), ("rep_exposure", "shodan")) if c in cols]
+    if threat:
+        out.append(F.struct(*[F.col(c).alias(n) for c, n in threat]).alias("threat"))
     return events.select(*out)
 
 
@@ -41,8 +42,8 @@ def export_rows(records: DataFrame) -> DataFrame:
 
 
 def export_csv(records: DataFrame, path: str) -> None:
-    """Header CSV of the log without scores."""
-    export_rows(records).write.mode("overwrite").option("header", True).csv(path)
+    """Header CSV of the log without scores; quotes inside a cell are doubled."""
+    export_rows(records).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def table_writer(path: str):

@@ -75,6 +75,7 @@ rep AS (
     CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_os ELSE 'Unknown OS' END AS exp_os,
     CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_org ELSE 'Unknown Org' END AS exp_org,
     '' AS exp_hostnames,
+    CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_ports ELSE [] END AS exp_port_list,
     CASE WHEN rm.event_id IS NOT NULL THEN rm.exp_source WHEN rev.src_ip IS NULL OR rev.src_ip IN ('', '?') THEN 'empty'
          WHEN {rep_private_sql('rev.src_ip')} THEN 'private' ELSE 'not_scanned' END AS exp_source
   FROM rev LEFT JOIN rm ON rev.event_id = rm.event_id AND rm.rn = 1)"""
@@ -114,12 +115,20 @@ SELECT v.flow_id, v.src_ip, v.dst_ip, v.dst_port, v.label, v.severity, v.confide
 FROM verdicts v LEFT JOIN running r ON v.flow_id = r.flow_id
 LEFT JOIN geo g ON v.src_ip = g.ip LEFT JOIN rep p ON v.flow_id = p.event_id""")
 
-EXPORT_SQL = DETECTION_SQL.split("\nSELECT v.flow_id", 1)[0] + """
+_GEO_FIELDS = ["country", "country_code", "region", "city", "lat", "lon", "isp", "org", "asn", "is_proxy", "is_hosting", "is_private", "flag"]
+
+
+def geo_json(fields: list[str]) -> str:
+    return "CAST(to_json(struct_pack(" + ", ".join(f"{c} := g.{c}" for c in fields) + ")) AS VARCHAR)"
+
+
+THREAT_JSON = """CAST(to_json(struct_pack(abuse_score := p.rep_abuse_score, is_known_bad := p.rep_is_known_bad, total_reports := p.rep_total_reports,
+    shodan := struct_pack(ports := p.exp_port_list, os := p.exp_os, org := p.exp_org, hostnames := CAST([] AS VARCHAR[]), source := p.exp_source))) AS VARCHAR)"""
+
+EXPORT_SQL = DETECTION_SQL.split("\nSELECT v.flow_id", 1)[0] + f"""
 SELECT strftime(make_timestamp(v.last_seen_us), '%Y-%m-%d %H:%M:%S') AS timestamp,
   round(v.last_seen_us / 1e6, 3) AS ts_epoch, v.src_ip, v.dst_ip, v.dst_port, v.label, v.severity, v.confidence,
-  v.rule_triggered, v.recommendation,
-  CAST(to_json(struct_pack(country := g.country, country_code := g.country_code, city := g.city,
-                      is_private := g.is_private)) AS VARCHAR) AS geo,
-  CAST(to_json(struct_pack(abuse_score := p.rep_abuse_score, is_known_bad := p.rep_is_known_bad,
-                      total_reports := p.rep_total_reports)) AS VARCHAR) AS threat
+  v.rule_triggered, v.recommendation, {geo_json(_GEO_FIELDS)} AS geo, {THREAT_JSON} AS threat
 FROM verdicts v LEFT JOIN geo g ON v.src_ip = g.ip LEFT JOIN rep p ON v.flow_id = p.event_id"""
+
+EVENT_LOG_SQL = f"SELECT x.*, m.medium FROM ({EXPORT_SQL}) x, (SELECT unnest(['jsonl', 'csv']) AS medium) m"

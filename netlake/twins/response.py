@@ -4,8 +4,9 @@ from __future__ import annotations
 from .. import config
 from ..fixtures import HONEYPOT_HITS_SQL, PACKETS_SQL, SENSOR_STATUS_SQL, STRIKE_EVENTS_SQL, alert_events_sql
 from ..operators.reports import POSTURE_ADVICE, POSTURE_ALL_CLEAR, POSTURE_RATINGS
-from .behavior import EV_CTE, PROFILE_PARTS
+from .behavior import EV_CTE, PROFILE_PARTS, running_cte
 from .dns import dns_cte
+from .enrich import THREAT_JSON, geo_cte, geo_json, rep_cte
 from .flows import flows_ctes
 from .verdict import classified_cte, ensemble_cte
 
@@ -32,12 +33,12 @@ THROTTLE_DENSE_SQL = ("WITH RECURSIVE al AS (SELECT *, 0 AS source_rank FROM ("
                       + throttle_ctes("al") + "\nSELECT alert_id, label, ts_us FROM emitted")
 
 
-def strikes_ctes(duration_s: int, threshold: int = config.BLOCK_THRESHOLD) -> str:
-    """Defines ``strikes`` (per event status) and ``blk`` (block intervals); needs WITH RECURSIVE."""
+def strikes_ctes(duration_s: int, threshold: int = config.BLOCK_THRESHOLD, src: str = STRIKE_EVENTS_SQL) -> str:
+    """``src`` has event_id, src_ip, ts_us, label; defines ``strikes`` (per event status) and ``blk`` (block intervals); needs WITH RECURSIVE."""
     d = duration_s * 1_000_000
     k = threshold - 1
     return f"""
-se AS (SELECT * FROM ({STRIKE_EVENTS_SQL}) t WHERE src_ip IS NOT NULL AND src_ip NOT IN ({WL})),
+se AS (SELECT * FROM ({src}) t WHERE src_ip IS NOT NULL AND src_ip NOT IN ({WL})),
 sev AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) AS rn FROM se),
 snb AS (
   SELECT a.src_ip, a.rn, b.rn AS brn, b.ts_us AS bts,
@@ -66,6 +67,24 @@ SELECT ip, blocked_at_us, CAST(greatest(0, trunc((60000000 - (nw.now_us - blocke
 FROM blk, nw WHERE blocked_at_us <= nw.now_us AND nw.now_us < unblocked_at_us""")
 
 
+VERDICT_STRIKES = strikes_ctes(60, src="SELECT flow_id AS event_id, src_ip, last_seen_us AS ts_us, label FROM verdicts WHERE is_attack")
+_VERDICTS = "WITH RECURSIVE " + flows_ctes() + "," + ensemble_cte(False) + "," + classified_cte("ml", True)
+EVENT_BLOCK_STATE_SQL = _VERDICTS + "," + VERDICT_STRIKES + """
+SELECT v.flow_id, v.src_ip, v.last_seen_us AS ts_us, v.is_attack, coalesce(s.status, 'none') AS block_status, coalesce(s.strike_no, 0) AS strike_no,
+  coalesce(s.status = 'blocked', FALSE) AS auto_blocked,
+  EXISTS (SELECT 1 FROM blk WHERE blk.ip = v.src_ip AND blk.blocked_at_us <= v.last_seen_us AND v.last_seen_us < blk.unblocked_at_us) AS source_blocked
+FROM verdicts v LEFT JOIN strikes s ON s.event_id = v.flow_id"""
+
+DETECTION_PAYLOAD_SQL = (_VERDICTS + "," + EV_CTE + "," + running_cte() + "," + geo_cte("SELECT DISTINCT src_ip AS ip FROM verdicts") + ","
+                         + rep_cte("SELECT flow_id AS event_id, src_ip, last_seen_us AS ts_us FROM verdicts", config.REPUTATION_TTL_S) + "," + VERDICT_STRIKES + f"""
+SELECT v.flow_id, strftime(make_timestamp(v.last_seen_us), '%H:%M:%S') AS timestamp, v.src_ip, v.dst_ip, v.dst_port, v.label, v.severity, v.severity_icon, v.confidence,
+  v.is_attack, coalesce(s.status = 'blocked', FALSE) AS auto_blocked, v.recommendation, 0.0::DOUBLE AS ae_score,
+  {geo_json(["country", "country_code", "city", "lat", "lon", "flag", "is_proxy"])} AS geo, {THREAT_JSON} AS threat,
+  CAST(to_json(struct_pack(threat_score := coalesce(r.threat_score, 0.0), risk_level := coalesce(r.risk_level, 'LOW'))) AS VARCHAR) AS behavior
+FROM verdicts v LEFT JOIN strikes s ON s.event_id = v.flow_id LEFT JOIN running r ON v.flow_id = r.flow_id
+LEFT JOIN geo g ON v.src_ip = g.ip LEFT JOIN rep p ON v.flow_id = p.event_id""")
+
+
 def service_sql(port: str) -> str:
     parts = " ".join(f"WHEN {k} THEN '{v}'" for k, v in config.PORT_NAMES.items())
     return f"coalesce(CASE {port} {parts} END, 'Port-' || CAST({port} AS VARCHAR))"
@@ -112,6 +131,22 @@ SELECT source, alert_id, label, severity, confidence, recommendation, src_ip, ds
 ALERTS_UNION_THROTTLED_SQL = ("WITH RECURSIVE " + union_ctes() + "," + throttle_ctes("alerts")
                               + "\nSELECT source, alert_id, label, ts_us FROM emitted")
 
+ALERT_TEXT_SQL = ("WITH RECURSIVE " + union_ctes() + "," + throttle_ctes("alerts") + "," + VERDICT_STRIKES + ","
+                  + geo_cte("SELECT DISTINCT src_ip AS ip FROM emitted") + ","
+                  + rep_cte("SELECT source || ':' || alert_id AS event_id, src_ip, ts_us FROM emitted", config.REPUTATION_TTL_S) + """,
+x AS (SELECT e.*, CASE e.severity WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END AS severity_mark,
+    CASE WHEN p.exp_ports = '' THEN 'none known' ELSE replace(p.exp_ports, ',', ', ') END AS open_ports,
+    CASE WHEN e.source = 'flow' AND s.status = 'blocked' THEN 'source is blocked' ELSE 'strike counted' END AS mitigation,
+    g.country, g.city, g.isp, p.exp_os, p.exp_org, p.rep_abuse_score, p.rep_total_reports
+  FROM emitted e JOIN geo g ON g.ip IS NOT DISTINCT FROM e.src_ip JOIN rep p ON p.event_id = e.source || ':' || e.alert_id
+  LEFT JOIN strikes s ON e.source = 'flow' AND s.event_id = e.alert_id)
+SELECT source, alert_id, label, severity_mark, open_ports, mitigation,
+  severity_mark || ' ' || severity || ' ' || label || chr(10) || 'Confidence: ' || round(confidence * 100, 1)::DOUBLE || ' %' || chr(10)
+  || 'Source: ' || coalesce(src_ip, '?') || ' in ' || country || ' / ' || city || ' via ' || isp || chr(10) || 'Target: ' || dst_ip || ' port ' || dst_port || chr(10)
+  || 'Host: ' || exp_os || ', ' || exp_org || ', open ports ' || open_ports || chr(10) || 'Reputation: ' || rep_abuse_score || ' % from ' || rep_total_reports || ' reports' || chr(10)
+  || 'Action: ' || mitigation || chr(10) || 'Advice: ' || recommendation || chr(10) || 'Time: ' || strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S UTC') AS message
+FROM x""")
+
 _ratings = " ".join(f"WHEN score >= {lo} THEN '{nm}'" for lo, nm in POSTURE_RATINGS)
 _advice = ", ".join(f"CASE WHEN NOT coalesce({c}, FALSE) THEN '{t.replace(chr(39), chr(39) * 2)}' END"
                     for c, t in POSTURE_ADVICE)
@@ -130,6 +165,12 @@ DASHBOARD_SQL = ("WITH RECURSIVE " + flows_ctes() + "," + ensemble_cte(False) +
 SELECT (SELECT count(*) FROM verdicts) AS total_events, (SELECT count(*) FILTER (WHERE is_attack) FROM verdicts) AS attacks,
   (SELECT count(*) FILTER (WHERE blocked_at_us <= (SELECT max(ts_us) FROM se) AND (SELECT max(ts_us) FROM se) < unblocked_at_us)
    FROM blk) AS blocked_ips,
-  (SELECT count(*) FROM hits) AS honeypot_hits, (SELECT count(*) FROM dns) AS dns_queries,
+  (SELECT count(*) FROM hits) AS honeypot_hits, (SELECT count(DISTINCT src_ip) FROM hits) AS honeypot_sources, (SELECT count(DISTINCT port) FROM hits) AS honeypot_ports,
+  (SELECT count(*) FROM dns) AS dns_queries, (SELECT count(DISTINCT src_ip) FROM dns) AS dns_sources,
   (SELECT count(attack_type) FROM dns) AS dns_attacks, (SELECT count(*) FROM profiles) AS tracked_ips,
-  (SELECT count(*) FILTER (WHERE risk_level = 'CRITICAL') FROM profiles) AS critical_ips""")
+  (SELECT count(*) FILTER (WHERE risk_level = 'CRITICAL') FROM profiles) AS critical_ips, (SELECT count(*) FILTER (WHERE risk_level = 'HIGH') FROM profiles) AS high_ips,
+  (SELECT count(*) FILTER (WHERE risk_level = 'MEDIUM') FROM profiles) AS medium_ips, (SELECT count(*) FILTER (WHERE risk_level = 'LOW') FROM profiles) AS low_ips,
+  (SELECT '{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}' FROM (
+     SELECT label, sum(n)::BIGINT AS n FROM (SELECT label, 1 AS n FROM verdicts UNION ALL SELECT unnest([""" + ", ".join(f"'{x}'" for x in config.ATTACK_LABELS.values()) + """]), 0) u GROUP BY label) t) AS by_type,
+  (SELECT count(*) FROM (""" + PACKETS_SQL + """) pk) AS packets_captured, (SELECT least(count(*), 5000) FROM (""" + PACKETS_SQL + """) pk) AS buffered_packets,
+  0.0::DOUBLE AS model_accuracy""")
