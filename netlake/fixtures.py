@@ -446,3 +446,20 @@ SELECT l_quantity * 1000 AS flow_duration, CAST(l_linenumber AS DOUBLE) AS total
   {_csv_label_case()} AS label_raw
 FROM lineitem
 """
+
+
+# ---------------------------------------------------------------- behaviour events with idle hours
+def idle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIXTURES table 15: all events on their own time scale (sources idle for hours), as behaviour events."""
+    e = _events(spark, sf_dir)
+    kind = F.col("event_type")
+    return e.select(F.col("event_id").alias("flow_id"), _uid_ip(F.col("user_id")).alias("src_ip"), (F.col("event_id") % 40).cast("int").alias("dst_port"),
+                    F.when(kind == "error", "DoS/DDoS").when(kind == "signup", "PortScan").otherwise("Normal").alias("label"),
+                    (F.col("event_id") % 1000).cast("long").alias("total_length_fwd_packets"), F.expr("unix_micros(cast(ts as timestamp))").alias("ts_us"))
+
+
+IDLE_EVENTS_SQL = """
+SELECT event_id AS flow_id, '10.' || CAST((user_id // 65536) % 256 AS VARCHAR) || '.' || CAST((user_id // 256) % 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS src_ip,
+  CAST(event_id % 40 AS INTEGER) AS dst_port, CASE event_type WHEN 'error' THEN 'DoS/DDoS' WHEN 'signup' THEN 'PortScan' ELSE 'Normal' END AS label,
+  CAST(event_id % 1000 AS BIGINT) AS total_length_fwd_packets, epoch_us(ts) AS ts_us FROM events
+"""

@@ -11,7 +11,7 @@ ts_us`` and a unique ``event_id`` (verdicts: ``flow_id`` / ``last_seen_us``).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -49,24 +49,41 @@ def risk_level(score: Column) -> Column:
     return out.otherwise(F.lit(config.RISK_LEVELS[-1][1]))
 
 
+def life_start(events: DataFrame, stale_s: int = config.BEHAVIOR_STALE_S) -> DataFrame:
+    """Adds ``life_us``: when the source's present profile began; a profile idle for more than ``stale_s`` is dropped and starts anew.
+
+    In buckets as wide as ``stale_s`` only a bucket's first event can follow such a pause, so starts come from
+    one summary row per source and bucket; rows take the start of their bucket.
+    """
+    stale_us = int(stale_s * 1_000_000)
+    b = F.floor(F.col("ts_us") / stale_us).cast("long")
+    held = events.groupBy(F.col("src_ip").alias("_ip"), b.alias("_b")).agg(F.min("ts_us").alias("_lo"), F.max("ts_us").alias("_hi"))
+    w = Window.partitionBy("_ip").orderBy("_b")
+    held = held.withColumn("_gap", F.col("_lo") - F.lag("_hi").over(w)).withColumn("_new", F.col("_gap").isNull() | (F.col("_gap") > stale_us))
+    held = held.select("_ip", "_b", F.last(F.when(F.col("_new"), F.col("_lo")), True).over(w).alias("life_us"))
+    return events.join(held, (F.col("src_ip") == F.col("_ip")) & (b == F.col("_b"))).drop("_ip", "_b")
+
+
 def running_scores(events: DataFrame, id_col: str = "flow_id", window_s: int = config.BEHAVIOR_WINDOW_S,
-                   recent_cap: int = config.BEHAVIOR_RECENT_CAP, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
-    """The profile score of the source after each of its events.
+                   recent_cap: int = config.BEHAVIOR_RECENT_CAP, bucket_s: float = DEFAULT_BUCKET_S,
+                   stale_s: int = config.BEHAVIOR_STALE_S) -> DataFrame:
+    """The profile score of the source after each of its events; adds ``life_us``, the start of that profile.
 
-    Two bucketed scans: (src_ip, dst_port) finds each port's first event;
-    (src_ip) carries the running counts and the 300 s event count.  The
+    Two bucketed scans within each life of a profile: per port (its first event) and
+    over all events (running counts and the 300 s event count).  The
     lineage is cut in front of each scan.
     """
     bucket_us = int(bucket_s * 1_000_000)
     ev = materialize(valid_sources(events).withColumn(
         "dst_port", F.coalesce(F.col("dst_port"), F.lit(0))), "behavior-events")
-    ev = keyed_scan(ev, ["src_ip", "dst_port"], "ts_us", id_col, bucket_us, lags=[("_prev_port_ts", F.col("ts_us"))])
+    ev = materialize(life_start(ev, stale_s), "behavior-lives")
+    ev = keyed_scan(ev, ["src_ip", "life_us", "dst_port"], "ts_us", id_col, bucket_us, lags=[("_prev_port_ts", F.col("ts_us"))])
     ev = ev.withColumn("_is_first_port",
                        F.when((F.col("dst_port") != 0) & F.col("_prev_port_ts").isNull(), 1).otherwise(0))
     ev = materialize(ev.drop("_prev_port_ts", BUCKET_COL), "behavior-ports")
     lab = F.col("label")
     r = sliding_count(
-        ev, ["src_ip"], "ts_us", id_col, int(window_s * 1_000_000) - 1, bucket_us, out="_recent",
+        ev, ["src_ip", "life_us"], "ts_us", id_col, int(window_s * 1_000_000) - 1, bucket_us, out="_recent",
         extra_sums=[("attack_count", F.when(lab != "Normal", 1).otherwise(0)),
                     ("normal_count", F.when(lab == "Normal", 1).otherwise(0)),
                     ("severe_count", F.when(lab.isin(*SEVERE), 1).otherwise(0)),
@@ -79,44 +96,41 @@ def running_scores(events: DataFrame, id_col: str = "flow_id", window_s: int = c
 
 def ip_profiles(events: DataFrame, as_of_us: int | None = None, id_col: str = "flow_id",
                 window_s: int = config.BEHAVIOR_WINDOW_S, recent_cap: int = config.BEHAVIOR_RECENT_CAP,
-                bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
-    """A6 + A7 + P21 + W10: one profile per source address.
+                bucket_s: float = DEFAULT_BUCKET_S, stale_s: int = config.BEHAVIOR_STALE_S) -> DataFrame:
+    """A6 + A7 + P21 + W10: one profile per source address, that of its latest life.
 
-    Counts, score and level are the running values after the source's last
-    event (W5), so the profile is one ``groupBy(src_ip)`` over the running
-    scores.  ``recent_events`` counts events in the ``window_s`` up to
-    ``as_of_us`` (default: latest event time), capped at the 500-event buffer.
+    Counts are plain sums over that life, so no running scan is needed: distinct ports by a pre-aggregation
+    per (source, port), the score's event count from the 300 s before the source's last event.
+    ``recent_events`` counts events in the ``window_s`` up to
+    ``as_of_us`` (default: latest event time, null without events), capped at the 500-event buffer.
     """
-    r = running_scores(events, id_col, window_s, recent_cap, bucket_s)
-    if as_of_us is None:
-        as_of_us = r.agg(F.max("ts_us")).first()[0]
-    as_of = F.lit(int(as_of_us)) if as_of_us is not None else F.lit(None).cast("long")
-    w_us = int(window_s * 1_000_000)
-    order = F.struct(F.col("ts_us"), F.col(id_col))
-    last = F.max_by(F.struct("attack_count", "normal_count", "ports_count", "severe_count", "threat_score",
-                             "risk_level"), order)
-    ts = F.col("ts_us")
-    p = r.groupBy("src_ip").agg(
-        last.alias("_last"),
-        F.coalesce(F.sum("total_length_fwd_packets"), F.lit(0)).cast("long").alias("bytes_total"),
-        F.min("ts_us").alias("first_seen_us"), F.max("ts_us").alias("last_seen_us"),
-        F.least(F.count_if((ts > as_of - w_us) & (ts <= as_of)), F.lit(recent_cap)).alias("recent_events"))
-    return p.select("src_ip", *[F.col("_last").getField(c).alias(c) for c in
-                                ("attack_count", "normal_count", "ports_count", "severe_count")],
-                    "bytes_total", "first_seen_us", "last_seen_us", as_of.alias("as_of_us"), "recent_events",
-                    F.col("_last").getField("threat_score").alias("threat_score"),
-                    F.col("_last").getField("risk_level").alias("risk_level"))
-
-
-def label_counts(events: DataFrame) -> DataFrame:
-    """A6 ``labels``: events per (source, label)."""
-    return valid_sources(events).groupBy("src_ip", "label").agg(F.count(F.lit(1)).alias("events"))
-
-
-def labels_map(events: DataFrame) -> DataFrame:
-    """A6 ``labels`` as ``MAP<label, count>`` per source (bounded by the label count)."""
-    return (label_counts(events).groupBy("src_ip")
-            .agg(F.map_from_entries(F.collect_list(F.struct("label", "events"))).alias("labels")))
+    ev = valid_sources(events).withColumn("dst_port", F.coalesce(F.col("dst_port"), F.lit(0)))
+    ev = materialize(life_start(materialize(ev, "behavior-events"), stale_s), "behavior-lives")
+    span = ev.groupBy("src_ip").agg(F.max("life_us").alias("life_us"), F.max("ts_us").alias("last_seen_us"))
+    as_of = span.agg(F.max("last_seen_us").alias("as_of_us")) if as_of_us is None else span.sparkSession.range(1).select(F.lit(int(as_of_us)).alias("as_of_us"))
+    span = materialize(span.crossJoin(F.broadcast(as_of)), "behavior-span")       # one row
+    own = ev.join(span, ["src_ip", "life_us"])
+    w_us, lab, ts = int(window_s * 1_000_000), F.col("label"), F.col("ts_us")
+    by_port = own.groupBy("src_ip", "dst_port").agg(
+        F.count_if(lab != "Normal").alias("attack_count"), F.count_if(lab == "Normal").alias("normal_count"), F.count_if(lab.isin(*SEVERE)).alias("severe_count"),
+        F.sum("total_length_fwd_packets").alias("bytes"), F.min("ts_us").alias("lo"), F.max("last_seen_us").alias("last_seen_us"), F.max("as_of_us").alias("as_of_us"),
+        F.count_if(ts > F.col("last_seen_us") - w_us).alias("recent_last"), F.count_if((ts > F.col("as_of_us") - w_us) & (ts <= F.col("as_of_us"))).alias("recent"))
+    p = by_port.groupBy("src_ip").agg(
+        *[F.sum(c).alias(c) for c in ("attack_count", "normal_count", "severe_count")], F.count_if(F.col("dst_port") != 0).alias("ports_count"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_total"), F.min("lo").alias("first_seen_us"), F.max("last_seen_us").alias("last_seen_us"),
+        F.max("as_of_us").alias("as_of_us"), F.least(F.sum("recent"), F.lit(recent_cap)).alias("recent_events"), F.least(F.sum("recent_last"), F.lit(recent_cap)).alias("_last"))
+    score = threat_score(F.col("attack_count"), F.col("normal_count"), F.col("ports_count"), F.col("_last"), F.col("severe_count"))
+    p = p.withColumn("threat_score", score)
+    return p.select("src_ip", "attack_count", "normal_count", "ports_count", "severe_count", "bytes_total", "first_seen_us", "last_seen_us", "as_of_us", "recent_events",
+                    "threat_score", risk_level(F.col("threat_score")).alias("risk_level"))
+
+
+def label_counts(events: DataFrame, stale_s: int = config.BEHAVIOR_STALE_S) -> DataFrame:
+    """A6 ``labels``: events per (source, label) in the source's latest life."""
+    ev = materialize(life_start(materialize(valid_sources(events), "behavior-events"), stale_s), "behavior-lives")
+    by = ev.groupBy("src_ip", "life_us", "label").agg(F.count(F.lit(1)).alias("events"))
+    last = ev.groupBy("src_ip").agg(F.max("life_us").alias("life_us"))
+    return by.join(last, ["src_ip", "life_us"]).select("src_ip", "label", "events")
 
 
 def top_threats(profiles: DataFrame, n: int = 15) -> DataFrame:

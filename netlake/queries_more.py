@@ -157,6 +157,21 @@ def q_ip_label_counts(spark, sf_dir):
     return bh.label_counts(behavior_events(spark, sf_dir))
 
 
+RUNNING_COLS = ["flow_id", "src_ip", "ts_us", "attack_count", "normal_count", "severe_count", "ports_count", "recent_events", "threat_score", "risk_level"]
+
+
+@register("ip_running_score_idle", tbh.RUNNING_IDLE_SQL)
+def q_ip_running_score_idle(spark, sf_dir):
+    """W5 where sources pause for hours: a profile idle for more than an hour starts anew."""
+    return bh.running_scores(fx.idle_events(spark, sf_dir)).select(*RUNNING_COLS)
+
+
+@register("ip_profiles_idle", tbh.PROFILES_IDLE_SQL)
+def q_ip_profiles_idle(spark, sf_dir):
+    """A6 where sources pause for hours: the profile of each source's latest life."""
+    return bh.ip_profiles(fx.idle_events(spark, sf_dir))
+
+
 @register("top_threats", tbh.TOP_THREATS_SQL)
 def q_top_threats(spark, sf_dir):
     """O2: the 15 highest threat scores."""
@@ -636,6 +651,14 @@ def q_stream_profiles(spark, sf_dir):
         "recent_events", "threat_score", "risk_level")
 
 
+@register("stream_profiles_idle", tbh2.RUNNING_IDLE_SQL)
+def q_stream_profiles_idle(spark, sf_dir):
+    """T6 where sources pause for hours == batch ip_running_score_idle."""
+    s = _staged(fx.idle_events(spark, sf_dir), "profiles-idle", marker={"flow_id": -1, "src_ip": MARKER_IP, "dst_port": 0, "label": "Normal", "total_length_fwd_packets": 0})
+    out = srun.run_to_table(sst.stream_profiles(s), "profiles-idle")
+    return out.filter(F.col("src_ip") != MARKER_IP).select(*RUNNING_COLS)
+
+
 STREAM_DNS_WINDOWS_SQL = f"""WITH q AS ({fx.DNS_QUERIES_SQL}),
 w AS (SELECT src_ip, (ts_us // 10000000) * 10000000 - k * 10000000 AS window_start_us, ts_us
       FROM q, (SELECT unnest(range(0, 6)) AS k) ks)
