@@ -111,3 +111,12 @@ def op13(spark, sf_dir):
 def op12(spark, sf_dir):
     """Prefix trie of the rebuilt conversations, a row per node."""
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("spotsigs_join", None)
+def spotsigs_join(spark, sf_dir):
+    """The pruned SpotSigs join: a row per document with its class of equal spots, that class's size and its links to other classes."""
+    pairs, classes = spotsigs.similar_documents(table(spark, sf_dir, "documents"))
+    links = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n"))
+    size = classes.groupBy("class_id").agg(F.count("*").alias("n_members"))
+    return classes.join(size, "class_id").join(links, F.col("class_id") == F.col("a"), "left").select("doc_id", "class_id", "n_members", F.coalesce("n", F.lit(0)).alias("n_links"))

@@ -162,27 +162,36 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = buffers(batch.column(1))
         for i, j in blocks(off):
             sets = spot_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "spots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                                              pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "mark", "spots"])
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs ``(a, b, likeness)`` of representatives with likeness at or above ``least``; ``a < b``.
+def similar_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(pairs, classes)``: pairs ``(a, b, likeness)`` of class representatives with likeness at or above ``least``, ``a < b``, and ``(doc_id, class_id)`` per row.
 
-    Documents with equal spot sets are one class whose smallest id represents it.  Classes fall
+    Documents with equal spot sets are one class (all alike) whose smallest id represents it.  Classes fall
     into length partitions whose upper end is ``1 / least`` times the lower one; two classes meet
     where they share one of their rarest spots in the same or in neighbouring partitions, within the
-    sizes that ``least`` allows, and are then compared exactly.  Empty texts pair with nothing.
+    sizes that ``least`` allows, and are then compared exactly.  An empty text is a class of its own and pairs with
+    nothing; a row of a null id is in its texts' class, but a null represents none: a class of null ids alone has a null
+    ``class_id`` and no pairs.  Repeated rows stay; other columns are ignored; an empty table gives empty results.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sets = materialize(rows.mapInArrow(_spots, "doc_id long, spots array<long>").where("size(spots) > 0").groupBy("spots").agg(F.min("doc_id").alias("a")), "spots")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(rows.mapInArrow(_spots, "doc_id long, mark binary, spots array<long>"), "spots")
+    held = rows.where("size(spots) > 0").groupBy("mark").agg(F.min("doc_id").alias("a"), F.min_by("spots", "doc_id").alias("spots"))
+    held = materialize(held, "classes")
+    classes = rows.select("doc_id", "mark", (F.size("spots") > 0).alias("some")).join(held.select("mark", "a"), "mark", "left").select(
+        "doc_id", F.when(F.col("some"), F.col("a")).otherwise(F.col("doc_id")).alias("class_id"))
+    sets = held.where("a is not null").select("a", "spots")
     band = f"cast(floor(ln(size(spots)) / -ln({least})) as int)"
     each = sets.select("a", F.expr(band).alias("band"), F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    seen = each.groupBy("spot").agg(F.count("*").alias("seen")).where("seen > 1")
+    seen = materialize(each.groupBy("spot").agg(F.count("*").alias("seen")).where("seen > 1"), "seen")
     ranked = each.join(seen, "spot", "left").groupBy("a", "band", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "spot"))).alias("s"))
     first = ranked.select("a", "band", "n", F.posexplode(F.expr(f"slice(s, 1, n - cast(ceil(n * {least}) as int) + 1)")).alias("place", "s")).where("s.seen > 1").select("a", "band", "n", "place", "s.spot")
+    first = materialize(first, "first")
     x, y = first.alias("x"), first.withColumn("band", F.explode(F.expr("array(band - 1, band)"))).alias("y")
     near = x.join(y, F.expr(f"x.spot = y.spot and x.band = y.band and (x.n, x.a) < (y.n, y.a) and x.n >= {least} * y.n and (least(x.n - x.place, y.n - y.place)) * (1 + {least}) >= {least} * (x.n + y.n)"))
     pairs = near.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
     both = pairs.join(sets.withColumnRenamed("spots", "s1"), "a").join(sets.select(F.col("a").alias("b"), F.col("spots").alias("s2")), "b")
     both = both.withColumn("n", F.size(F.array_intersect("s1", "s2"))).withColumn("likeness", F.col("n") / (F.size("s1") + F.size("s2") - F.col("n")))
-    return both.where(f"likeness >= {least}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    return both.where(f"likeness >= {least}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"), classes

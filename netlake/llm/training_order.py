@@ -52,7 +52,10 @@ def _encode(files: tuple):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(tok.ids(text.as_py()), np.uint32(0)).astype("<u2")
+                ids = np.append(tok.ids(text.as_py()), np.uint32(0))
+                if int(ids.max()) > 65535:
+                    raise ValueError("records hold ids of 16 bits; this vocabulary has larger ones")
+                ids = ids.astype("<u2")
                 rows.append((doc, task, seen, len(ids), ids.tobytes()))
                 seen += len(ids)
             if rows:

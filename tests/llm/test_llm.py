@@ -313,7 +313,8 @@ def test_spotsigs_edits(sp, docs):
 
 
 def test_spotsigs_join_equals_brute_force(sp, docs):
-    got = {(r.a, r.b) for r in spotsigs.similar_documents(sp.read.parquet(f"{SF}/documents.parquet"), 0.8).collect()}
+    pairs, classes = spotsigs.similar_documents(sp.read.parquet(f"{SF}/documents.parquet"), 0.8)
+    got = {(r.a, r.b) for r in pairs.collect()}
     data, off = textops.buffers(pa.array(docs.text))
     first = {}
     for d, s in sorted(zip(docs.doc_id.tolist(), spotsigs.spot_sets(data, off)), key=lambda x: x[0]):
@@ -321,6 +322,87 @@ def test_spotsigs_join_equals_brute_force(sp, docs):
     reps = [x for x in first.values() if len(x[1])]
     want = {(a, b) for i, (a, s) in enumerate(reps) for b, t in reps[i + 1 :] if spotsigs.likeness(s, t, 0.8) >= 0.8}
     assert got == {(min(p), max(p)) for p in want}
+    sets = {d: s.tobytes() for d, s in zip(docs.doc_id.tolist(), spotsigs.spot_sets(data, off))}
+    assert {r.doc_id: r.class_id for r in classes.collect()} == {d: first[s][0] if s else d for d, s in sets.items()}
+
+
+def test_spotsigs_classes_lose_no_copy(sp):
+    text = "the river runs on to the sea and the old mill stands by the water of this valley"
+    rows = [(5, text), (3, text), (3, text), (None, text), (8, text + " in green fields"), (9, None), (1, ""), (None, "a lone row of the sheep in a field"), (7, "zz")]
+    pairs, classes = spotsigs.similar_documents(sp.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, mark int"), 0.5)
+    assert sorted(((r.doc_id, r.class_id) for r in classes.collect()), key=repr) == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (8, 8), (9, 9), (1, 1), (None, None), (7, 7)], key=repr)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(3, 8)}
+
+
+def _plain_spots(text):
+    """Spots as tuples of words: an anchor and the next two content words."""
+    words = re.findall("[a-z\x80-\U0010ffff]+", text.translate({65 + i: 97 + i for i in range(26)}))
+    content = [i for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    out = set()
+    for i, w in enumerate(words):
+        behind = [words[j] for j in content if j > i][: spotsigs.CHAIN]
+        if w in spotsigs.ANCHORS and len(behind) == spotsigs.CHAIN:
+            out.add((w, *behind))
+    return out
+
+
+def test_spots_and_likeness_equal_plain_words(sp, docs):
+    some = docs[docs.text.str.len() < 6000].head(120)
+    got = spotsigs.fingerprints_with_edits(sp.createDataFrame(some[["doc_id", "text"]])).toPandas().set_index("doc_id")
+    order = some.sort_values("doc_id", ascending=False).reset_index(drop=True)
+    close = 0
+    for k in range(len(order)):
+        t, n = order.text[k], order.text[(k + 1) % len(order)]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        a, b, c = (_plain_spots(x) for x in (t, e, n))
+        r = got.loc[order.doc_id[k]]
+        if not (a and b and c):
+            continue
+        assert int(r.fingerprint.partition(":")[0]) == len(a)
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b)) and r.near_next == pytest.approx(len(a & c) / len(a | c))
+        close += 1
+    assert close > 80
+
+
+def test_quality_posteriors_equal_a_loop_over_sites(sp, docs):
+    """Host and path means and scores recomputed from the evidence, site by site, the document itself left out."""
+    got = queries.QUERIES["op6_quality_eb"](sp, SF).toPandas().merge(docs[["doc_id", "source", "lang"]], on="doc_id")
+    sites, hosts = {}, {}
+    for e, h, p in zip(got.evidence, got.source, got.lang):
+        sites.setdefault((h, p), []).append(e)
+        hosts.setdefault(h, []).append(e)
+    prior = min(max(got.evidence.mean(), 1e-4), 1 - 1e-4)
+
+    def pseudo(groups):
+        n, m, up = np.array([len(x) for x, _ in groups]), np.array([np.mean(x) for x, _ in groups]), np.array([u for _, u in groups])
+        room = prior * (1 - prior)
+        spread = ((n * (m - up) ** 2).sum() - (len(n) - 1) * room) / max(n.sum() - (n ** 2).sum() / n.sum(), 1e-9)
+        return min(max(room / max(spread, 1e-9) - 1, 2.0), 1000.0)
+
+    hw = pseudo([(x, prior) for x in hosts.values()])
+    pw = pseudo([(x, np.mean(hosts[h])) for (h, _), x in sites.items()])
+    for r in got.itertuples():
+        s, h = sites[r.source, r.lang], hosts[r.source]
+        host_mean = (sum(h) - r.evidence + hw * prior) / (len(h) - 1 + hw)
+        path_mean = (sum(s) - r.evidence + pw * host_mean) / (len(s) - 1 + pw)
+        odds = lambda x: np.log(x / (1 - x))
+        score = 1 / (1 + np.exp(-(odds(r.evidence) + odds(min(max(path_mean, 1e-4), 0.9999)) - odds(prior))))
+        assert np.allclose([r.host_mean, r.path_mean, r.score], [host_mean, path_mean, score], atol=1e-9) and r.keep == (r.score >= 0.5)
+
+
+def test_training_records_hold_every_id_in_order(sp, docs):
+    """The records in sequence order are the documents' ids one after the other, each document whole and once."""
+    some = docs.head(200)
+    text = dict(zip(some.doc_id, some.text))
+    rec = training_order.training_records(sp.createDataFrame(some[["doc_id", "text"]]).repartition(3), public_bpe(), length=512, shard=7).toPandas().sort_values("sequence_id")
+    stream = np.concatenate([np.frombuffer(bytes(r.record[:-1]), "<u2")[: r.n_tokens] for r in rec.itertuples()])
+    order = []
+    for r in rec.itertuples():
+        order += [d for d in r.doc_ids if not order or d != order[-1]]
+    tok = tokeniser(*public_bpe())
+    assert sorted(order) == sorted(text)
+    assert (stream == np.concatenate([np.append(tok.ids(text[d]), 0) for d in order])).all()
+    assert (rec.n_tokens.iloc[:-1] == 512).all() and sorted(rec.slot) == list(range(len(rec)))
 
 
 def test_language_held_out_accuracy(sp, docs):
