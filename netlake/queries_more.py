@@ -812,17 +812,45 @@ def q_capture_roundtrip(spark, sf_dir):
 
     from .session import checkpoint_dir
     path = f"{checkpoint_dir(spark).rstrip('/')}/netlake/pcap-{uuid.uuid4().hex}"
-    cap.write_captures(fx.packets(spark, sf_dir), path, files=4)
-    return cap.read_captures(spark, path)
+    cap.write_captures(fx.packets(spark, sf_dir), path)
+    return cap.read_packets(spark, path)
 
 
-@register("frames_decoded", CAPTURE_SQL)
+@register("capture_stream", CAPTURE_SQL)
+def q_capture_stream(spark, sf_dir):
+    """The same capture files read as a stream."""
+    import uuid
+
+    from .session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/netlake/pcap-{uuid.uuid4().hex}"
+    cap.write_captures(fx.packets(spark, sf_dir), path, rows_per_file=5_000)
+    return srun.run_to_table(cap.read_packets(spark, path, streaming=True, files_per_trigger=8), "capture")
+
+
+def ethernet_frames(packets):
+    """Ethernet frames of IPv4 packets, put together byte by byte in SQL (not by the encoder)."""
+    def num(e, digits):
+        return F.lpad(F.hex(e), digits, "0")
+
+    def addr(c):
+        return F.array_join(F.transform(F.split(c, r"\."), lambda x: num(x.cast("int"), 2)), "")
+
+    total = F.greatest("length", "header_length")
+    ip = F.concat(F.lit("4500"), num(total, 4), F.lit("0000000040"), num(F.col("protocol"), 2), F.lit("0000"), addr("src_ip"), addr("dst_ip"))
+    ports = F.concat(num(F.col("src_port"), 4), num(F.col("dst_port"), 4))
+    tcp = F.concat(ports, F.lit("0" * 16 + "50"), num(F.col("tcp_flags"), 2), num(F.greatest("window_size", F.lit(0)), 4), F.lit("00000000"))
+    l4 = F.when(F.col("protocol") == 6, tcp).otherwise(F.concat(ports, F.lit("00080000")))
+    body = F.concat(F.repeat(F.lit("00"), 12), F.lit("0800"), ip, l4)
+    whole = F.expr("14 + greatest(length, header_length)")
+    return packets.where("ip_version = 4 and protocol in (6, 17)").select("ts_us", F.unhex(F.rpad(body, whole * 2, "0")).alias("frame"))
+
+
+ETHERNET_SQL = ("SELECT ts_us, src_ip, dst_ip, src_port, dst_port, protocol, CAST(14 + greatest(length, header_length) AS INTEGER) AS length, header_length, "
+                "CASE WHEN protocol = 6 THEN greatest(window_size, 0) ELSE -1 END AS window_size, CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, ip_version "
+                "FROM (" + fx.PACKETS_SQL + ") t WHERE ip_version = 4 AND protocol IN (6, 17)")
+
+
+@register("frames_decoded", ETHERNET_SQL)
 def q_frames_decoded(spark, sf_dir):
-    """Frame bytes in a table column decoded with mapInPandas."""
-    import pandas as pd
-
-    def to_frames(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"ts_us": pdf["ts_us"], "frame": [cap.encode_packet(r) for r in pdf.to_dict("records")]})
-    frames = fx.packets(spark, sf_dir).mapInPandas(to_frames, "ts_us long, frame binary")
-    return cap.decode_frames(frames)
+    """Ethernet frames in a table column decoded with mapInPandas; the length is the whole frame's."""
+    return cap.decode_frames(ethernet_frames(fx.packets(spark, sf_dir)))
