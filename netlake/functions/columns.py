@@ -17,11 +17,6 @@ def round_bin(x: Column, digits: int) -> Column:
     return F.signum(xd) * F.floor(F.abs(xd) * m + F.lit(0.5)) / m
 
 
-def safe_div(a: Column, b: Column, default: float = 0.0) -> Column:
-    """a / b, ``default`` when b is 0 or null (ANSI-safe)."""
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(default))
-
-
 def clip(x: Column, lo: float, hi: float) -> Column:
     """F8: saturate to [lo, hi]."""
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
@@ -30,8 +25,3 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 def payload_text(data: Column, max_chars: int = 300) -> Column:
     """bytes -> UTF-8 text (malformed bytes become U+FFFD), first ``max_chars`` characters."""
     return F.substring(F.decode(data, "UTF-8"), 1, max_chars)
-
-
-def epoch_text(ts_us: Column) -> Column:
-    """epoch microseconds -> 'yyyy-MM-dd HH:mm:ss' in UTC (session time zone is pinned to UTC)."""
-    return F.date_format(F.timestamp_micros(ts_us), "yyyy-MM-dd HH:mm:ss")

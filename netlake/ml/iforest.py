@@ -65,6 +65,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple
     return nodes
 
 
+COPIES_A_RUN = 1 << 14
+
+
 def fit_iforest(df: DataFrame, features: list[str], n_trees: int = 300, max_samples: int = 80_000,
                 seed: int = 42) -> tuple[DataFrame, int]:
     """Grow ``n_trees`` isolation trees on ``df``; returns (node table, psi)."""
@@ -72,7 +75,11 @@ def fit_iforest(df: DataFrame, features: list[str], n_trees: int = 300, max_samp
     psi = int(min(n, max_samples))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     rows = df.groupBy(*[F.col(c).cast("double").alias(c) for c in features]).count()
-    rows = rows.select(*features, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_copy"))
+    # copies are numbered per value; many copies of one value are dealt to tasks in runs first
+    run = F.lit(COPIES_A_RUN)
+    rows = rows.select(*features, "count", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {COPIES_A_RUN}"))).alias("_run"))
+    rows = rows.repartition(F.xxhash64(*features, "_run"))
+    rows = rows.select(*features, F.explode(F.sequence(F.col("_run") * run + 1, F.least("count", (F.col("_run") + 1) * run))).alias("_copy"))
     rows = rows.select(*features, F.xxhash64(*features, "_copy").alias("_row"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -18,11 +18,12 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     """
     cm = pred.groupBy(F.col(label).cast("int").alias("t"), F.col(prediction).cast("int").alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
-    classes = cm.select(F.col("t").alias("c")).union(cm.select(F.col("p").alias("c"))).distinct()
-    per = classes.join(cm, (F.col("c") == F.col("t")) | (F.col("c") == F.col("p")), "left").groupBy("c").agg(
-        F.coalesce(F.sum(F.when((F.col("t") == F.col("c")) & (F.col("p") == F.col("c")), F.col("n"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when((F.col("p") == F.col("c")) & (F.col("t") != F.col("c")), F.col("n"))), F.lit(0)).alias("fp"),
-        F.coalesce(F.sum(F.when((F.col("t") == F.col("c")) & (F.col("p") != F.col("c")), F.col("n"))), F.lit(0)).alias("fn"))
+    # each cell counts for its true and for its predicted class
+    side = F.explode(F.array(F.struct(F.col("t").alias("c"), F.lit(True).alias("own")), F.struct(F.col("p").alias("c"), F.lit(False).alias("own"))))
+    per = cm.select("t", "p", "n", side.alias("x")).where("x.c is not null").groupBy(F.col("x.c").alias("c")).agg(
+        F.coalesce(F.sum(F.when(F.col("x.own") & F.col("t").eqNullSafe(F.col("p")), F.col("n"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(~F.col("x.own") & ~F.col("t").eqNullSafe(F.col("p")), F.col("n"))), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(F.col("x.own") & ~F.col("t").eqNullSafe(F.col("p")), F.col("n"))), F.lit(0)).alias("fn"))
     p = _safe(F.col("tp"), F.col("tp") + F.col("fp"))
     r = _safe(F.col("tp"), F.col("tp") + F.col("fn"))
     out = per.select(F.col("c").alias("class"), p.alias("precision"), r.alias("recall"),

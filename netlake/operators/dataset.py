@@ -1,7 +1,6 @@
 """Cleaning of labelled flow tables (P4-P8, A3, A18) and the training split (M2, A10, M3)."""
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,10 +162,6 @@ def standardize(df: DataFrame, moments: list[tuple[str, float, float]]) -> DataF
                      *[c for c in df.columns if c not in names])
 
 
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b)
-
-
 def stratified_folds(split_df: DataFrame, k: int = 5) -> DataFrame:
     """M5 folds: fold = (rank within label - 1) mod k over the same row-hash order as M2."""
     r = keyed_scan(split_df.drop("_scan_b"), [LABEL], "h1", "h2", bucket_us=max(P31 // 4096, 1),

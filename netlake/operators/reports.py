@@ -27,15 +27,14 @@ def label_stats(events: DataFrame, labels: list[str] | None = None) -> DataFrame
     return j.crossJoin(F.broadcast(total))        # one-row aggregate
 
 
-def latest(df: DataFrame, n: int, ts: str, tie: str, cap: int | None = None) -> DataFrame:
-    """Latest ``n`` rows (``cap`` = the buffer size of the source), newest first."""
-    k = min(n, cap) if cap is not None else n
-    return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(k)
+def latest(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
+    """Latest ``n`` rows, newest first."""
+    return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 
 
 def recent_events(events: DataFrame, n: int = 100) -> DataFrame:
-    """O1: latest-n log events, n capped at the 500-entry buffer."""
-    return latest(events, n, "last_seen_us", "flow_id", cap=500)
+    """O1: latest ``n`` log events."""
+    return latest(events, n, "last_seen_us", "flow_id")
 
 
 # ---------------------------------------------------------------- honeypot
@@ -65,12 +64,12 @@ def honeypot_top_ips(hits: DataFrame, n: int = 10) -> DataFrame:
 
 def recent_hits(hits: DataFrame, n: int = 50) -> DataFrame:
     """Latest hits, buffer of 1000."""
-    return latest(with_service(hits), n, "ts_us", "hit_id", cap=1000)
+    return latest(with_service(hits), n, "ts_us", "hit_id")
 
 
 def latest_packets(packets: DataFrame, n: int = 5000) -> DataFrame:
     """The last ``n`` packets (the capture ring buffer)."""
-    return latest(packets, n, "ts_us", "packet_id", cap=5000)
+    return latest(packets, n, "ts_us", "packet_id")
 
 
 # ---------------------------------------------------------------- A17 / T8

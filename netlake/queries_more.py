@@ -119,7 +119,7 @@ def q_dns_stats(spark, sf_dir):
 @register("dns_recent", tdn.DNS_RECENT_SQL)
 def q_dns_recent(spark, sf_dir):
     """Latest 50 DNS alerts (buffer of 500)."""
-    return rp.latest(dn.dns_alerts(fx.dns_queries(spark, sf_dir)), 50, "ts_us", "packet_id", cap=500)
+    return rp.latest(dn.dns_alerts(fx.dns_queries(spark, sf_dir)), 50, "ts_us", "packet_id")
 
 
 # ------------------------------------------------------------------ phase 4: behaviour

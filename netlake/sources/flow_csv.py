@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,8 +19,10 @@ def read_flow_csv(spark: SparkSession, paths: list[str], max_rows_per_file: int
             df = (spark.read.option("header", True).option("encoding", "UTF-8").option("inferSchema", False)
                   .option("mode", "PERMISSIVE").csv(p))
             df.schema  # resolve now so a missing path is skipped here
-        except Exception as e:  # noqa: BLE001
-            warnings.warn(f"skipping {p}: {e}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            warnings.warn(f"skipping {p}: no such path")
             continue
         if max_rows_per_file is not None:
             df = df.limit(max_rows_per_file)
