@@ -83,7 +83,12 @@ def dns_verdicts(queries: DataFrame, window_s: int = config.DNS_WINDOW_S, limit:
     the generated-domain checks; a flood (``recent >= limit``) overrides both.
     """
     q = queries.filter(F.col("qname").isNotNull()).withColumn("qname", clean_qname(F.col("qname")))
-    q = dns_rate(q, window_s, cap, bucket_s)
+    return judge_queries(dns_rate(q, window_s, cap, bucket_s), window_s, limit, tunnel_len)
+
+
+def judge_queries(q: DataFrame, window_s: int = config.DNS_WINDOW_S, limit: int = config.DNS_FLOOD_LIMIT,
+                  tunnel_len: int = config.DNS_TUNNEL_LEN) -> DataFrame:
+    """The verdict columns of queries with a clean ``qname`` and their ``recent`` rate; column functions only, for tables and streams."""
     qn = F.col("qname")
     sub_len = F.length(F.substring_index(qn, ".", 1))
     # one projection per stage: the higher-order entropy runs once per row
@@ -105,7 +110,11 @@ def dns_verdicts(queries: DataFrame, window_s: int = config.DNS_WINDOW_S, limit:
 
 def dns_alerts(queries: DataFrame, **kw) -> DataFrame:
     """D9 alert rows: attack_type, label, src_ip, query, reason, severity, timestamp text."""
-    v = dns_verdicts(queries, **kw).filter(F.col("attack_type").isNotNull())
+    return alert_rows(dns_verdicts(queries, **kw))
+
+
+def alert_rows(verdicts: DataFrame) -> DataFrame:
+    v = verdicts.filter(F.col("attack_type").isNotNull())
     return v.select("packet_id", "ts_us", "attack_type", F.lit("DNS Attack").alias("label"), "src_ip",
                     F.col("qname").alias("query"), "reason", "severity",
                     F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))

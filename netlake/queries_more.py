@@ -591,6 +591,7 @@ def q_model_metadata(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ phase 9: streaming
+from .streaming import dns_rate as sdns  # noqa: E402
 from .streaming import flows as sfl  # noqa: E402
 from .streaming import runner as srun  # noqa: E402
 from .streaming import state_ops as sst  # noqa: E402
@@ -679,6 +680,15 @@ STREAM_LABEL_COUNTS_SQL = ("SELECT label, count(*) AS events FROM (" + fx.alert_
                            "GROUP BY label")
 
 
+@register("stream_dns_alerts", tdn.DNS_ALERTS_SQL)
+def q_stream_dns_alerts(spark, sf_dir):
+    """The exact rate and verdict of every query on a stream == batch dns_alerts."""
+    q = fx.dns_queries(spark, sf_dir)
+    s = _staged(q, "dns-exact", marker={"packet_id": -1, "src_ip": MARKER_IP, "qname": "end.of.input"})
+    out = srun.run_to_table(sdns.stream_dns_verdicts(s), "dns-exact", conf=sdns.STATE_STORE)
+    return dn.alert_rows(out.filter(F.col("src_ip") != MARKER_IP))
+
+
 @register("stream_label_counts", STREAM_LABEL_COUNTS_SQL)
 def q_stream_label_counts(spark, sf_dir):
     """Running label counts in complete mode; the last batch is the final table."""

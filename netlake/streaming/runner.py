@@ -56,9 +56,20 @@ def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_to_table(stream: DataFrame, tag: str, output_mode: str = "append") -> DataFrame:
-    """Drain ``stream`` with availableNow into parquet; return the written rows."""
+def run_to_table(stream: DataFrame, tag: str, output_mode: str = "append", conf: dict | None = None) -> DataFrame:
+    """Drain ``stream`` with availableNow into parquet; return the written rows.  ``conf`` holds for this query only."""
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or ()}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        return _drained(spark, stream, tag, output_mode)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _drained(spark: SparkSession, stream: DataFrame, tag: str, output_mode: str) -> DataFrame:
     base = _base(spark, tag)
     out, ck = base + "/out", base + "/checkpoint"
     if output_mode == "append":
