@@ -689,6 +689,25 @@ def q_stream_dns_alerts(spark, sf_dir):
     return dn.alert_rows(out.filter(F.col("src_ip") != MARKER_IP))
 
 
+LATE_SQL = f"""WITH q AS (SELECT *, packet_id % 50 = 0 AS held FROM ({fx.DNS_QUERIES_SQL}) t WHERE qname IS NOT NULL),
+b AS (SELECT min(ts_us) + 3 * ((max(ts_us) - min(ts_us)) // 4 + 1) AS cut FROM q WHERE NOT held),
+m AS (SELECT (max(ts_us) // 1000 - 120000) * 1000 AS mark FROM q, b WHERE NOT held AND ts_us < cut)
+SELECT count(*) AS queries, count(*) FILTER (WHERE held AND ts_us <= mark) AS late_rows, count(*) FILTER (WHERE NOT (held AND ts_us <= mark)) AS judged FROM q, m"""
+
+
+@register("stream_late_rows", LATE_SQL)
+def q_stream_late_rows(spark, sf_dir):
+    """Every 50th query arrives after all others; those behind the watermark are dropped by the state operator and counted.
+
+    Spark judges a batch's rows by the watermark that the batch before ran with: here that of the first three of four files."""
+    q = fx.dns_queries(spark, sf_dir).filter("qname is not null")
+    path = srun.stage_files(q.filter("packet_id % 50 <> 0"), "ts_us", 4, "dns-late")
+    srun.add_file(q.filter("packet_id % 50 = 0"), path)
+    out = srun.run_to_table(sdns.stream_dns_verdicts(srun.read_stream(spark, path, q.schema)), "dns-late", conf=sdns.STATE_STORE)
+    late, rows = srun.LAST_RUN["late_rows_dropped"], srun.LAST_RUN["input_rows"]
+    return out.agg(F.lit(rows).cast("long").alias("queries"), F.lit(late).cast("long").alias("late_rows"), F.count(F.lit(1)).alias("judged"))
+
+
 @register("stream_label_counts", STREAM_LABEL_COUNTS_SQL)
 def q_stream_label_counts(spark, sf_dir):
     """Running label counts in complete mode; the last batch is the final table."""

@@ -52,6 +52,11 @@ def stage_files(df: DataFrame, ts_col: str, n_files: int, tag: str, end_marker:
     return base
 
 
+def add_file(df: DataFrame, path: str) -> None:
+    """One more input file, to be read after those that are there."""
+    df.coalesce(1).write.mode("append").parquet(path)
+
+
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
