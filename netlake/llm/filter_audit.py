@@ -243,7 +243,8 @@ def failures(shards: DataFrame, least_words: int = 100, distinct_pct: int = 80,
     checks = (f"words < {least_words}", f"100 * distinct_words < {distinct_pct} * words", f"100 * upper > {upper_pct} * chars", "marked")
     rows = rows.select("doc", F.coalesce("part", F.lit("")).alias("part"), "digest", F.expr(" + ".join(f"if({c}, {1 << k}, 0)" for k, c in enumerate(checks))).alias("mask"))
     rows = materialize(rows, "masks")
-    first = rows.groupBy("digest").agg(F.min("doc").alias("first"))
+    # cut from its aggregation: a join of two plain shuffles is one whose hot groups of copies can be split
+    first = materialize(rows.groupBy("digest").agg(F.min("doc").alias("first")), "first")
     return rows.join(first, "digest").select("doc", "part", (F.col("mask") + F.when(F.col("doc") > F.col("first"), 1 << 4).otherwise(0)).alias("mask"))
 
 
