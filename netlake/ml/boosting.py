@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
@@ -218,27 +218,24 @@ def _cells(rows: DataFrame, done: list, growing: list, open_nodes: list, columns
 
 def best_cuts(cells: DataFrame, p: BoostParams) -> DataFrame:
     """Best cut of each node by gain, ties to the lower feature and bin; ``gain`` is null where none is allowed."""
-    cells = cells.repartition("node", "feature").groupBy("node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"))
-    every = Window.partitionBy("node", "feature")
-    upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    soft = "pow(greatest(abs({g}) - {alpha}D, 0D), 2) / ({h} + {lam}D)"
 
     def score(g, h):
-        soft = F.greatest(F.abs(g) - F.lit(p.alpha), F.lit(0.0))
-        return soft * soft / (h + F.lit(p.lam))
-
-    sums = cells.select("node", "feature", "bin", *[
-        (F.sum(c).over(w) / F.lit(UNIT)).alias(f"{c}_{n}") for c in ("g", "h") for n, w in (("left", upto), ("all", every))])
-    right = {c: F.col(f"{c}_all") - F.col(f"{c}_left") for c in ("g", "h")}
-    gain = (score(F.col("g_left"), F.col("h_left")) + score(right["g"], right["h"])
-            - score(F.col("g_all"), F.col("h_all")))
-    allowed = ((F.col("h_left") >= p.min_child_weight) & (right["h"] >= p.min_child_weight)
-               & (right["h"] > 0) & (F.col("h_left") > 0) & (gain > max(p.gamma, 1e-9)) & (F.col("node") != LOSS))
-    cuts = sums.withColumn("gain", F.when(allowed, gain))
-    order = F.struct(F.coalesce("gain", F.lit(-1.0)), -F.col("feature"), -F.col("bin"))
-    return cuts.groupBy("node").agg(F.max_by(
-        F.struct("feature", "bin", "gain", "g_left", "h_left", "g_all", "h_all"), order).alias("best")).select(
-        "node", "best.*")
+        return soft.format(g=g, h=h, alpha=p.alpha, lam=p.lam)
+
+    every = "PARTITION BY node, feature"
+    upto = f"{every} ORDER BY bin ROWS UNBOUNDED PRECEDING"
+    least = f"least(h_left, h_all - h_left) >= {p.min_child_weight}D AND least(h_left, h_all - h_left) > 0"
+    gain = f"{score('g_left', 'h_left')} + {score('(g_all - g_left)', '(h_all - h_left)')} - {score('g_all', 'h_all')}"
+    # expression text, not Column calls: a level is one short job, and building it call by call took longer than running it
+    return (cells.repartition("node", "feature").groupBy("node", "feature", "bin").agg({"g": "sum", "h": "sum"})
+            .selectExpr("node", "feature", "bin", *[f"sum(`sum({c})`) OVER ({w}) / {UNIT}D AS {c}_{n}" for c in "gh"
+                                                    for n, w in (("left", upto), ("all", every))])
+            .selectExpr("*", f"CASE WHEN node <> {LOSS} AND {least} THEN {gain} END AS found")
+            .selectExpr("*", f"CASE WHEN found > {max(p.gamma, 1e-9)}D THEN found END AS gain")
+            .groupBy("node").agg(F.expr("max_by(struct(feature, bin, gain, g_left, h_left, g_all, h_all), "
+                                        "struct(coalesce(gain, -1D), -feature, -bin))").alias("best"))
+            .select("node", "best.*"))
 
 
 def _leaf(g: float, h: float, p: BoostParams) -> float:
