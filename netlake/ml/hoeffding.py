@@ -259,8 +259,8 @@ def merge_moments(parts: DataFrame) -> DataFrame:
                 F.expr("coalesce(sum(CASE WHEN fresh = 1 THEN lo END), 0)").alias("fresh_right")))
 
 
-def split_candidates(state: DataFrame, cuts: int) -> DataFrame:
-    """Per leaf: the best cut with its class masses, the gain of the second-best feature, the number of classes.
+def feature_gains(state: DataFrame, cuts: int) -> DataFrame:
+    """Per leaf and feature with a spread: ``c``, its best cut with the information gain and the class masses.
 
     ``cuts`` even steps between a feature's extremes are tried; a class's share
     left of a cut is its normal distribution's, cut off at its own extremes.
@@ -273,7 +273,7 @@ def split_candidates(state: DataFrame, cuts: int) -> DataFrame:
     share = (f"CASE WHEN cut < lo THEN 0D WHEN cut >= hi THEN 1D WHEN {sd} = 0 THEN CAST(mean <= cut AS double) "
              f"ELSE {normal_cdf(f'((cut - mean) / {sd})')} END")
     masses = (state.selectExpr("*", f"min(lo) {w} AS a", f"max(hi) {w} AS b")
-              .selectExpr("*", f"explode(sequence(1, {int(cuts)})) AS i")
+              .where("b > a").selectExpr("*", f"explode(sequence(1, {int(cuts)})) AS i")
               .selectExpr("*", f"a + (b - a) * i / {int(cuts) + 1}D AS cut")
               .selectExpr("leaf", "feature", "i", "cut", "y", "n", f"n * ({share}) AS l"))
     sums = masses.groupBy("leaf", "feature", "i", "cut").agg(
@@ -282,10 +282,14 @@ def split_candidates(state: DataFrame, cuts: int) -> DataFrame:
         F.expr(f"sum({plogp('(n - l)')})").alias("hr"),
         F.expr("sort_array(collect_list(struct(y, l AS to_left, n - l AS to_right)))").alias("masses"))
     gain = f"({plogp('N')} - hn - {plogp('L')} + hl - {plogp('(N - L)')} + hr) / N"
-    per_feature = sums.selectExpr("leaf", "feature", "i", "cut", "n_classes", "masses", f"{gain} AS gain").groupBy(
+    return sums.selectExpr("leaf", "feature", "i", "cut", "n_classes", "masses", f"{gain} AS gain").groupBy(
         "leaf", "feature").agg(F.expr("max_by(struct(gain, feature, cut, masses, n_classes), "
                                       "struct(gain, -i))").alias("c"))
-    return per_feature.groupBy("leaf").agg(
+
+
+def split_candidates(state: DataFrame, cuts: int) -> DataFrame:
+    """Per leaf: the best cut with its class masses, the gain of the second-best feature, the number of classes."""
+    return feature_gains(state, cuts).groupBy("leaf").agg(
         F.expr("max_by(c, struct(c.gain, -feature))").alias("best"),
         F.expr("sort_array(collect_list(c.gain), false)[1]").alias("second_gain"),
         F.max("c.n_classes").alias("n_classes"))

@@ -5,11 +5,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators.dataset import class_weights
+from ..operators.dataset import class_weights, scaler_moments, standardize
+from .boosting import BoostModel, BoostParams, train_boosted
 from .metrics import classification_report, classification_summary
 
 
@@ -32,19 +33,26 @@ def train_classifier(train: DataFrame, features: list[str] | None = None, trees:
     return Pipeline(stages=[assembler(features), rf]).fit(with_weights(train, label))
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def train_boosted_classifier(train: DataFrame, features: list[str] | None = None,
+                             params: BoostParams = BoostParams(), label: str = "label") -> BoostModel:
+    """M4, boosted branch: 500 rounds of depth 10 by default, with balanced class weights."""
+    return train_boosted(with_weights(train, label), features, params, label)
+
+
+def predict(model: PipelineModel | BoostModel, df: DataFrame) -> DataFrame:
     """M8 tree part: ``prediction`` and ``probability`` as ``array<double>``."""
+    if isinstance(model, BoostModel):
+        return model.transform(df)
     out = model.transform(df)
     return out.withColumn("probability", vector_to_array("probability")).drop("features", "rawPrediction")
 
 
-def feature_importance(model: PipelineModel, features: list[str] | None = None, top: int = 20) -> DataFrame:
+def feature_importance(model: PipelineModel | BoostModel, features: list[str] | None = None, top: int = 20) -> DataFrame:
     """Top-``top`` importances with the bar length relative to the largest."""
     feats = features or config.FEATURE_NAMES
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = model.stages[-1].sparkSession if hasattr(model.stages[-1], "sparkSession") else None
-    from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
+    imp = (model.importances() if isinstance(model, BoostModel)
+           else model.stages[-1].featureImportances.toArray()).tolist()
+    spark = SparkSession.getActiveSession()
     df = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
     top_df = df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)
     mx = df.agg(F.max("importance").alias("_mx"))
@@ -57,7 +65,9 @@ def cross_validate(df: DataFrame, folds_col: str = "fold", k: int = 5, trees: in
                    seed: int = 42, label: str = "label") -> DataFrame:
     """M5: k-fold CV (fold = rank within label mod k); accuracy and weighted F1 per fold.
 
-    Class weights are fitted inside each training fold.
+    Scaler moments and class weights are fitted inside each training fold, on
+    unscaled rows; the mean and population deviation over the folds stand
+    beside each fold's figures.
     """
     from ..plans.stage import materialize
     df = materialize(df, "cv-folds")        # k trainings read one written table
@@ -65,8 +75,12 @@ def cross_validate(df: DataFrame, folds_col: str = "fold", k: int = 5, trees: in
     for f in range(k):
         tr = df.filter(F.col(folds_col) != f)
         te = df.filter(F.col(folds_col) == f)
-        m = train_classifier(tr, trees=trees, depth=depth, seed=seed, label=label)
-        p = predict(m, te)
+        moments = [(r["feature"], float(r["mean"]), float(r["std"])) for r in scaler_moments(tr).collect()]
+        m = train_classifier(standardize(tr, moments), trees=trees, depth=depth, seed=seed, label=label)
+        p = predict(m, standardize(te, moments))
         summ = classification_summary(classification_report(p, label), p, label).first()
         rows.append((f, float(summ["accuracy"]), float(summ["f1_weighted"])))
-    return df.sparkSession.createDataFrame(rows, "fold int, accuracy double, f1_weighted double")
+    folds = df.sparkSession.createDataFrame(rows, "fold int, accuracy double, f1_weighted double")
+    over = folds.agg(*[f(c).alias(f"{c}_{n}") for c in ("accuracy", "f1_weighted")
+                       for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    return folds.crossJoin(F.broadcast(over))           # one row

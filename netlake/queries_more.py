@@ -470,6 +470,8 @@ def q_scaler_moments(spark, sf_dir):
 
 # ------------------------------------------------------------------ phase 8: models and metrics
 from .ml import autoenc as mae  # noqa: E402
+from .ml import boosting as mbo  # noqa: E402
+from .ml import hoeffding as mho  # noqa: E402
 from .ml import iforest as mif  # noqa: E402
 from .ml import metrics as mm  # noqa: E402
 from .ml import models as mdl  # noqa: E402
@@ -562,10 +564,39 @@ def q_ae_scores(spark, sf_dir):
 
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir):
-    """M5: 5-fold stratified CV accuracy / weighted F1 (200 x depth 8 forests)."""
+    """M5: 5-fold stratified CV accuracy / weighted F1 (200 x depth 8 forests), mean and deviation over the folds."""
+    return mtr.cross_validate(ds.stratified_folds(split(spark, sf_dir), 5))
+
+
+@register("boosted_round")
+def q_boosted_round(spark, sf_dir):
+    """M4: the nodes of one full boosting round (a tree of depth 10 per class) over the training split."""
     tr, _, _ = _scaled_split(spark, sf_dir)
-    folds = ds.stratified_folds(tr, 5)
-    return mtr.cross_validate(folds)
+    m = mtr.train_boosted_classifier(tr, params=mbo.BoostParams(rounds=1))
+    rows = [(m.classes[t.label], i, m.features[f] if f >= 0 else None, float(c) if f >= 0 else None, float(g), float(v))
+            for t in m.trees for i, (f, c, g, v) in enumerate(zip(t.feature, t.cut, t.gain, t.value))]
+    return spark.createDataFrame(rows, "label int, node int, feature string, threshold double, gain double, value double")
+
+
+@register("split_gains", tml.SPLIT_GAINS_SQL)
+def q_split_gains(spark, sf_dir):
+    """M9: information gain of each feature's best cut in a leaf that has learnt the whole table."""
+    leaf = mho.HoeffdingTree(grace=1 << 62)
+    leaf.learn(cleaned(spark, sf_dir))
+    state = spark.createDataFrame([s for s in leaf.state if s[2] != mho.COUNTERS], mho.STATE)
+    names = F.array(*[F.lit(f) for f in leaf.features])
+    return mho.feature_gains(state, leaf.cuts).select(
+        F.element_at(names, F.col("feature") + 1).alias("feature"), round_bin(F.col("c.gain"), 6).alias("gain"))
+
+
+@register("online_tree_accuracy")
+def q_online_tree_accuracy(spark, sf_dir):
+    """M9 + T10 + A14: the incremental tree tested, then trained on each batch of a stream of 8 files."""
+    from .plans.stage import materialize
+    c = materialize(cleaned(spark, sf_dir).repartition(8), "online-stream")
+    files = c.inputFiles()
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(files[0].rsplit("/", 1)[0])
+    return mho.learn_stream(stream, srun._base(spark, "online"))
 
 
 @register("online_accuracy")

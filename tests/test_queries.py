@@ -9,7 +9,7 @@ from conftest import SF001
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 FAST = ["packets_clean", "flow_features", "verdicts", "dns_alerts", "dns_rate", "geo_enriched", "reputation_asof",
         "alerts_throttled", "strikes", "honeypot_top_ips", "throughput", "posture", "label_stats",
-        "geo_prefix_match", "ip_profiles_idle", "event_block_state", "stream_dns_alerts", "stream_late_rows", "capture_stream"]
+        "geo_prefix_match", "ip_profiles_idle", "event_block_state", "stream_dns_alerts", "stream_late_rows", "capture_stream", "split_gains"]
 
 
 @pytest.fixture(scope="module")
