@@ -1,10 +1,13 @@
 """Labelled-CSV source and cleaning rules."""
+import math
 import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from netlake import config
+from netlake import fixtures as fx
 from netlake.operators import dataset as ds
 from netlake.sources.flow_csv import read_flow_csv
 
@@ -40,3 +43,39 @@ def test_clean_rules_and_source(spark):
     assert capped.count() == 2
     with pytest.raises(FileNotFoundError):
         read_flow_csv(spark, [os.path.join(d, "none.csv")])
+
+
+def _flow_rows(spark, rows, parts=3):
+    zero = [F.lit(0.0).alias(c) for c in config.FEATURE_NAMES[1:]]
+    raw = spark.createDataFrame(rows, "flow_duration double, label int").repartition(parts)
+    return raw.select("flow_duration", *zero, "label")
+
+
+@pytest.mark.parametrize("fraction", [0.2, 0.0, 1.0])
+def test_split_takes_the_smallest_hashes_and_moves_no_wide_rows(spark, fraction):
+    rows = [(float(i % 97), i % 3) for i in range(600)] + [(5.0, 7)] * 400 + [(1.0, None)]
+    df = _flow_rows(spark, rows)
+    split = ds.stratified_split(df, fraction)
+    got = split.select("label", "h1", "h2", "is_test").collect()
+    assert len(got) == 1000
+    for label in (0, 1, 2, 7):
+        mine = sorted((r["h1"], r["h2"], r["is_test"]) for r in got if r["label"] == label)
+        n = math.ceil(len(mine) * fraction)
+        assert sum(t for *_, t in mine) == n
+        assert sorted(m[:2] for m in mine if m[2]) == [m[:2] for m in mine][:n]
+    wide = [line for line in split.filter("label <> 7")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert len(wide) <= 2       # the scan of tied rows alone
+
+
+def test_csv_tables_have_a_file_a_task(spark, tmp_path):
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"
+    rows = [(i, i % 7 + 1, i, float(i), 1.5, 0.1) for i in range(400)]
+    spark.createDataFrame(rows, cols).repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))       # a file a task
+    try:
+        paths = fx.flow_csv_paths(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert [len(spark.read.text(p).inputFiles()) for p in paths] == [4, 4]
+    assert read_flow_csv(spark, paths).count() == 400
