@@ -108,3 +108,24 @@ def test_odd_rows(spark):
     m = train_boosted(odd, NAMES, BoostParams(rounds=2, depth=2, **PLAIN))
     assert m.classes == [0] and [t.feature for t in m.trees] == [[-1], [-1]]
     assert [r["prediction"] for r in m.transform(odd).collect()] == [0.0] * 4
+
+
+def test_features_in_one_bin_are_not_summed(spark, monkeypatch):
+    x, y, w = _rows(300)
+    x[:, 2] = 4.0
+    df, p = _frame(spark, x, y, w), BoostParams(rounds=2, depth=3, **PLAIN)
+    seen = []
+    cells = boosting._cells
+    monkeypatch.setattr(boosting, "_cells", lambda *a: seen.append(a[4]) or cells(*a))
+    m = train_boosted(df, NAMES, p)
+    assert {i for columns in seen for c in columns for i in c} == {0, 1}
+    two = train_boosted(df, ["a", "b"], p)
+    assert [(t.feature, t.cut, t.gain, t.value) for t in m.trees] == [(t.feature, t.cut, t.gain, t.value) for t in two.trees]
+    flat = train_boosted(df, ["c"], p)          # nothing to cut, but each node has its value
+    assert [t.feature for t in flat.trees] == [[-1]] * 6 and all(t.value[0] != 0 for t in flat.trees[:3])
+
+
+def test_small_batches_are_joined():
+    import pyarrow as pa
+    parts = [pa.RecordBatch.from_pydict({"a": list(range(7))})] * 20000
+    assert [t.num_rows >= boosting.BLOCK for t in boosting._blocks(parts)] == [True, True, False]
