@@ -3,7 +3,7 @@
 ``read_packets`` reads packets in the fixed schema, as a table or as a stream, from
 Parquet or from classic libpcap files.  Capture files come in through Spark's own ``binaryFile`` source, so any
 path that Spark can open will do, and are decoded in Arrow batches; a file is one task's work and is
-held by it, so captures are expected to be rolled (``write_captures`` rolls by rows).
+held by it, so captures are expected to be rolled (``write_captures`` rolls by rows and bytes).
 
 ``df.write.format("pcap").save(path)`` writes capture files of raw IP frames, each first under ``_staged`` and
 moved into place when the whole write commits: what a failed or repeated task left is never read.  Its ``path``
@@ -36,6 +36,7 @@ PACKET_SCHEMA = T.StructType([
 PCAP_MAGIC = 0xA1B2C3D4
 LINKTYPE_ETHERNET, LINKTYPE_RAW = 1, 101
 ROWS_A_BATCH = 10_000
+BYTES_A_FILE = 32 << 20
 #: What Spark's binary file source yields.
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -142,8 +143,8 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """Each task writes files of its own name under ``_staged``; only a commit of the whole write moves them into place."""
 
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows, self.run = path.removeprefix("file://"), rows, uuid.uuid4().hex
+    def __init__(self, path: str, rows: int, size: int = BYTES_A_FILE):
+        self.path, self.rows, self.size, self.run = path.removeprefix("file://"), rows, size, uuid.uuid4().hex
         self.staged = os.path.join(self.path, "_staged", self.run)
 
     def write(self, iterator):
@@ -151,7 +152,7 @@ class _Writer(DataSourceWriter):
         names, fh, n = [], None, 0
         try:
             for row in iterator:
-                if fh is None or n == self.rows:
+                if fh is None or n == self.rows or fh.tell() >= self.size:
                     if fh:
                         fh.close()
                     names.append(f"part-{uuid.uuid4().hex}.pcap")
@@ -182,7 +183,7 @@ class _Writer(DataSourceWriter):
 
 
 class PcapDataSource(DataSource):
-    """``format("pcap")``: write capture files of at most ``rows_per_file`` packets."""
+    """``format("pcap")``: write capture files of at most ``rows_per_file`` packets; one of ``bytes_per_file`` is not added to, as a reader holds a whole file."""
 
     @classmethod
     def name(cls):
@@ -192,7 +193,7 @@ class PcapDataSource(DataSource):
         return PACKET_SCHEMA
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], int(self.options.get("rows_per_file", 1_000_000)))
+        return _Writer(self.options["path"], int(self.options.get("rows_per_file", 1_000_000)), int(self.options.get("bytes_per_file", BYTES_A_FILE)))
 
 
 def register_capture_source(spark: SparkSession) -> None:

@@ -62,3 +62,23 @@ def test_abort_clears_its_own_files(tmp_path):
     assert os.path.isdir(w.staged)
     w.abort([])
     assert not os.path.isdir(w.staged)
+
+
+def test_files_are_rolled_by_bytes(spark, tmp_path, monkeypatch):
+    rows = [(k * 1000, "10.0.0.1", "10.0.0.2", k, 80, 6, 1400, 40, 5, 2, 4) for k in range(60)]
+    monkeypatch.setattr(cap, "BYTES_A_FILE", 20_000)
+    got = []
+
+    class Row(tuple):
+        def asDict(self):
+            return dict(zip((f.name for f in cap.PACKET_SCHEMA.fields), self))
+
+        def __getitem__(self, name):
+            return self.asDict()[name]
+    writer = cap.PcapDataSource({"path": str(tmp_path)}).writer(cap.PACKET_SCHEMA, False)
+    writer.commit([writer.write(iter(map(Row, rows)))])
+    for name in (n for n in os.listdir(tmp_path) if n.endswith(".pcap")):
+        content = (tmp_path / name).read_bytes()
+        assert len(content) < 20_000 + 1500
+        got += cap.parse_capture(content)
+    assert sorted(got) == rows
