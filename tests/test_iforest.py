@@ -20,3 +20,26 @@ def test_each_tree_has_psi_rows_in_any_order(spark):
         assert rows == _nodes(iforest.fit_iforest(b, ["a", "b"], trees, 100)[0])
     whole, psi = iforest.fit_iforest(a, ["a", "b"], 3, 80_000)
     assert psi == 2200 and [r[6] for r in _nodes(whole) if r[1] == 0] == [2200] * 3
+
+
+def _loop_score(trees, psi, row):
+    total = 0.0
+    for nodes in trees:
+        at, depth = 0, 0
+        while nodes[at][2] >= 0:
+            at, depth = (nodes[at][4] if row[nodes[at][2]] < nodes[at][3] else nodes[at][5]), depth + 1
+        total += depth + iforest.c_factor(nodes[at][6])
+    return -2.0 ** (-(total / len(trees)) / iforest.c_factor(psi))
+
+
+def test_features_of_one_value_are_left_out_and_trees_are_packed(spark):
+    x = [(7.0, a, None, b) for a, b in np.random.RandomState(2).rand(300, 2).tolist()]
+    df = spark.createDataFrame(x, "k double, a double, n double, b double")
+    names = ["k", "a", "n", "b"]
+    nodes, psi = iforest.fit_iforest(df, names, 6, 64)
+    assert {r[2] for r in _nodes(nodes)} == {-1, 1, 3}
+    trees = [sorted(tuple(r) for r in nodes.where(f"tree_id = {t}").collect()) for t in range(6)]
+    packed = iforest._packed(nodes.where("tree_id = 0").toPandas().sort_values("node"))
+    assert sum(a.itemsize for a in packed) == 14
+    for r in iforest.score_iforest(spark, df, nodes, psi, names, max_nodes_per_pass=100).take(40):
+        assert abs(r["iso_score"] - _loop_score(trees, psi, (7.0, r["a"], 0.0, r["b"]))) < 1e-12
