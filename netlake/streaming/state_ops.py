@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,14 @@ from ..operators.behavior import REJECT_IPS, SEVERE
 ONE = T.StructType([T.StructField("s", T.StringType())])
 
 
+def _ordered(pdfs, *by: str) -> dict:
+    """A group's rows as arrays sorted by the columns ``by``: most groups are a few rows, for which frames cost more than the work."""
+    parts = list(pdfs)
+    cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) if len(parts) > 1 else parts[0][c].to_numpy() for c in parts[0].columns}
+    order = np.lexsort([cols[c] for c in reversed(by)])
+    return {c: v[order] for c, v in cols.items()}
+
+
 def _with_time(df: DataFrame, watermark: str) -> DataFrame:
     return df.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
 
@@ -68,10 +77,9 @@ def stream_strikes(attacks: DataFrame, threshold: int = config.BLOCK_THRESHOLD,
             state.remove()
             return
         pending, until = json.loads(state.get[0]) if state.exists else (0, None)
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_us", tie])
+        cols = _ordered(pdfs, "ts_us", tie)
         status, nos = [], []
-        for ts in pdf["ts_us"].to_numpy():
-            ts = int(ts)
+        for ts in cols["ts_us"].tolist():
             if until is not None and ts < until:
                 status.append("ignored")
                 nos.append(0)
@@ -93,8 +101,8 @@ def stream_strikes(attacks: DataFrame, threshold: int = config.BLOCK_THRESHOLD,
             state.update((json.dumps([pending, until]),))
         if until is not None:
             state.setTimeoutTimestamp(until // 1000 + 1)
-        out = pdf.assign(status=status, strike_no=nos)
-        yield out[[f.name for f in schema.fields]]
+        cols |= {"status": status, "strike_no": nos}
+        yield pd.DataFrame({f.name: cols[f.name] for f in schema.fields})
     return _with_time(a, watermark).groupBy(ip).applyInPandasWithState(
         step, schema, ONE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -117,21 +125,19 @@ def stream_profiles(events: DataFrame, id_col: str = "flow_id", window_s: int =
             return
         st = json.loads(state.get[0]) if state.exists else {"a": 0, "n": 0, "s": 0, "ports": [], "recent": []}
         ports, recent = set(st["ports"]), deque(st["recent"], maxlen=recent_cap)
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_us", id_col])
+        cols = _ordered(pdfs, "ts_us", id_col)
         rows = []
-        for r in pdf.itertuples(index=False):
-            ts = int(r.ts_us)
-            lab = r.label
+        for row_id, ts, lab, port in zip(*(cols[c].tolist() for c in (id_col, "ts_us", "label", "dst_port"))):
             if recent and ts - recent[-1] > stale_us:    # an idle profile starts anew, however the rows were batched
                 st, ports = {"a": 0, "n": 0, "s": 0}, set()
                 recent.clear()
             st["n" if lab == "Normal" else "a"] += 1
             st["s"] += int(lab in SEVERE)
-            if r.dst_port is not None and not pd.isna(r.dst_port) and int(r.dst_port) != 0:
-                ports.add(int(r.dst_port))
+            if port is not None and not pd.isna(port) and int(port) != 0:
+                ports.add(int(port))
             recent.append(ts)
             rec = sum(1 for t in recent if t > ts - w_us)
-            rows.append((int(getattr(r, id_col)), key[0], ts, st["a"], st["n"], st["s"], len(ports), rec))
+            rows.append((row_id, key[0], ts, st["a"], st["n"], st["s"], len(ports), rec))
         st["ports"], st["recent"] = sorted(ports), list(recent)
         expiry = max(recent) // 1000 + stale_us // 1000 + 1
         if expiry <= state.getCurrentWatermarkMs():

@@ -40,3 +40,13 @@ def test_lives_equal_loop(spark):
     assert {(r.src_ip, r.label): r.events for r in bh.label_counts(df).collect()} == {(k, lab): n for k, s in state.items() for lab, n in s["labels"].items()}
     none = df.where(F.lit(False))
     assert bh.running_scores(none).count() == bh.ip_profiles(none).count() == 0
+
+
+def test_a_group_of_rows_is_ordered_without_frames():
+    import pandas as pd
+
+    from netlake.streaming.state_ops import _ordered
+    parts = [pd.DataFrame({"ts_us": [5, 3], "event_id": [1, 9], "label": ["a", None]}), pd.DataFrame({"ts_us": [3], "event_id": [2], "label": ["c"]})]
+    got = _ordered(iter(parts), "ts_us", "event_id")
+    assert {c: v.tolist() for c, v in got.items()} == {"ts_us": [3, 3, 5], "event_id": [2, 9, 1], "label": ["c", None, "a"]}
+    assert _ordered(iter(parts[1:]), "ts_us", "event_id")["event_id"].tolist() == [2]
