@@ -162,7 +162,8 @@ def classify(df: DataFrame, rule_list: list[Rule] | None = None,
     final = (F.when(r.isNotNull() & F.col("ml_is_attack"), r)
              .when(r.isNotNull() & ~F.col("ml_is_attack") & (F.col("ml_confidence") < override_conf), r)
              .otherwise(F.col("ml_label")))
-    d = d.withColumn("label", final)
+    # exploded from an array of one: a filter on the label stays above it, instead of copying all that it is made from into itself
+    d = d.withColumn("label", F.explode(F.array(final)))
     lab = F.col("label")
     return d.select("*", severity_of(lab).alias("severity"), icon_of(lab).alias("severity_icon"),
                     F.col("ml_confidence").alias("confidence"), (lab != "Normal").alias("is_attack"),
