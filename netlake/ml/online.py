@@ -2,7 +2,7 @@
 
 State per class and feature is (n, sum x, sum x^2); a micro-batch adds one
 ``groupBy(label)`` aggregate (classes x features numbers), so updates are
-distributed and the state is tiny.  Prediction is an Arrow-batched pandas UDF (argmax of
+distributed and the state is tiny.  Prediction is an Arrow UDF (argmax of
 per-class Gaussian log-likelihoods over a k x d parameter matrix).  The reference's online learner is a
 Hoeffding tree whose leaves use this same estimator; splits are not built.
 """
@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from .boosting import _matrix
 
 
 class OnlineNB:
@@ -66,14 +67,13 @@ class OnlineNB:
         classes, prior, means, var = self.params()
         cls = np.array(classes)
         const = prior - 0.5 * np.log(2 * math.pi * var).sum(axis=1)
+        width = len(self.features)
 
-        @F.pandas_udf("int")
-        def nb(xs: pd.Series) -> pd.Series:
-            if len(xs) == 0:
-                return pd.Series([], dtype="int32")
-            x = np.vstack(xs.to_numpy())
-            ll = const[None, :] - (((x[:, None, :] - means[None, :, :]) ** 2) / (2 * var[None, :, :])).sum(axis=2)
-            return pd.Series(cls[np.argmax(ll, axis=1)].astype("int32"))
+        @F.arrow_udf("int")
+        def nb(xs: pa.Array) -> pa.Array:
+            x = _matrix(xs, width)
+            ll = np.stack([c - ((x - m) ** 2 / (2 * v)).sum(axis=1) for c, m, v in zip(const, means, var)], axis=1)
+            return pa.array(cls[np.argmax(ll, axis=1)], pa.int32())
         vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features])
         return df.withColumn(out, nb(vec))
 
