@@ -1,7 +1,9 @@
 """Isolation forest samples."""
 import numpy as np
+from pyspark.sql import functions as F
 
 from netlake.ml import iforest
+from netlake.operators import dataset as ds
 
 
 def _nodes(nodes):
@@ -43,3 +45,40 @@ def test_features_of_one_value_are_left_out_and_trees_are_packed(spark):
     assert sum(a.itemsize for a in packed) == 14
     for r in iforest.score_iforest(spark, df, nodes, psi, names, max_nodes_per_pass=100).take(40):
         assert abs(r["iso_score"] - _loop_score(trees, psi, (7.0, r["a"], 0.0, r["b"]))) < 1e-12
+
+
+def test_all_chunks_are_scored_in_one_pass_and_held_one_at_a_time(spark):
+    df = spark.createDataFrame(np.random.RandomState(4).rand(300, 2).tolist(), "a double, b double")
+    nodes, psi = iforest.fit_iforest(df, ["a", "b"], 6, 64)
+    scored = iforest.score_iforest(spark, df, nodes, psi, ["a", "b"], max_nodes_per_pass=100)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert sum("EvalPython" in line for line in plan.splitlines()) == 1
+    one = iforest.score_iforest(spark, df, nodes, psi, ["a", "b"])
+    assert np.allclose(sorted(r["iso_score"] for r in scored.collect()), sorted(r["iso_score"] for r in one.collect()), rtol=0, atol=1e-12)
+    alive = []
+
+    class Sent:
+        def __init__(self, i):
+            self.i, self._path = i, "there"
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                self._value = [self.i]
+            return self._value
+
+    sent = [Sent(i) for i in range(4)]
+    for turn in range(2):
+        for trees in iforest._one_at_a_time(sent):
+            alive.append(([s.i for s in sent if hasattr(s, "_value")], trees))
+    assert alive == [([], [i]) for i in range(4)] * 2
+
+
+def test_rows_are_told_apart_by_nulls_and_values_only(spark):
+    x = [(1.0, None if i % 3 else 2.0, None, float(i % 5)) for i in range(40)] + [(1.0, 2.0, None, float("nan"))] * 2
+    names = ["one", "some", "none", "many"]
+    df = spark.createDataFrame(x, "one double, some double, none double, many double")
+    assert str(ds.feature_ranges(df, [F.col(c) for c in names])) == str([(1.0, 1.0, 0), (2.0, 2.0, 26), (None, None, 42), (0.0, float("nan"), 0)])
+    assert ds.feature_ranges(df.filter("one > 1"), [F.col("one")]) == [(None, None, 0)]
+    nodes, psi = iforest.fit_iforest(df, names, 3, 8)
+    assert psi == 8 and {r[2] for r in _nodes(nodes)} == {-1, 3}
