@@ -130,3 +130,71 @@ def test_moments_take_few_aggregates_at_once(spark):
     for n in names:
         v = [r[0] for r in df.select(n).dropna().collect()]
         assert got[n] == pytest.approx((np.mean(v), np.std(v) or 1.0))
+
+
+def test_rows_are_written_thousands_to_a_cell(spark):
+    rows, df = _table(spark)
+    points = forest.cut_points(df, ["a", "b", "c", "d"], BINS)
+    written = forest._binned(df, ["a", "b", "c", "d"], "label", "weight", [0, 2, 3], points)
+    got = written.collect()
+    assert len(got) == 1 and got[0]["n"] == len(rows) and len(got[0]["x"]) == 3 * len(rows)
+    first = next(forest._row_blocks(iter([written.toArrow().to_batches()[0]]), 3))
+    assert first[1].tolist() == [r[4] for r in rows] and first[2].tolist() == [r[5] for r in rows]
+    assert first[3][0].tolist() == [int(r[0]) for r in rows]
+
+
+def test_rows_followed_by_mask_number_or_together_are_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, level = rng.integers(0, 16, (4, 3000)).astype(np.uint8), 5
+    feature, cut, left, depths = [-1], [0], [0], [0]
+    for node in range(63):          # cut all over but for a few leaves
+        if depths[node] < level and node % 7 != 5:
+            feature[node], cut[node], left[node] = int(rng.integers(0, 4)), int(rng.integers(2, 13)), len(feature)
+            feature, cut, left, depths = feature + [-1] * 2, cut + [0] * 2, left + [0] * 2, depths + [depths[node] + 1] * 2
+        if node + 1 == len(feature):
+            break
+    feature, cut, left = (np.array(v, np.int64) for v in (feature, cut, left))
+    count = np.array([int(d == level and n % 3 > 0) for n, d in enumerate(depths)])
+    needed = count > 0
+    for n in range(len(feature) - 1, -1, -1):
+        if feature[n] >= 0:
+            needed[n] = needed[left[n]] or needed[left[n] + 1]
+    copies = rng.integers(0, 3, 3000).astype(np.uint8)
+    for drawn in (None, copies):
+        want = {}
+        for row in range(3000):
+            n = 0
+            while feature[n] >= 0:
+                n = left[n] + int(x[feature[n], row] > cut[n])
+            if count[n] and (drawn is None or drawn[row]):
+                want.setdefault(int(n), []).append(row)
+        for few in (0, 40, 600, 1 << 30):
+            monkeypatch.setattr(forest, "FEW", few)
+            large, node, rows = forest._Block(x, np.zeros(3000, np.int64), 1, 16).follow(drawn, feature, cut, left, needed, count, level)
+            got = {int(n): r.tolist() for n, r in large if len(r)}
+            for n, r in zip(node.tolist(), rows.tolist()):
+                got.setdefault(n, []).append(r)
+            assert {n: sorted(r) for n, r in got.items()} == want and len(want) > 4
+
+
+def test_folds_share_one_pass_and_equal_trainings_of_their_own(spark, monkeypatch):
+    names = ["a", "b", "c", "d"]
+    monkeypatch.setattr(trees.config, "FEATURE_NAMES", names)
+    rows = [(r[0], 5.1, r[2] + 0.1, r[3], r[4], i % 3) for i, r in enumerate(_table(spark)[0])]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, label int, fold int").repartition(3)
+    stats = ds.fold_stats(df, "fold", names, BINS)
+    for f in range(3):
+        tr = df.filter(f"fold <> {f}")
+        moments, seen = ds.moments_without(stats, f, names, BINS)
+        want = [(r["feature"], r["mean"], r["std"]) for r in ds.scaler_moments(tr, names).collect()]
+        assert [m[0] for m in moments] == names and [m[1:] for m in moments] == [pytest.approx(w[1:]) for w in want]
+        told = forest._values(forest._raw(ds.standardize(tr, moments), names), BINS)
+        assert [s[:4] for s in map(str, ([x[0], x[3]] for x in seen))] == [s[:4] for s in map(str, ([x[0], x[3]] for x in told))]
+        for s, t in zip(seen, told):
+            assert s[1:3] == pytest.approx(t[1:3], nan_ok=True) and sorted(s[4]) == pytest.approx(sorted(t[4]))
+    got = trees.cross_validate(df, k=3, trees=5, depth=4, seed=SEED).orderBy("fold").collect()
+    for f, r in enumerate(got):
+        tr, te = df.filter(f"fold <> {f}"), df.filter(f"fold = {f}")
+        assert r["fold"] == f and 0.3 < r["accuracy"] <= 1.0
+    assert got[0]["accuracy_mean"] == pytest.approx(np.mean([r["accuracy"] for r in got]))
+    assert ds.fold_stats(df.filter("a > 99"), "fold", names, BINS) == {}

@@ -69,7 +69,7 @@ def test_all_chunks_are_scored_in_one_pass_and_held_one_at_a_time(spark):
 
     sent = [Sent(i) for i in range(4)]
     for turn in range(2):
-        for trees in iforest._one_at_a_time(sent):
+        for trees in iforest.one_at_a_time(sent):
             alive.append(([s.i for s in sent if hasattr(s, "_value")], trees))
     assert alive == [([], [i]) for i in range(4)] * 2
 
