@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from netlake.ml import forest, trees
+from netlake.ml import boosting, forest, trees
 from netlake.operators import dataset as ds
 
 SEED, BINS = 7, 16
@@ -138,7 +138,8 @@ def test_rows_are_written_thousands_to_a_cell(spark):
     written = forest._binned(df, ["a", "b", "c", "d"], "label", "weight", [0, 2, 3], points)
     got = written.collect()
     assert len(got) == 1 and got[0]["n"] == len(rows) and len(got[0]["x"]) == 3 * len(rows)
-    first = next(forest._row_blocks(iter([written.toArrow().to_batches()[0]]), 3))
+    kinds = {"y": (np.int32, None), "w": (np.float64, None), "x": (np.uint8, 3)}
+    first = next(boosting.row_blocks(iter([written.toArrow().to_batches()[0]]), kinds))
     assert first[1].tolist() == [r[4] for r in rows] and first[2].tolist() == [r[5] for r in rows]
     assert first[3][0].tolist() == [int(r[0]) for r in rows]
 
@@ -169,8 +170,8 @@ def test_rows_followed_by_mask_number_or_together_are_the_same(monkeypatch):
             if count[n] and (drawn is None or drawn[row]):
                 want.setdefault(int(n), []).append(row)
         for few in (0, 40, 600, 1 << 30):
-            monkeypatch.setattr(forest, "FEW", few)
-            large, node, rows = forest._Block(x, np.zeros(3000, np.int64), 1, 16).follow(drawn, feature, cut, left, needed, count, level)
+            monkeypatch.setattr(boosting, "FEW", few)
+            large, node, rows = boosting.follow(x, drawn, feature, cut, left, needed, count, level)
             got = {int(n): r.tolist() for n, r in large if len(r)}
             for n, r in zip(node.tolist(), rows.tolist()):
                 got.setdefault(n, []).append(r)
@@ -188,7 +189,7 @@ def test_folds_share_one_pass_and_equal_trainings_of_their_own(spark, monkeypatc
         moments, seen = ds.moments_without(stats, f, names, BINS)
         want = [(r["feature"], r["mean"], r["std"]) for r in ds.scaler_moments(tr, names).collect()]
         assert [m[0] for m in moments] == names and [m[1:] for m in moments] == [pytest.approx(w[1:]) for w in want]
-        told = forest._values(forest._raw(ds.standardize(tr, moments), names), BINS)
+        told = forest._values(ds.standardize(tr, moments), names, BINS)
         assert [s[:4] for s in map(str, ([x[0], x[3]] for x in seen))] == [s[:4] for s in map(str, ([x[0], x[3]] for x in told))]
         for s, t in zip(seen, told):
             assert s[1:3] == pytest.approx(t[1:3], nan_ok=True) and sorted(s[4]) == pytest.approx(sorted(t[4]))
