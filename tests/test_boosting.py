@@ -129,3 +129,18 @@ def test_small_batches_are_joined():
     import pyarrow as pa
     parts = [pa.RecordBatch.from_pydict({"a": list(range(7))})] * 20000
     assert [t.num_rows >= boosting.BLOCK for t in boosting._blocks(parts)] == [True, True, False]
+
+
+def test_rows_are_written_thousands_to_a_cell_with_the_columns_that_vary(spark):
+    x, y, w = _rows()
+    x[:, 1] = 0.5           # cannot be cut
+    df = _frame(spark, x, y, w, parts=1)
+    edges = [np.array([0.25, 0.5, 0.75]), np.array([]), np.array([0.5])]
+    written = boosting._binned(df, NAMES, "label", "weight", [0, 2, 5], edges, [0, 2])
+    cells = list(boosting.row_blocks(iter(written.toArrow().to_batches()), boosting._kinds(3, 2)))
+    assert written.count() == 1 and len(cells) == 1
+    row, label, weight, bins, scores = cells[0]
+    got = sorted(zip(label.tolist(), weight.tolist(), *map(np.ndarray.tolist, bins)))
+    want = sorted((([0, 2, 5].index(int(v)), float(q), int(np.searchsorted(edges[0], r[0])), int(np.searchsorted(edges[2], r[2])))
+                   for r, v, q in zip(x, y, w)))
+    assert got == want and len(set(row.tolist())) == len(x) and scores.shape == (3, len(x)) and not scores.any()
